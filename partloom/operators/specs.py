@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.functions import decode, text
-from partloom.schemas import RULE_KINDS, SPEC_MAP, SpecField, spec_layout
+from partloom.operators.joins import lacking
+from partloom.schemas import RULE_KINDS, SPEC_CATEGORIES, SPEC_MAP, SpecField, spec_layout
 
 
 def spec_map_frame(spark: SparkSession) -> DataFrame:
@@ -29,7 +30,9 @@ def unknown_labels(raw: DataFrame) -> DataFrame:
     return _mapped(raw.where(F.col("label").isNotNull()), "left_anti")
 
 
-def decode_long(raw: DataFrame, fail_on_unknown: bool = True) -> DataFrame:
+def decode_long(
+    raw: DataFrame, fail_on_unknown: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
     """One typed value per labelled text of any category.
 
     An unknown label stops the job, or is left out for :func:`unknown_labels`
@@ -63,9 +66,27 @@ def decode_long(raw: DataFrame, fail_on_unknown: bool = True) -> DataFrame:
         .when(rule == "drive_form", decode.drive_form_text(value))
         .alias("text"),
         F.when(rule == "list", decode.text_list(value)).alias("items"),
+        *keep,
     )
 
 
+def decode_with_status(raw: DataFrame) -> DataFrame:
+    """Decoded values, and whether their category was taken in whole.
+
+    An item with an unknown label breaks off its category: the item is left
+    out and the other items of the category are marked ``incomplete``.
+    """
+    unknown = unknown_labels(raw).select("category", "item_id").distinct()
+    kept = lacking(raw, unknown, ["category", "item_id"])
+    # One row per broken category; there are as many as the label map has.
+    broken = unknown.select("category").where(F.col("category").isin(*SPEC_CATEGORIES)).distinct()
+    marked = kept.join(
+        F.broadcast(broken.withColumn("load_status", F.lit("incomplete"))), "category", "left"
+    )
+    status = F.coalesce(F.col("load_status"), F.lit("complete"))
+    return decode_long(marked.withColumn("load_status", status), keep=("load_status",))
+
+
 def _single(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(value))
 
