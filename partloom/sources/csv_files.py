@@ -52,7 +52,7 @@ def profile_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         # Only non-blank lines can be a header; the first of them is.
         F.min_by("value", F.when(F.trim("value") != "", F.col("at"))).alias("first"),
     )
-    latin = F.decode(F.col("first").cast("binary"), F.lit(LATIN1))
+    latin = F.decode(F.col("first").cast("binary"), LATIN1)
     header = F.when(F.col("utf8"), F.col("first")).otherwise(latin)
     return profiled.select("path", "utf8", "multi_line", header.alias("header"))
 

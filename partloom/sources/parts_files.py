@@ -24,30 +24,37 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def read_records(
+def count_parts(
     spark: SparkSession,
     path: str | Sequence[str],
     json_lines: bool = False,
-    categories: Sequence[str] = (),
+    file_pattern: str | None = None,
 ) -> DataFrame:
-    """Records of a folder of category files: (category, load_status, record).
-
-    A JSON file holds one array and is read by one task; JSON Lines files are
-    split. With ``categories`` the files of other categories are not opened.
-    """
-    rows = (
-        spark.read.option("multiLine", not json_lines)
-        .option("pathGlobFilter", "*.jsonl" if json_lines else "*.json")
-        .option("singleVariantColumn", "record")
+    """Number of records per category and load status over the JSON files of a folder."""
+    names = (
+        spark.read.schema("name string")
+        .option("multiLine", not json_lines)
+        .option("pathGlobFilter", file_pattern or ("*.jsonl" if json_lines else "*.json"))
         .json(path)
-        .select(*_file_columns(), "record")
     )
-    return rows.where(F.col("category").isin(*categories)) if categories else rows
+    records = names.select("name", *_file_columns())
+    return records.groupBy("category", "load_status").agg(F.count("*").alias("parts"))
 
 
-def count_records(records: DataFrame) -> DataFrame:
-    """Number of records per category and load status."""
-    return records.groupBy("category", "load_status").agg(F.count("*").alias("parts"))
+def read_category_folder(
+    spark: SparkSession, path: str, categories: Sequence[str], json_lines: bool = False
+) -> dict[str, DataFrame]:
+    """Typed records per category of a folder of files named after categories.
+
+    Files of other categories are not opened. Each frame has a ``load_status``.
+    """
+    suffix = "jsonl" if json_lines else "json"
+    return {
+        category: read_parts_json(
+            spark, path, category, json_lines, f"{category}{{,.incomplete}}.{suffix}"
+        )
+        for category in categories
+    }
 
 
 def _numbers_from_json(value: Column) -> Column:
@@ -75,21 +82,27 @@ def _typed(kinds: dict[str, str], raw, numbers, items) -> list[Column]:
     return columns
 
 
-def typed_records(records: DataFrame, category: str) -> DataFrame:
-    """Records of one category with its typed columns.
+def read_parts_json(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    category: str,
+    json_lines: bool = False,
+    file_pattern: str | None = None,
+) -> DataFrame:
+    """Typed records of one category from JSON arrays or JSON Lines.
 
-    A field that is a number in one record and a list in another is a list in
-    all of them.
+    A file with an array is read by one task; JSON Lines files are split. A
+    field that is a number in one record and a list in another is read as text
+    first and is a list in all of them.
     """
-
-    def raw(field: str) -> Column:
-        return F.try_variant_get("record", f"$.{field}", "string")
-
-    rows = records.where(F.col("category") == category)
-    typed = _typed(
-        record_kinds(category), raw, _numbers_from_json, lambda v: F.from_json(v, "array<string>")
-    )
-    return rows.select(raw("name").alias("name"), *typed)
+    kinds = record_kinds(category)
+    fields = [f"`{f}` {'array<string>' if k == 'items' else 'string'}" for f, k in kinds.items()]
+    reader = spark.read.schema(", ".join(["name string", *fields]))
+    if file_pattern:
+        reader = reader.option("pathGlobFilter", file_pattern)
+    rows = reader.option("multiLine", not json_lines).json(path)
+    typed = _typed(kinds, F.col, _numbers_from_json, lambda v: v)
+    return rows.select("name", *typed, _file_columns()[1])
 
 
 def read_parts_csv(spark: SparkSession, path: str | Sequence[str], category: str) -> DataFrame:
@@ -119,9 +132,9 @@ def _number_json(values: Column) -> Column:
     )
 
 
-def to_records(df: DataFrame, category: str) -> DataFrame:
+def to_records(df: DataFrame, category: str, keep: Sequence[str] = ()) -> DataFrame:
     """Records ready for JSON: numbers and lists of numbers share a column."""
-    columns = [F.col("name")]
+    columns = [*keep, F.col("name")]
     for field, kind in record_kinds(category).items():
         column = F.col(field)
         if kind == "numbers":

@@ -282,13 +282,14 @@ def spec_unknown_labels(spark, sf_dir):
 @query(
     "spec_load_status",
     "SELECT category, CASE WHEN category = 'webcam' THEN 'incomplete' ELSE 'complete' END "
-    f"AS load_status, count(*) AS cnt FROM ({b.raw_specs_sql()}) WHERE category <> 'webcam' "
-    "GROUP BY 1, 2",
+    f"AS load_status, count(*) AS cnt FROM ({b.raw_specs_sql()}) JOIN part ON item_id = p_partkey "
+    "WHERE category <> 'webcam' OR p_size <= 25 GROUP BY 1, 2",
 )
 def spec_load_status(spark, sf_dir):
     """Items with an unknown label break off their category; what is left is kept."""
     raw = b.raw_specs(spark, sf_dir, LABELS_WITH_UNKNOWN)
-    kept = specs.decode_with_status(raw)
+    unlabelled = (F.col("label") == b.UNKNOWN_LABEL[2]) & (F.col("value").cast("int") <= 25)
+    kept = specs.decode_with_status(raw.where(~unlabelled))
     return kept.groupBy("category", "load_status").agg(F.count("*").alias("cnt"))
 
 
