@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01
 SALTS = 64
+FEW = 1000
 
 _ROW_OVERHEAD = 64
 
@@ -34,6 +35,24 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
 
 
+def few_values(df: DataFrame, column: str, at_most: int = FEW) -> list | None:
+    """The distinct values of a column when there are few, else None."""
+    rows = df.select(column).distinct().limit(at_most + 1).collect()
+    return [row[0] for row in rows] if len(rows) <= at_most else None
+
+
+def matching_few(facts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Facts whose key is among the wanted ones.
+
+    A few keys become a filter that the scan can use to skip data; more are
+    joined.
+    """
+    values = few_values(wanted, key)
+    if values is None:
+        return having(facts, wanted, [key])
+    return facts.where(F.col(key).isin(values))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list:
     """Keys that hold more than ``share`` of the rows; at most 1/share of them."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators.checks import duplicates
-from partloom.operators.joins import broadcast_if_small, having, lacking
+from partloom.operators.joins import having, lacking, matching_few
 from partloom.schemas import SQL_NAMES
 
 Tables = Mapping[str, DataFrame]
@@ -58,10 +58,10 @@ def compatible(
 
     source = tables["product"].where(F.col("cod_sku") == source_sku)
     source = having(source, tables["category"], ["categorie_id"]).select("produs_id")
-    source_links = tables["product_standard"].join(broadcast_if_small(source), "produs_id")
+    source_links = matching_few(tables["product_standard"], source, "produs_id")
     codes = source_links.join(coded, "standard_id").select("code")
 
-    matching = broadcast_if_small(having(coded, codes, ["code"]).select("standard_id"))
+    matching = having(coded, codes, ["code"]).select("standard_id")
     links = tables["product_standard"].join(matching, "standard_id").select("produs_id")
     targets = having(tables["product"], wanted, ["categorie_id"])
     found = links.join(targets.select("produs_id", "cod_sku", "denumire"), "produs_id")

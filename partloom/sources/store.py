@@ -23,21 +23,27 @@ class CatalogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._runs = self._committed()
 
-    def _commits(self) -> list[str]:
+    def _committed(self) -> list[str]:
         log = f"{self.root}/_commits"
         if not exists(self.spark, log):
             return []
         rows = self.spark.read.schema(_COMMIT_DDL).json(log).orderBy("version").collect()
         return [row.run for row in rows]
 
+    def refresh(self) -> int:
+        """Take notice of loads committed since; returns the latest version."""
+        self._runs = self._committed()
+        return self.version
+
     @property
     def version(self) -> int:
-        return len(self._commits())
+        return len(self._runs)
 
     def read(self, table: str, version: int | None = None, pending: str | None = None) -> DataFrame:
         """A table as of a committed version, the latest by default."""
-        runs = self._commits()[:version]
+        runs = self._runs[:version]
         if pending:
             runs.append(pending)
         if not runs:
@@ -50,9 +56,11 @@ class CatalogStore:
 
     def begin(self) -> str:
         """Name of a new run on top of the present version, unseen until it commits."""
-        return f"run-{self.version:08d}-{uuid.uuid4().hex}"
+        return f"run-{self.refresh():08d}-{uuid.uuid4().hex}"
 
     def append(self, run: str, table: str, rows: DataFrame) -> None:
+        """Write the new rows of a table, sorted so that scans for a key skip data."""
+        rows = rows.sortWithinPartitions(SORT_KEYS[table])
         rows.write.mode("errorifexists").parquet(f"{self.root}/{run}/{table}")
 
     def commit(self, run: str) -> int:
@@ -61,21 +69,23 @@ class CatalogStore:
         A run that did not see the latest version may hold rows that are there
         by now, so it is refused. Loads are meant to run one at a time.
         """
-        version = self.version
+        version = self.refresh()
         if int(run.split("-")[1]) != version:
             raise RuntimeError(f"another load has committed version {version}")
         record = self.spark.createDataFrame([(version + 1, run)], _COMMIT_DDL).coalesce(1)
         record.write.mode("append").json(f"{self.root}/_commits")
+        self._runs.append(run)
         return version + 1
 
 
-# Tables a load fills, in the order their keys need.
-LOADED_TABLES = (
-    "manufacturer",
-    "category",
-    "standard",
-    "warehouse",
-    "product",
-    "product_standard",
-    "stock",
-)
+# Tables a load fills, in the order their keys need, and what each is sorted by.
+SORT_KEYS = {
+    "manufacturer": "nume",
+    "category": "nume",
+    "standard": "grup",
+    "warehouse": "nume",
+    "product": "cod_sku",
+    "product_standard": "produs_id",
+    "stock": "produs_id",
+}
+LOADED_TABLES = tuple(SORT_KEYS)

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import merge
+from partloom.operators.joins import lookup
 from partloom.operators.keys import assign_ids
 from partloom.operators.reshape import distinct_names, standard_codes, standard_links
 from partloom.schemas import STANDARDS_MAP
+from partloom.session import scratch_path
 
 SKU = "'P-' || CAST(p_partkey AS STRING)"
 SIZE = "CAST(p_size AS STRING)"
@@ -73,10 +75,10 @@ def manufacturer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    categories = category(spark, sf_dir).selectExpr("nume AS p_type", "categorie_id")
-    makers = manufacturer(spark, sf_dir).selectExpr("nume AS p_brand", "producator_id")
-    parts = read(spark, sf_dir, "part").join(categories, "p_type").join(makers, "p_brand")
-    return parts.selectExpr(
+    categories = table(spark, sf_dir, "category").selectExpr("nume AS p_type", "categorie_id")
+    makers = table(spark, sf_dir, "manufacturer").selectExpr("nume AS p_brand", "producator_id")
+    parts = lookup(read(spark, sf_dir, "part"), categories, ["p_type"], "inner")
+    return lookup(parts, makers, ["p_brand"], "inner").selectExpr(
         "p_partkey AS produs_id",
         f"{SKU} AS cod_sku",
         "p_name AS denumire",
@@ -92,15 +94,26 @@ def standard(spark: SparkSession, sf_dir: str, codes: dict[str, str] = CODES) ->
     return merge.table_rows(assign_ids(found, ["grup", "cod"], "standard_id"), "standard")
 
 
-def product_standard(spark: SparkSession, sf_dir: str, codes: dict[str, str] = CODES) -> DataFrame:
+def sparse_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standard(spark, sf_dir, SPARSE_CODES)
+
+
+def _links(spark: SparkSession, sf_dir: str, codes: dict[str, str], standards: str) -> DataFrame:
     links = standard_links(
         wide_parts(spark, sf_dir, codes).withColumnRenamed("source_row", "produs_id"),
         STANDARDS_MAP,
         "produs_id",
     )
-    return links.join(standard(spark, sf_dir, codes), ["grup", "cod"]).select(
-        "produs_id", "standard_id"
-    )
+    known = table(spark, sf_dir, standards).select("grup", "cod", "standard_id")
+    return lookup(links, known, ["grup", "cod"], "inner").select("produs_id", "standard_id")
+
+
+def product_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, CODES, "standard")
+
+
+def sparse_product_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, SPARSE_CODES, "sparse_standard")
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,16 +186,57 @@ def rma(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str, codes: dict[str, str] = CODES) -> dict[str, DataFrame]:
-    """The seven tables of the catalogue."""
+# Catalogue tables, each derived from the driver's tables by one job.
+DERIVED = {
+    "manufacturer": manufacturer,
+    "category": category,
+    "standard": standard,
+    "product": product,
+    "product_standard": product_standard,
+    "warehouse": warehouse,
+    "stock": stock,
+    "sparse_standard": sparse_standard,
+    "sparse_product_standard": sparse_product_standard,
+}
+CATALOG = (
+    "manufacturer",
+    "category",
+    "standard",
+    "product",
+    "product_standard",
+    "warehouse",
+    "stock",
+)
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A catalogue table as users have it: stored.
+
+    The first use in a session derives it from the driver's tables and writes
+    it to the shared folder; the queries then read the written table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = scratch_path(spark, name)
+        rows = DERIVED[name](spark, sf_dir)
+        rows.sortWithinPartitions(rows.columns[0]).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables of the catalogue, all seven by default."""
+    return {name: table(spark, sf_dir, name) for name in names or CATALOG}
+
+
+def sparse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Products and their standards, where some products have none."""
     return {
-        "manufacturer": manufacturer(spark, sf_dir),
-        "category": category(spark, sf_dir),
-        "standard": standard(spark, sf_dir, codes),
-        "product": product(spark, sf_dir),
-        "product_standard": product_standard(spark, sf_dir, codes),
-        "warehouse": warehouse(spark, sf_dir),
-        "stock": stock(spark, sf_dir),
+        "product": table(spark, sf_dir, "product"),
+        "standard": table(spark, sf_dir, "sparse_standard"),
+        "product_standard": table(spark, sf_dir, "sparse_product_standard"),
     }
 
 

@@ -20,9 +20,7 @@ SOURCE_SKU = "P-7"
     "SELECT p_type AS categorie, count(*) AS produse FROM part GROUP BY 1",
 )
 def products_per_category(spark, sf_dir):
-    return q.products_per_category(
-        {"product": b.product(spark, sf_dir), "category": b.category(spark, sf_dir)}
-    )
+    return q.products_per_category(b.tables(spark, sf_dir, "product", "category"))
 
 
 @query(
@@ -30,7 +28,7 @@ def products_per_category(spark, sf_dir):
     f"SELECT grup, count(*) AS nr_standard FROM ({sql.codes()}) GROUP BY 1",
 )
 def standards_per_group(spark, sf_dir):
-    return q.standards_per_group({"standard": b.standard(spark, sf_dir)})
+    return q.standards_per_group(b.tables(spark, sf_dir, "standard"))
 
 
 @query(
@@ -38,12 +36,7 @@ def standards_per_group(spark, sf_dir):
     f"SELECT grup, count(*) AS nr_legaturi FROM ({sql.links()}) GROUP BY 1",
 )
 def links_per_group(spark, sf_dir):
-    return q.links_per_group(
-        {
-            "product_standard": b.product_standard(spark, sf_dir),
-            "standard": b.standard(spark, sf_dir),
-        }
-    )
+    return q.links_per_group(b.tables(spark, sf_dir, "product_standard", "standard"))
 
 
 def _compatible_sql(group: str, categories: str) -> str:
@@ -120,7 +113,7 @@ FULL_RETURNS = "l_quantity > 49 AND l_returnflag = 'R'"
 )
 def products_without_stock(spark, sf_dir):
     stock = b.stock(spark, sf_dir, FULL_RETURNS)
-    return q.products_without_stock({"product": b.product(spark, sf_dir), "stock": stock})
+    return q.products_without_stock({**b.tables(spark, sf_dir, "product"), "stock": stock})
 
 
 @query(
@@ -139,12 +132,7 @@ def duplicate_skus(spark, sf_dir):
     "FROM part WHERE NOT EXISTS (SELECT 1 FROM links WHERE produs_id = p_partkey)",
 )
 def products_without_standard(spark, sf_dir):
-    return q.products_without_standard(
-        {
-            "product": b.product(spark, sf_dir),
-            "product_standard": b.product_standard(spark, sf_dir, b.SPARSE_CODES),
-        }
-    )
+    return q.products_without_standard(b.sparse_tables(spark, sf_dir))
 
 
 @query(
@@ -164,7 +152,7 @@ def codes_per_category(spark, sf_dir):
     "FROM part LEFT JOIN links ON produs_id = p_partkey GROUP BY 1, 2, 3",
 )
 def product_standards(spark, sf_dir):
-    return q.product_standards(b.tables(spark, sf_dir, b.SPARSE_CODES))
+    return q.product_standards(b.sparse_tables(spark, sf_dir))
 
 
 @query(
@@ -204,7 +192,7 @@ def table_dump(spark, sf_dir):
 )
 def products_by_sku(spark, sf_dir):
     """A query with a bind value."""
-    b.product(spark, sf_dir).createOrReplaceTempView("PRODUS")
+    b.table(spark, sf_dir, "product").createOrReplaceTempView("PRODUS")
     return spark.sql(
         "SELECT cod_sku, denumire FROM PRODUS WHERE cod_sku = :sku", args={"sku": SOURCE_SKU}
     )

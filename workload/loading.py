@@ -56,7 +56,7 @@ SITES = f"SELECT nume, oras, tara FROM ({sql.WAREHOUSE})"
 
 @query("dim_warehouse", sql.numbered(SITES, ["nume", "oras", "tara"], "depozit_id"))
 def dim_warehouse(spark, sf_dir):
-    sites = b.warehouse(spark, sf_dir).drop("depozit_id").distinct()
+    sites = b.table(spark, sf_dir, "warehouse").drop("depozit_id").distinct()
     return assign_ids(sites, ["nume", "oras", "tara"], "depozit_id")
 
 
@@ -84,7 +84,7 @@ OLD_NAMES = sql.numbered(
     _merged(OLD_NAMES, "SELECT DISTINCT p_brand AS nume FROM part", ["nume"], "producator_id"),
 )
 def merge_manufacturers(spark, sf_dir):
-    names = b.manufacturer(spark, sf_dir).select("nume")
+    names = b.table(spark, sf_dir, "manufacturer").select("nume")
     old = assign_ids(names.where("nume < 'Brand#2'"), ["nume"], "producator_id")
     old = merge.table_rows(old, "manufacturer")
     merged = old.unionByName(merge.new_manufacturers(old, names))
@@ -101,7 +101,7 @@ OLD_CATEGORIES = sql.numbered(
     _merged(OLD_CATEGORIES, "SELECT DISTINCT p_type AS nume FROM part", ["nume"], "categorie_id"),
 )
 def merge_categories(spark, sf_dir):
-    names = b.category(spark, sf_dir).select("nume")
+    names = b.table(spark, sf_dir, "category").select("nume")
     old = assign_ids(names.where("nume < 'M'"), ["nume"], "categorie_id")
     old = merge.table_rows(old, "category")
     merged = old.unionByName(merge.new_categories(old, names))
@@ -115,7 +115,7 @@ OLD_CODES = sql.numbered(
 
 @query("merge_standards", _merged(OLD_CODES, sql.codes(), ["grup", "cod"], "standard_id"))
 def merge_standards(spark, sf_dir):
-    codes = b.standard(spark, sf_dir).select("grup", "cod")
+    codes = b.table(spark, sf_dir, "standard").select("grup", "cod")
     old = assign_ids(codes.where("grup = 'SOCKET_CPU'"), ["grup", "cod"], "standard_id")
     old = merge.table_rows(old, "standard")
     merged = old.unionByName(merge.new_standards(old, codes))
@@ -136,7 +136,7 @@ OLD_SITES = sql.numbered(
     "merge_warehouses", _merged(OLD_SITES, BLANK_SITES, ["nume", "oras", "tara"], "depozit_id")
 )
 def merge_warehouses(spark, sf_dir):
-    sites = b.warehouse(spark, sf_dir).selectExpr("nume", f"{BLANK_CITY} AS oras", "tara")
+    sites = b.table(spark, sf_dir, "warehouse").selectExpr("nume", f"{BLANK_CITY} AS oras", "tara")
     old = assign_ids(
         sites.where("tara IN ('ASIA', 'EUROPE')"), ["nume", "oras", "tara"], "depozit_id"
     )
@@ -166,8 +166,8 @@ NEW_PRODUCTS = sql.numbered(
 )
 def merge_products(spark, sf_dir):
     """Products on record keep their values; each new SKU arrives once."""
-    products = b.product(spark, sf_dir)
-    categories, makers = b.category(spark, sf_dir), b.manufacturer(spark, sf_dir)
+    products = b.table(spark, sf_dir, "product")
+    categories, makers = b.table(spark, sf_dir, "category"), b.table(spark, sf_dir, "manufacturer")
     promo = categories.where("nume = 'PROMO'").select("categorie_id")
     old = merge.table_rows(
         products.join(promo, "categorie_id", "left_semi").selectExpr(
@@ -197,12 +197,12 @@ def merge_products(spark, sf_dir):
     f"SELECT produs_id, standard_id FROM ({sql.links()}) JOIN ({sql.STANDARD}) USING (grup, cod)",
 )
 def merge_links(spark, sf_dir):
-    standards = b.standard(spark, sf_dir)
-    every = b.product_standard(spark, sf_dir)
+    standards = b.table(spark, sf_dir, "standard")
+    every = b.table(spark, sf_dir, "product_standard")
     sockets = standards.where("grup = 'SOCKET_CPU'").select("standard_id")
     old = every.join(sockets, "standard_id", "left_semi").select("produs_id", "standard_id")
     links = b.standard_links(b.wide_parts(spark, sf_dir), b.STANDARDS_MAP)
-    return old.unionByName(merge.new_links(old, links, b.product(spark, sf_dir), standards))
+    return old.unionByName(merge.new_links(old, links, b.table(spark, sf_dir, "product"), standards))
 
 
 LINE_STOCK = (
@@ -233,7 +233,7 @@ SUPPLIED = (
     "AND o.depozit_id = i.depozit_id)",
 )
 def merge_stock(spark, sf_dir):
-    sites = b.warehouse(spark, sf_dir)
+    sites = b.table(spark, sf_dir, "warehouse")
     old = b.stock(spark, sf_dir, RETURNED)
     lines = b.read(spark, sf_dir, "lineitem")
     named = lines.join(sites, lines.l_suppkey == sites.depozit_id).selectExpr(
@@ -244,7 +244,7 @@ def merge_stock(spark, sf_dir):
         "CAST(l_quantity AS BIGINT) AS cantitate",
         "l_linenumber AS prag_minim",
     )
-    new = merge.new_stock(old, merge.stock_rollup(named), b.product(spark, sf_dir), sites)
+    new = merge.new_stock(old, merge.stock_rollup(named), b.table(spark, sf_dir, "product"), sites)
     return old.unionByName(new)
 
 
@@ -255,7 +255,7 @@ CENTRAL_ID = sql.numbered(
 
 
 def _with_central(spark, sf_dir):
-    sites = b.warehouse(spark, sf_dir)
+    sites = b.table(spark, sf_dir, "warehouse")
     central = spark.createDataFrame([seed.WAREHOUSE], "nume string, oras string, tara string")
     return sites.unionByName(merge.new_warehouses(sites, central))
 
@@ -278,7 +278,7 @@ def append_rows(spark, sf_dir):
 def opening_stock(spark, sf_dir):
     sites = _with_central(spark, sf_dir)
     return merge.opening_stock(
-        b.product(spark, sf_dir),
+        b.table(spark, sf_dir, "product"),
         sites,
         *seed.WAREHOUSE,
         seed.OPENING_QUANTITY,

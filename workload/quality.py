@@ -15,7 +15,7 @@ from workload.registry import query
     "SELECT p_name AS denumire, count(*) AS cnt FROM part GROUP BY 1 HAVING count(*) > 1",
 )
 def duplicate_names(spark, sf_dir):
-    return checks.duplicates(b.product(spark, sf_dir), ["denumire"])
+    return checks.duplicates(b.table(spark, sf_dir, "product"), ["denumire"])
 
 
 @query(
@@ -76,8 +76,8 @@ def order_status_violations(spark, sf_dir):
     "FROM part WHERE p_partkey NOT IN (SELECT produs_id FROM links)",
 )
 def products_without_standard_list(spark, sf_dir):
-    links = b.product_standard(spark, sf_dir, b.SPARSE_CODES)
-    bare = lacking(b.product(spark, sf_dir), links, ["produs_id"])
+    links = b.table(spark, sf_dir, "sparse_product_standard")
+    bare = lacking(b.table(spark, sf_dir, "product"), links, ["produs_id"])
     return bare.select("cod_sku", "denumire")
 
 
