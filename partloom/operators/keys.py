@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# Hex digits of the bucket number: 4096 buckets, or 65536 for the largest tables.
+DIGITS = 3
+LARGE_DIGITS = 4
 
 _SEPARATOR = "\x1f"
 
@@ -19,13 +21,17 @@ def key_text(keys: Sequence[str]) -> Column:
     )
 
 
-def key_bucket(keys: Sequence[str]) -> Column:
-    """Bucket 0..4095 of a natural key, even however the keys are spelled."""
-    return F.conv(F.substring(F.md5(key_text(keys)), 1, 3), 16, 10).cast("bigint")
+def key_bucket(keys: Sequence[str], digits: int = DIGITS) -> Column:
+    """Bucket of a natural key; buckets are alike in size however keys are spelled."""
+    return F.conv(F.substring(F.md5(key_text(keys)), 1, digits), 16, 10).cast("bigint")
 
 
 def assign_ids(
-    rows: DataFrame, keys: Sequence[str], id_column: str, taken: DataFrame | None = None
+    rows: DataFrame,
+    keys: Sequence[str],
+    id_column: str,
+    taken: DataFrame | None = None,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """Give rows with distinct natural keys ids above those already taken.
 
@@ -34,11 +40,11 @@ def assign_ids(
     the data alone: a task that runs again assigns the same ids.
     """
     within = Window.partitionBy("_bucket").orderBy(*keys)
-    step = (F.row_number().over(within).cast("bigint") - 1) * BUCKETS
+    step = (F.row_number().over(within).cast("bigint") - 1) * 16**digits
     identifier = step + F.col("_bucket") + 1
     if taken is not None:
         highest = taken.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("highest"))
         identifier = identifier + highest.scalar()
-    numbered = rows.withColumn("_bucket", key_bucket(keys)).withColumn(id_column, identifier)
+    numbered = rows.withColumn("_bucket", key_bucket(keys, digits)).withColumn(id_column, identifier)
     others = [c for c in rows.columns if c != id_column]
     return numbered.select(id_column, *others)

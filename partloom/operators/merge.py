@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from partloom.functions import text
 from partloom.operators.joins import having, lacking, lookup
-from partloom.operators.keys import assign_ids
+from partloom.operators.keys import LARGE_DIGITS, assign_ids
 from partloom.operators.reshape import keep_first
 from partloom.schemas import TABLE_DDL
+from partloom.session import stored
 
 _NO_SKU = "\x1f"
 
@@ -118,7 +119,7 @@ def new_products(
     categories = category.select(F.col("nume").alias("categorie"), "categorie_id")
     makers = manufacturer.select(F.col("nume").alias("producator"), "producator_id")
     resolved = lookup(lookup(absent, categories, ["categorie"]), makers, ["producator"])
-    numbered = assign_ids(resolved, ["_key"], "produs_id", taken=current)
+    numbered = assign_ids(resolved, ["_key"], "produs_id", taken=current, digits=LARGE_DIGITS)
     return table_rows(
         numbered.withColumn("cod_sku", text.blank_to_null(F.col("cod_sku"))), "product"
     )
@@ -195,7 +196,8 @@ def register_product(
     merged = dict(tables)
 
     def add(table: str, rows: DataFrame) -> None:
-        merged[table] = tables[table].unionByName(rows)
+        # New ids are used by the steps that follow, so they are written first.
+        merged[table] = tables[table].unionByName(stored(rows, table))
 
     add(
         "product",

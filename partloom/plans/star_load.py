@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -12,16 +14,25 @@ from partloom.schemas import STANDARDS_MAP
 from partloom.sources.csv_files import ORDER_COLUMNS
 from partloom.sources.store import CatalogStore
 
+log = logging.getLogger(__name__)
+
 STOCK_COLUMNS = {"depozit", "oras_depozit", "tara_depozit", "cantitate", "prag_minim"}
 
 
+class LoadReport(NamedTuple):
+    """Version a load made, and how many rows it added to each table."""
+
+    version: int
+    added: dict[str, int]
+
+
 def load(
     store: CatalogStore,
     wide: DataFrame,
     standards_map: Mapping[str, str] = STANDARDS_MAP,
     order: Sequence[str] = ORDER_COLUMNS,
-) -> int:
-    """Add what the store lacks of a wide catalogue; returns the new version.
+) -> LoadReport:
+    """Add what the store lacks of a wide catalogue.
 
     Each step reads back what the steps before it wrote, dimensions first, so
     ids are read and never computed twice. Loading the same rows again adds
@@ -29,9 +40,11 @@ def load(
     """
     rows = merge.clean_wide(wide)
     run = store.begin()
+    added: dict[str, int] = {}
 
     def add(table: str, new_rows: DataFrame) -> DataFrame:
-        store.append(run, table, new_rows)
+        added[table] = store.append(run, table, new_rows)
+        log.info("%s: %d new rows", table, added[table])
         return store.read(table, pending=run)
 
     manufacturer = add(
@@ -63,4 +76,4 @@ def load(
     else:
         new_stock = store.read("stock").limit(0)
     add("stock", new_stock)
-    return store.commit(run)
+    return LoadReport(store.commit(run), added)

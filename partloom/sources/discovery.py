@@ -13,7 +13,8 @@ from pyspark.sql.utils import AnalysisException
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Paths of all files below ``root`` whose name matches a glob.
 
-    Only the listing is read, no file content.
+    Only the listing is read, no file content. Files without any content are
+    not listed.
     """
     return (
         spark.read.format("binaryFile")

@@ -58,10 +58,14 @@ class CatalogStore:
         """Name of a new run on top of the present version, unseen until it commits."""
         return f"run-{self.refresh():08d}-{uuid.uuid4().hex}"
 
-    def append(self, run: str, table: str, rows: DataFrame) -> None:
-        """Write the new rows of a table, sorted so that scans for a key skip data."""
-        rows = rows.sortWithinPartitions(SORT_KEYS[table])
-        rows.write.mode("errorifexists").parquet(f"{self.root}/{run}/{table}")
+    def append(self, run: str, table: str, rows: DataFrame) -> int:
+        """Write the new rows of a table, sorted so that scans for a key skip data.
+
+        Returns their number, as the files have it.
+        """
+        path = f"{self.root}/{run}/{table}"
+        rows.sortWithinPartitions(SORT_KEYS[table]).write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(TABLE_DDL[table]).parquet(path).count()
 
     def commit(self, run: str) -> int:
         """Make a run visible: one record, written as one file.

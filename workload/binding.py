@@ -14,7 +14,7 @@ from partloom.operators.joins import lookup
 from partloom.operators.keys import assign_ids
 from partloom.operators.reshape import distinct_names, standard_codes, standard_links
 from partloom.schemas import STANDARDS_MAP
-from partloom.session import scratch_path
+from partloom.session import stored
 
 SKU = "'P-' || CAST(p_partkey AS STRING)"
 SIZE = "CAST(p_size AS STRING)"
@@ -208,7 +208,7 @@ CATALOG = (
     "stock",
 )
 
-_written: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -218,12 +218,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     it to the shared folder; the queries then read the written table.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = scratch_path(spark, name)
+    if key not in _stored:
         rows = DERIVED[name](spark, sf_dir)
-        rows.sortWithinPartitions(rows.columns[0]).write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        _stored[key] = stored(rows.sortWithinPartitions(rows.columns[0]), name)
+    return _stored[key]
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:

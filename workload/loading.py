@@ -154,6 +154,7 @@ NEW_PRODUCTS = sql.numbered(
     ["cod_sku"],
     "produs_id",
     "(SELECT max(p_partkey) FROM part WHERE p_type = 'PROMO')",
+    digits=4,
 )
 
 

@@ -31,13 +31,15 @@ def codes(codes: dict[str, str] = b.CODES) -> str:
     return f"SELECT DISTINCT grup, cod FROM ({links(codes, "cod NOT IN ('', 'nan', 'None')")})"
 
 
-def numbered(rows: str, keys: list[str], id_column: str, offset: str = "0") -> str:
+def numbered(
+    rows: str, keys: list[str], id_column: str, offset: str = "0", digits: int = 3
+) -> str:
     """Rows with the id that the bucketed numbering gives their natural key."""
     text = " || chr(31) || ".join(f"coalesce({k}, '')" for k in keys)
-    bucket = f"CAST('0x' || substr(md5({text}), 1, 3) AS BIGINT)"
+    bucket = f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
     order = ", ".join(f"{k} NULLS FIRST" for k in keys)
     return (
-        f"SELECT *, (row_number() OVER (PARTITION BY {bucket} ORDER BY {order}) - 1) * 4096 "
+        f"SELECT *, (row_number() OVER (PARTITION BY {bucket} ORDER BY {order}) - 1) * {16**digits} "
         f"+ {bucket} + 1 + {offset} AS {id_column} FROM ({rows})"
     )
 
