@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -35,45 +36,65 @@ def load(
     """Add what the store lacks of a wide catalogue.
 
     Each step reads back what the steps before it wrote, dimensions first, so
-    ids are read and never computed twice. Loading the same rows again adds
-    nothing.
+    ids are read and never computed twice; steps that do not need each other
+    run at the same time. Loading the same rows again adds nothing.
     """
     rows = merge.clean_wide(wide)
     run = store.begin()
     added: dict[str, int] = {}
 
-    def add(table: str, new_rows: DataFrame) -> DataFrame:
-        added[table] = store.append(run, table, new_rows)
-        log.info("%s: %d new rows", table, added[table])
+    def write(steps: Mapping[str, Callable[[], DataFrame]]) -> None:
+        def append(table: str) -> None:
+            added[table] = store.append(run, table, steps[table]())
+            log.info("%s: %d new rows", table, added[table])
+
+        with ThreadPoolExecutor(len(steps)) as pool:
+            list(pool.map(append, steps))
+
+    def written(table: str) -> DataFrame:
         return store.read(table, pending=run)
 
-    manufacturer = add(
-        "manufacturer",
-        merge.new_manufacturers(store.read("manufacturer"), distinct_names(rows, "producator")),
-    )
-    category = add(
-        "category", merge.new_categories(store.read("category"), distinct_names(rows, "categorie"))
-    )
-    standard = add(
-        "standard",
-        merge.new_standards(store.read("standard"), standard_codes(rows, standards_map)),
+    write(
+        {
+            "manufacturer": lambda: merge.new_manufacturers(
+                store.read("manufacturer"), distinct_names(rows, "producator")
+            ),
+            "category": lambda: merge.new_categories(
+                store.read("category"), distinct_names(rows, "categorie")
+            ),
+            "standard": lambda: merge.new_standards(
+                store.read("standard"), standard_codes(rows, standards_map)
+            ),
+            "warehouse": lambda: merge.new_warehouses(
+                store.read("warehouse"), merge.wide_warehouses(rows)
+            ),
+        }
     )
-    warehouse = add(
-        "warehouse", merge.new_warehouses(store.read("warehouse"), merge.wide_warehouses(rows))
+    write(
+        {
+            "product": lambda: merge.new_products(
+                store.read("product"), rows, written("category"), written("manufacturer"), order
+            )
+        }
     )
-    product = add(
-        "product",
-        merge.new_products(store.read("product"), rows, category, manufacturer, order),
+    write(
+        {
+            "product_standard": lambda: merge.new_links(
+                store.read("product_standard"),
+                standard_links(rows, standards_map),
+                written("product"),
+                written("standard"),
+            ),
+            "stock": lambda: _new_stock(store, rows, written("product"), written("warehouse")),
+        }
     )
-    links = standard_links(rows, standards_map)
-    add(
-        "product_standard",
-        merge.new_links(store.read("product_standard"), links, product, standard),
-    )
-    if STOCK_COLUMNS <= set(rows.columns):
-        rolled = merge.stock_rollup(rows)
-        new_stock = merge.new_stock(store.read("stock"), rolled, product, warehouse)
-    else:
-        new_stock = store.read("stock").limit(0)
-    add("stock", new_stock)
     return LoadReport(store.commit(run), added)
+
+
+def _new_stock(
+    store: CatalogStore, rows: DataFrame, product: DataFrame, warehouse: DataFrame
+) -> DataFrame:
+    current = store.read("stock")
+    if not STOCK_COLUMNS <= set(rows.columns):
+        return current.limit(0)
+    return merge.new_stock(current, merge.stock_rollup(rows), product, warehouse)

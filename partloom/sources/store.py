@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partloom.schemas import TABLE_DDL
 from partloom.sources.discovery import exists
@@ -76,8 +77,10 @@ class CatalogStore:
         version = self.refresh()
         if int(run.split("-")[1]) != version:
             raise RuntimeError(f"another load has committed version {version}")
-        record = self.spark.createDataFrame([(version + 1, run)], _COMMIT_DDL).coalesce(1)
-        record.write.mode("append").json(f"{self.root}/_commits")
+        record = self.spark.range(1).select(
+            F.lit(version + 1).cast("bigint").alias("version"), F.lit(run).alias("run")
+        )
+        record.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
         self._runs.append(run)
         return version + 1
 
