@@ -14,6 +14,8 @@ SOLID_STATE = "SSD"
 GIGABYTE = "GB"
 PLAIN_RATING = "plus"
 
+# A digit, or dots enough to make a list.
+_HAS_NUMBERS = r"(?s)\d|\..*\."
 _LEADING_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
@@ -22,11 +24,8 @@ def numbers(c: Column) -> Column:
 
     A lone dot takes a place in a list but has no value.
     """
-    found = F.transform(
-        F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), lambda n: n.try_cast("double")
-    )
-    empty = (F.size(found) == 0) | ((F.size(found) == 1) & F.get(found, F.lit(0)).isNull())
-    return F.when(~empty, found)
+    found = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)).try_cast("array<double>")
+    return F.when(c.rlike(_HAS_NUMBERS), found)
 
 
 def token(c: Column) -> Column:

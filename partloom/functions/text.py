@@ -21,6 +21,8 @@ DEFAULT_STATUS = "ACTIV"
 DEFAULT_WARRANTY = 24
 
 _WHITESPACE_RUN = "[" + WHITESPACE + "]+"
+# Filler words, anything in brackets, and all that is no letter or digit.
+_SOCKET_NOISE = "(?:" + "|".join(SOCKET_FILLERS) + r"|\([^\n]*?\)|[^A-Z0-9])+"
 # Python reads a decimal literal here; Java's parser alone would take "36d" too.
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -80,28 +82,16 @@ def derive_sku(brand: Column, name: Column) -> Column:
     )
 
 
-def _socket_text(c: Column) -> Column:
-    text = F.upper(strip(c))
-    for filler in SOCKET_FILLERS:
-        text = F.replace(text, F.lit(filler), F.lit(" "))
-    text = F.regexp_replace(text, r"\([^\n]*?\)", " ")
-    return F.trim(F.regexp_replace(text, r"[^A-Z0-9]+", " "))
-
-
-def _socket_name(text: Column) -> Column:
-    lga = F.regexp_extract(text, r"\bLGA ?([0-9]{3,5})\b", 1)
-    am = F.regexp_extract(text, r"\bAM([2-5])\b", 1)
-    return (
-        F.when(text.contains("AM5"), F.lit("AM5"))
-        .when(lga != "", F.concat(F.lit("LGA"), lga))
-        .when(am != "", F.concat(F.lit("AM"), am))
-        .when(text != "", text)
-    )
-
-
 def normalize_socket(c: Column) -> Column:
-    """One spelling per CPU socket: AM5, LGA<n>, AM<n>, else the cleaned text."""
-    return _socket_name(_socket_text(c))
+    """One spelling per CPU socket: AM5, LGA<n>, AM<n>, else the cleaned text.
+
+    Each step feeds the next one only, so no text is searched twice.
+    """
+    words = F.trim(F.regexp_replace(F.upper(strip(c)), _SOCKET_NOISE, " "))
+    named = F.regexp_replace(words, r"^.*AM5.*$", "AM5")
+    named = F.regexp_replace(named, r"^.*?\bLGA ?([0-9]{3,5})\b.*$", "LGA$1")
+    named = F.regexp_replace(named, r"^.*?\bAM([2-5])\b.*$", "AM$1")
+    return F.nullif(named, F.lit(""))
 
 
 def to_number(c: Column) -> Column:

@@ -45,10 +45,9 @@ def decode_long(
         mapped = mapped.withColumn(
             "field", F.coalesce(F.col("field"), F.raise_error(message).cast("string"))
         )
-    rule = F.col("rule")
+    rule, value = F.col("rule"), F.col("value")
     # Blank is null for every rule; other texts are decoded as they stand.
-    value = F.when(text.strip(F.col("value")) != "", F.col("value"))
-    return mapped.select(
+    return mapped.withColumn("value", _unless_blank(value)).select(
         "category",
         "item_id",
         "name",
@@ -87,14 +86,17 @@ def decode_with_status(raw: DataFrame) -> DataFrame:
     return decode_long(marked.withColumn("load_status", status), keep=("load_status",))
 
 
+def _unless_blank(value: Column) -> Column:
+    return F.when(text.strip(value) != "", value)
+
+
 def _single(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(value))
 
 
 def _typed(field: SpecField) -> list[Column]:
     """Typed columns of a field, from its raw text column of the same name."""
-    raw = F.col(f"_{field.field}")
-    value = F.when(text.strip(raw) != "", raw)
+    value = F.col(f"_{field.field}")
     if field.rule == "drive_type":
         parts = (decode.drive_type_text(value), decode.drive_type_numbers(value))
     elif field.rule == "drive_form":
@@ -127,7 +129,8 @@ def decode_wide(raw: DataFrame, category: str, drop_thousands_commas: bool = Fal
     items = rows.groupBy("item_id").agg(
         F.max("name").alias("_name"), F.max("price_text").alias("_price"), *texts
     )
-    return items.select(
+    blanked = {f"_{f.field}": _unless_blank(F.col(f"_{f.field}")) for f in layout}
+    return items.withColumns(blanked).select(
         "item_id",
         text.newline_to_space(F.col("_name")).alias("name"),
         decode.price(F.col("_price"), drop_thousands_commas).alias("price"),

@@ -65,7 +65,8 @@ def compatible(
     links = tables["product_standard"].join(matching, "standard_id").select("produs_id")
     targets = having(tables["product"], wanted, ["categorie_id"])
     found = links.join(targets.select("produs_id", "cod_sku", "denumire"), "produs_id")
-    return found.select("cod_sku", "denumire").orderBy(F.asc_nulls_last("denumire"))
+    # The SKU lets the sort split a name that very many products share.
+    return found.select("cod_sku", "denumire").orderBy(F.asc_nulls_last("denumire"), "cod_sku")
 
 
 def compatible_boards(tables: Tables, cpu_sku: str) -> DataFrame:

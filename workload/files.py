@@ -159,7 +159,7 @@ def read_mixed_files(spark, sf_dir):
 def discover_file(spark, sf_dir):
     """The first pattern with a hit, then the shortest path."""
     root = scratch_path(spark, "discover")
-    b.read(spark, sf_dir, "part").repartition("p_type").write.partitionBy("p_type").csv(root)
+    b.read(spark, sf_dir, "part").write.partitionBy("p_type").csv(root)
     path = discovery.find_file(spark, root, ["*.tsv", "part-*.csv", "*"])
     found = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"))
     category = F.regexp_extract("path", "p_type=([^/]+)/", 1).alias("category")
@@ -168,7 +168,7 @@ def discover_file(spark, sf_dir):
 
 @query(
     "missing_sources",
-    f"SELECT p_name AS denumire, p_brand AS producator FROM part",
+    "SELECT p_name AS denumire, p_brand AS producator FROM part",
 )
 def missing_sources(spark, sf_dir):
     """An absent source adds nothing and does not stop the others."""
