@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.functions import decode
+from partloom.functions import decode, text
 from partloom.operators.columns import resolve_columns
 from partloom.operators.reshape import union_by_name
 from partloom.schemas import RESOLVED_COLUMNS
@@ -21,6 +21,11 @@ ORDER_COLUMNS = ("source_rank", "source_file", "source_block", "source_row")
 # Delimiters a mapping file may use, by preference.
 MAP_DELIMITERS = (",", ";", "|", "\t")
 
+# A line of whole fields that ends inside a quoted one. An inch mark within an
+# unquoted field opens nothing.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_OPEN_AT_END = rf'^(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+{_QUOTED}\z'
+
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
@@ -35,15 +40,14 @@ class Layout(NamedTuple):
 def profile_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per file: its header line, whether it is UTF-8, whether a value spans lines.
 
-    One streaming pass over the lines, reduced to a row per file. A quoted
-    value that spans lines shows as a line with an odd number of quotes.
+    One streaming pass over the lines, reduced to a row per file.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    opens = F.col("value").contains('"') & F.col("value").rlike(_OPEN_AT_END)
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
         F.is_valid_utf8("value").alias("utf8"),
-        (quotes % 2 == 1).alias("open_quote"),
+        opens.alias("open_quote"),
         "value",
     )
     profiled = lines.groupBy("path").agg(
@@ -152,7 +156,7 @@ def read_standards_map(spark: SparkSession, path: str, wanted: Sequence[str]) ->
     names = [name.strip().lower() for name in next(csv.reader([line], delimiter=delimiter))]
     if "raw_column" not in names or "grup" not in names:
         return {}
-    raw, group = (F.trim(f"c{names.index(n)}") for n in ("raw_column", "grup"))
+    raw, group = (text.strip(F.col(f"c{names.index(n)}")) for n in ("raw_column", "grup"))
     rows = (
         spark.read.schema(", ".join(f"c{i} string" for i in range(len(names))))
         .option("header", True)

@@ -49,6 +49,31 @@ def test_profile(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize(
+    ("line", "spans"),
+    [
+        ('3.5" drive,1', False),
+        ('a,3.5" drive', False),
+        ('"a ""b"", c",1', False),
+        ('"a""', True),
+        ('x,"a', True),
+        ('"whole","open ""quote"" here', True),
+        ('"whole",inch 5",,"', True),
+        (',"",""', False),
+        ('"a" tail,b', False),
+    ],
+)
+def test_values_that_span_lines(spark, tmp_path, line, spans):
+    path = write(tmp_path / "a.csv", f"x,y\n{line}\n")
+    assert csv_files.profile_csv(spark, [path]).first()["multi_line"] is spans
+
+
+def test_long_lines_are_profiled(spark, tmp_path):
+    fields = ",".join(['"a ""quoted"" b"', "plain", '5"'] * 5000)
+    path = write(tmp_path / "a.csv", f"x\n{fields}\n{'""' * 50_000}\n")
+    assert csv_files.profile_csv(spark, [path]).first()["multi_line"] is False
+
+
 def test_header_names():
     assert csv_files.header_names('a,"b,c",,a,') == ("a", "b,c", "Unnamed: 2", "a.1", "Unnamed: 4")
 
@@ -57,11 +82,13 @@ def test_folder_of_unlike_files(spark, tmp_path):
     write(tmp_path / "a.csv", "Name,Brand,Type\ncafé,Acme,CPU\n\"say \"\"hi\"\", you\",Acme,CPU\n")
     write(tmp_path / "x" / "b.csv", "model,maker,CPU Socket\ncafé,Bolt,am4\n", "latin-1")
     write(tmp_path / "x" / "c.csv", 'Model,pn\n"two\nlines",p-1\n')
+    write(tmp_path / "x" / "d.csv", 'Model,pn\n3.5" disk,p-2\n2.5" disk,p-3\n')
     write(tmp_path / "x" / "blank.csv", "\n\n")
     with pytest.warns(UserWarning, match="1 files have no header"):
         products = csv_files.read_folder(spark, str(tmp_path))
     rows = {r["denumire"]: r for r in products.collect()}
-    assert len(rows) == 3 and products.count() == 4
+    assert len(rows) == 5 and products.count() == 6
+    assert rows['3.5" disk']["cod_sku"] == "p-2"
     assert rows["two\nlines"]["cod_sku"] == "p-1"
     assert rows['say "hi", you']["categorie"] == "CPU"
     socketed = [r for r in products.collect() if r["socket"]]
