@@ -30,11 +30,6 @@ def size_in_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` when its measured size allows, else leave it alone."""
-    return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
-
-
 def few_values(df: DataFrame, column: str, at_most: int = FEW) -> list | None:
     """The distinct values of a column when there are few, else None."""
     rows = df.select(column).distinct().limit(at_most + 1).collect()
@@ -113,12 +108,3 @@ def having(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 def lacking(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` without a match in ``right``."""
     return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
-
-
-def lacking_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Like :func:`lacking`, with null equal to null."""
-    known = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    match = F.lit(True)
-    for key in keys:
-        match = match & left[key].eqNullSafe(known[f"_{key}"])
-    return left.join(known, match, "left_anti")

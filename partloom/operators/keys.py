@@ -45,6 +45,7 @@ def assign_ids(
     if taken is not None:
         highest = taken.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("highest"))
         identifier = identifier + highest.scalar()
-    numbered = rows.withColumn("_bucket", key_bucket(keys, digits)).withColumn(id_column, identifier)
+    bucketed = rows.withColumn("_bucket", key_bucket(keys, digits))
+    numbered = bucketed.withColumn(id_column, identifier)
     others = [c for c in rows.columns if c != id_column]
     return numbered.select(id_column, *others)

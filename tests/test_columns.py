@@ -95,3 +95,11 @@ def test_unpivot_keeps_only_mapped_columns(spark):
         ("s2", "MEM_TYPE", "DDR5"),
     ]
     assert reshape.standard_codes(df, {"bus": "INTERFATA"}).count() == 0
+
+
+def test_unpivot_and_pivot_undo_each_other(spark):
+    rows = [("s1", "AM5", "DDR5"), ("s2", "AM4", None), ("s3", None, "DDR4")]
+    df = spark.createDataFrame(rows, "cod_sku string, socket string, memory_type string")
+    links = reshape.standard_links(df, {"socket": "S", "memory_type": "M"})
+    back = links.groupBy("cod_sku").pivot("grup", ["S", "M"]).agg(F.first("cod"))
+    assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(rows, key=str)

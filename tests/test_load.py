@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from partloom import session
 from partloom.operators import checks, merge
 from partloom.plans import catalog_queries as q
 from partloom.plans import star_load
@@ -137,3 +138,12 @@ def test_listing_of_orphan_links(spark):
     }
     assert q.product_standards(tables).first()["standarde"] == "G:c, :"
     assert q.product_standards(tables).select(F.col("cod_sku")).first()[0] == "s"
+
+
+def test_scratch_lies_in_the_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+    if before:
+        assert session.scratch_path(spark, "x").startswith(before.rstrip("/"))
+    rows = session.stored(spark.range(3), "three")
+    assert rows.count() == 3 and rows.dtypes == [("id", "bigint")]

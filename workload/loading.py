@@ -30,14 +30,18 @@ def _merged(old: str, incoming: str, keys: list[str], id_column: str) -> str:
     return f"SELECT {columns} FROM ({old}) UNION ALL SELECT {columns} FROM ({new})"
 
 
-@query("dim_category", f"SELECT categorie_id, nume, CAST(NULL AS STRING) AS descriere FROM ({sql.CATEGORY})")
+@query(
+    "dim_category",
+    f"SELECT categorie_id, nume, {sql.NO_TEXT} AS descriere FROM ({sql.CATEGORY})",
+)
 def dim_category(spark, sf_dir):
     return b.category(spark, sf_dir)
 
 
 @query(
     "dim_manufacturer",
-    f"SELECT producator_id, nume, CAST(NULL AS STRING) AS tara, CAST(NULL AS STRING) AS website FROM ({sql.MANUFACTURER})",
+    f"SELECT producator_id, nume, {sql.NO_TEXT} AS tara, {sql.NO_TEXT} AS website "
+    f"FROM ({sql.MANUFACTURER})",
 )
 def dim_manufacturer(spark, sf_dir):
     return b.manufacturer(spark, sf_dir)
@@ -45,7 +49,7 @@ def dim_manufacturer(spark, sf_dir):
 
 @query(
     "dim_standard",
-    f"SELECT standard_id, grup, cod, CAST(NULL AS STRING) AS descriere FROM ({sql.STANDARD})",
+    f"SELECT standard_id, grup, cod, {sql.NO_TEXT} AS descriere FROM ({sql.STANDARD})",
 )
 def dim_standard(spark, sf_dir):
     return b.standard(spark, sf_dir)

@@ -14,6 +14,7 @@ WAREHOUSE = (
     "FROM supplier JOIN nation ON s_nationkey = n_nationkey "
     "JOIN region ON n_regionkey = r_regionkey"
 )
+NO_TEXT = "CAST(NULL AS STRING)"
 GROUPS = {"socket": "SOCKET_CPU", "memory_type": "MEM_TYPE", "form_factor": "FORM_FACTOR_MB"}
 
 
