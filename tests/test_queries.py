@@ -9,14 +9,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from workload import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
