@@ -135,7 +135,7 @@ def _branch(level: int, threshold: float):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Tables in which every run of equal ``column`` values of the sorted input is whole."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -166,7 +166,7 @@ def _likely_groups(floor: float):
     """Small nodes to groups of members whose estimated similarity reaches ``floor``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, "node"):
+        for table in whole_runs(batches, "node"):
             nodes = table.column("node").to_numpy()
             docs = table.column("doc_id").to_numpy()
             matrix = _token_matrix(table.column("tokens").combine_chunks())
@@ -226,7 +226,7 @@ def _confirmed(width: int, percent: int):
                     yield here, there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, "node"):
+        for table in whole_runs(batches, "node"):
             nodes = table.column("node").to_numpy()
             docs = table.column("doc_id").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1], [True])))

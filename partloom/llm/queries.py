@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import contamination, near_dups, packing, toxicity
+from partloom.llm import (
+    contamination,
+    html_text,
+    licenses,
+    line_dups,
+    near_dups,
+    packing,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +47,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(read(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[
+            f"m.{c}"
+            for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        ],
+        "base_failed",
+        "kept",
+        "posterior",
+    )
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
@@ -58,6 +84,42 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        "best_license",
+        "best_score",
+        "n_matches",
+    )
+
+
+@query("op6_pii_surrogates")
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(read(spark, sf_dir, "documents"), key="partloom").select(
+        "doc_id", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"), "text"
+    )
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dups.without_repeated_runs(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.trained(pages))
+
+
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(

@@ -14,26 +14,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from partloom.llm.storage import written
-from partloom.llm.words import FOLDED, LETTERS, hash_words, pieces, text_buffers
+from partloom.llm.words import FOLDED, LETTERS, hash_words, mix, pieces, powers, text_buffers
 
-# Terms hash to this many slots; only slots seen in enough labelled rows get a weight.
+# Words and their beginnings of so many bytes hash to this many slots.
 SLOTS = 1 << 30
+BEGINNINGS = (4, 5, 6, 7, 8)
 FACTORS = 4
+# A slot gets a weight if so many training rows have it, and the share of toxic ones
+# among them lies so many standard errors from the share among all.
 LEAST_ROWS = 4
+LEAST_ERRORS = 4.0
 # Labelled rows a model is fitted on at most, chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
 EPOCHS = 30
 SEED = 11
 
 
-def _term_slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, slot) pairs of the texts, ascending."""
+def _terms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of every word and word beginning of the texts, repeats included."""
     data, offsets = text_buffers(batch.column("text"))
-    hashes, rows, *_ = hash_words(data, offsets, LETTERS, FOLDED)
-    pair = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (hashes % np.uint64(SLOTS)))
-    return (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    hashes, rows, heads, sizes = hash_words(data, offsets, LETTERS, FOLDED)
+    found = [(rows, hashes)]
+    start = np.zeros(len(heads), dtype=np.uint64)
+    weights = powers(max(BEGINNINGS))
+    for length in range(1, max(BEGINNINGS) + 1):
+        longer = np.flatnonzero(sizes > length)
+        rows, heads, sizes, start = rows[longer], heads[longer], sizes[longer], start[longer]
+        start = start + FOLDED[data[heads + length - 1]] * weights[length - 1]
+        if length in BEGINNINGS:
+            found.append((rows, mix(start ^ np.uint64(length))))
+    rows, hashes = (np.concatenate(x) for x in zip(*found))
+    return rows, (hashes % np.uint64(SLOTS)).astype(np.int64)
 
 
 class FactorizationMachine:
@@ -41,13 +54,22 @@ class FactorizationMachine:
 
     def __init__(self, slots: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.slots, self.bias, self.weights, self.factors = slots, bias, weights, factors
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[slots & 0xFFFF] = True
 
-    def margins(self, rows: np.ndarray, slots: np.ndarray, count: int) -> np.ndarray:
+    def coded(self, rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a row and the place of a slot that has a weight, ascending."""
         if not len(self.slots):
-            return np.full(count, self.bias)
+            return rows[:0], rows[:0]
+        likely = np.flatnonzero(self.maybe[slots & 0xFFFF])
+        rows, slots = rows[likely], slots[likely]
         at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
         known = self.slots[at] == slots
-        rows, at = rows[known], at[known]
+        pair = np.unique(rows[known] * len(self.slots) + at[known])
+        return pair // len(self.slots), pair % len(self.slots)
+
+    def margins(self, rows: np.ndarray, slots: np.ndarray, count: int) -> np.ndarray:
+        rows, at = self.coded(rows, slots)
         out = self.bias + np.bincount(rows, self.weights[at], minlength=count)
         for f in range(self.factors.shape[1]):
             v = self.factors[at, f]
@@ -74,22 +96,37 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def telling_slots(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The slots whose presence goes with a label, ascending."""
+    flat = np.concatenate([*examples, np.zeros(0, dtype=np.int64)])
+    found, place, rows_with = np.unique(flat, return_inverse=True, return_counts=True)
+    if not len(found):
+        return found
+    toxic = np.bincount(place, np.repeat(labels, [len(e) for e in examples]))
+    share = labels.mean()
+    error = np.sqrt(rows_with * share * (1 - share))
+    apart = np.abs(toxic - rows_with * share) >= LEAST_ERRORS * error
+    return found[apart & (rows_with >= LEAST_ROWS)]
+
+
 def fit(examples: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
-    """AdaGrad over mini-batches on log loss, with L2 that holds rare terms near zero."""
+    """AdaGrad over mini-batches on log loss with L2; each example is its distinct slots.
+
+    Labels that are all alike, or none, give a machine that answers with their rate.
+    """
     rng = np.random.default_rng(SEED)
-    found, rows_with = np.unique(np.concatenate([*examples, []]).astype(np.int64), return_counts=True)
-    slots = found[rows_with >= LEAST_ROWS]
-    positive = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < positive < 1 or not len(slots):
-        bias = 6.0 if positive == 1 and len(labels) else -6.0
-        return FactorizationMachine(slots[:0], bias, np.zeros(0), np.zeros((0, FACTORS)))
+    positive = (float(labels.sum()) + 0.01) / (len(labels) + 0.02)
+    bias = float(np.log(positive / (1 - positive)))
+    one_kind = not len(labels) or labels.min() == labels.max()
+    slots = np.zeros(0, dtype=np.int64) if one_kind else telling_slots(examples, labels)
+    if not len(slots):
+        return FactorizationMachine(slots, bias, np.zeros(0), np.zeros((0, FACTORS)))
     coded = []
     for example in examples:
         at = np.minimum(np.searchsorted(slots, example), len(slots) - 1)
         coded.append(at[slots[at] == example])
     weights = np.zeros(len(slots))
     factors = rng.normal(0, 0.01, (len(slots), FACTORS))
-    bias = float(np.log(positive / (1 - positive)))
     seen_w, seen_v, seen_b = np.full(len(slots), 1e-6), np.full(factors.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(coded))
@@ -124,7 +161,10 @@ def fit(examples: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
-            rows, slots = _term_slots(batch)
+            rows, slots = _terms(batch)
+            pair = np.unique((rows.astype(np.uint64) << np.uint64(32)) | slots.astype(np.uint64))
+            slots = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            rows = (pair >> np.uint64(32)).astype(np.int64)
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -162,17 +202,17 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     return FactorizationMachine.unpacked(row)
 
 
-def _scored(shared, text_at: int):
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for whole in batches:
             for batch in pieces(whole, "text"):
-                rows, slots = _term_slots(batch)
+                rows, slots = _terms(batch)
                 score = sigmoid(machine.margins(rows, slots, batch.num_rows))
-                names = [n for n in batch.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(n) for n in names], pa.array(score)], [*names, "score"]
-                )
+                at = batch.schema.get_field_index("text")
+                columns = [c for i, c in enumerate(batch.columns) if i != at]
+                names = [n for i, n in enumerate(batch.schema.names) if i != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*names, "score"])
 
     return run
 
@@ -200,14 +240,31 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(marks, "doc_id").select("doc_id", "text", "label")
 
 
-def scores(documents: DataFrame, machine: FactorizationMachine) -> DataFrame:
-    """Rows (doc_id, score): the probability that a document is toxic, from its text alone.
+def scores(
+    documents: DataFrame, machine: FactorizationMachine, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns named in ``keep``, and score: the probability that a text is toxic.
 
-    Null and empty texts get the score of a text without terms. Repeated rows are
-    scored as often as they come, null ids too; other columns are ignored.
+    The score depends on the whole text alone. Null and empty texts get the score of a
+    text without terms. Repeated rows are scored as often as they come, null ids too; a
+    column score of ``documents`` is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
+    names = [c for c in keep if c != "score"]
+    kept = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)],
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    return rows.mapInArrow(_scored(shared, 1), "doc_id long, score double")
+    scored = rows.mapInArrow(
+        _scored(shared), StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    )
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "score")
+
+
+def without_toxic(
+    documents: DataFrame, machine: FactorizationMachine, least: float = 0.5
+) -> DataFrame:
+    """The documents that score below ``least``, with all their columns."""
+    scored = scores(documents, machine, tuple(documents.columns))
+    return scored.where(F.col("score") < least).select(*documents.columns)
