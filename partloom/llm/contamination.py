@@ -227,24 +227,10 @@ _SPANS = pa.schema(
 )
 
 
-def contamination(
-    documents: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """What of each document occurs in a benchmark item.
-
-    Words are runs of [0-9a-z] and non-ASCII characters, A-Z lower-cased. A window is
-    ``width`` consecutive words of an item, or a whole shorter item. A word of a
-    document is hit if it lies in any occurrence of a window.
-
-    Returned: the columns named in ``keep`` (text may be one of them), n_words, n_hit,
-    items (sorted ids of the items with occurring windows) and spans (byte ranges of
-    maximal hit runs). Null or empty text: no words. Items without words have no
-    window; an item whose id is null marks words but is not listed; an empty
-    benchmark marks nothing. Repeated documents are returned as often as they come.
-    """
-    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+def _found(documents: DataFrame, benchmark: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ... beside n_words, n_hit, items and spans."""
     state = documents.select(
-        *columns,
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         F.col("text").alias("body"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"),
@@ -257,9 +243,24 @@ def contamination(
             state = written(state, "contamination")
         shared = context.broadcast(automaton)
         state = state.mapInArrow(_matches(shared, len(keep), _SPANS), state.schema)
-    return state.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items", "spans"
-    )
+    return state
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """What of each document occurs in a benchmark item.
+
+    Words are runs of [0-9a-z] and non-ASCII characters, A-Z lower-cased. A window is
+    ``width`` consecutive words of an item, or a whole shorter item. A word of a
+    document is hit if it lies in any occurrence of a window.
+
+    Returned: doc_id, n_words, n_hit, items (sorted ids of the items with occurring
+    windows) and spans (byte ranges of maximal hit runs). Null or empty text: no words.
+    Items without words have no window; an item whose id is null marks words but is not
+    listed; an empty benchmark marks nothing. Repeated documents are returned as often
+    as they come; other columns are ignored.
+    """
+    found = _found(documents, benchmark, width, ["doc_id"])
+    return found.select(F.col("k0").alias("doc_id"), "n_words", "n_hit", "items", "spans")
 
 
 def decontaminate(
@@ -273,15 +274,15 @@ def decontaminate(
     for the rows that change.
     """
     names = documents.columns
-    found = contamination(documents, benchmark, width, tuple(names)).where(
+    found = _found(documents, benchmark, width, names).where(
         F.col("n_hit") <= max_coverage * F.col("n_words")
     )
-    raw = F.encode("text", "UTF-8")
+    raw = F.encode("body", "UTF-8")
     gaps = F.transform(
         F.sequence(F.lit(0), F.size("spans")),
         lambda i: F.struct(
             F.when(i == 0, 0).otherwise(F.get(F.col("spans"), i - 1)["end"]).alias("a"),
-            F.coalesce(F.get(F.col("spans"), i)["start"], F.octet_length("text")).alias("b"),
+            F.coalesce(F.get(F.col("spans"), i)["start"], F.octet_length("body")).alias("b"),
         ),
     )
     cut = F.array_join(
@@ -289,8 +290,10 @@ def decontaminate(
         "",
     )
     changed = F.col("n_hit") > 0
-    out = found.withColumn("text", F.when(changed, cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        length = F.length("text").cast(documents.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    out = found.withColumn("left", F.when(changed, cut).otherwise(F.col("body")))
+    columns = {c: F.col(f"k{i}") for i, c in enumerate(names)}
+    columns["text"] = F.col("left")
+    if "n_chars" in columns:
+        length = F.length("left").cast(documents.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(changed, length).otherwise(columns["n_chars"])
+    return out.select(*[column.alias(c) for c, column in columns.items()])

@@ -121,17 +121,17 @@ def without_repeated_runs(documents: DataFrame, width: int = WINDOW) -> DataFram
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed", "n_runs")]
     marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
     gone = repeated_lines(documents, width).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone"), "removed"
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone"), F.col("removed").alias("_removed")
     )
     joined = marked.join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_gone")), "left"
     )
-    changed = F.col("removed").isNotNull()
+    changed = F.col("_removed").isNotNull()
     text = bind(
         _lines(F.col("text")),
         lambda lines: F.array_join(
             F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")),
+                F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")),
                 lambda i: F.get(lines, i),
             ),
             "\n",
@@ -139,12 +139,12 @@ def without_repeated_runs(documents: DataFrame, width: int = WINDOW) -> DataFram
     )
     full = F.filter(_lines(F.col("text")), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))
     breaks = F.filter(
-        neighbours(F.col("removed"), 1, lambda a, b: b - a), lambda gap: gap > 1
+        neighbours(F.col("_removed"), 1, lambda a, b: b - a), lambda gap: gap > 1
     )
     out = (
         joined.withColumn("_text", F.when(changed, text).otherwise(F.col("text")))
         .withColumn("n_lines", F.size(full).cast("long"))
-        .withColumn("n_removed", F.when(changed, F.size("removed")).otherwise(0).cast("long"))
+        .withColumn("n_removed", F.when(changed, F.size("_removed")).otherwise(0).cast("long"))
         .withColumn("n_runs", F.when(changed, F.size(breaks) + 1).otherwise(0).cast("long"))
     )
     if "n_chars" in names:

@@ -56,7 +56,7 @@ KINDS = (
         "secret",
         r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b"
         r"|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b)\s*[=:]\s*"
-        r"(?:\"[^\"\s]+\"|'[^'\s]+'|[^\s\"']+)",
+        r"(?:\"[^\"\s]+\"|'[^'\s]+'|[^\s\"',;]*[^\s\"',;.])",
     ),
     Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     Kind("card", r"(?<![\d.])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\d.]\d)"),
@@ -303,7 +303,7 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")
     ).agg(
         F.array_sort(F.collect_set(F.struct("pos", "said"))).alias("_said"),
-        F.array_sort(F.collect_set("kind")).alias("entity_kinds"),
+        F.array_sort(F.collect_set("kind")).alias("_kinds"),
     )
     marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
     has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
@@ -325,7 +325,11 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
         changed[at] = F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
     with_entities = (
         joined.withColumn("text", text)
-        .select(*changed, F.size("_said").cast("long").alias("n_entities"), "entity_kinds")
+        .select(
+            *changed,
+            F.size("_said").cast("long").alias("n_entities"),
+            F.col("_kinds").alias("entity_kinds"),
+        )
     )
     without = marked.where(~has).select(
         *names, F.lit(0).cast("long").alias("n_entities"), no_kinds.alias("entity_kinds")

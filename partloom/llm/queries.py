@@ -16,6 +16,7 @@ from partloom.llm import (
     packing,
     pii,
     quality,
+    sql,
     suffix_dedup,
     toxicity,
 )
@@ -47,7 +48,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", sql.quality_sql())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(read(spark, sf_dir, "documents"))
     return judged.select(
@@ -74,7 +75,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", sql.NEAR_SQL)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -84,7 +85,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary())
 
 
-@query("op5_license_scan")
+@query("op5_license_scan", sql.license_sql())
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -102,14 +103,14 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", sql.LINES_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dups.without_repeated_runs(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
     )
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", sql.REPEATS_SQL)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"))
 
@@ -120,7 +121,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.trained(pages))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", sql.contamination_sql())
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=10

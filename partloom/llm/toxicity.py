@@ -240,31 +240,35 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(marks, "doc_id").select("doc_id", "text", "label")
 
 
-def scores(
-    documents: DataFrame, machine: FactorizationMachine, keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """The columns named in ``keep``, and score: the probability that a text is toxic.
-
-    The score depends on the whole text alone. Null and empty texts get the score of a
-    text without terms. Repeated rows are scored as often as they come, null ids too; a
-    column score of ``documents`` is replaced.
-    """
+def _scored_rows(documents: DataFrame, machine: FactorizationMachine, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ... beside score."""
     shared = documents.sparkSession.sparkContext.broadcast(machine)
-    names = [c for c in keep if c != "score"]
-    kept = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
+    kept = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     rows = documents.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)],
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    scored = rows.mapInArrow(
+    return rows.mapInArrow(
         _scored(shared), StructType([*kept.schema.fields, StructField("score", DoubleType())])
     )
-    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "score")
+
+
+def scores(documents: DataFrame, machine: FactorizationMachine) -> DataFrame:
+    """Rows (doc_id, score): the probability that a text is toxic.
+
+    The score depends on the whole text alone. Null and empty texts get the score of a
+    text without terms. Repeated rows are scored as often as they come, null ids too;
+    other columns are ignored.
+    """
+    return _scored_rows(documents, machine, ["doc_id"]).select(
+        F.col("k0").cast("long").alias("doc_id"), "score"
+    )
 
 
 def without_toxic(
     documents: DataFrame, machine: FactorizationMachine, least: float = 0.5
 ) -> DataFrame:
-    """The documents that score below ``least``, with all their columns."""
-    scored = scores(documents, machine, tuple(documents.columns))
-    return scored.where(F.col("score") < least).select(*documents.columns)
+    """The documents that score below ``least``, with all their columns as they are."""
+    names = documents.columns
+    scored = _scored_rows(documents, machine, names).where(F.col("score") < least)
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
