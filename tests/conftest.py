@@ -6,12 +6,15 @@ from partloom.session import builder
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (
         builder("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
+        .config("spark.checkpoint.dir", str(shared / "checkpoints"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
