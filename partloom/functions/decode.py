@@ -40,8 +40,9 @@ def token(c: Column) -> Column:
 
 
 def flag(c: Column) -> Column:
-    """A token read as a boolean; null when it is neither yes nor no."""
-    return token(c).try_cast("boolean")
+    """Yes and no in any case as true and false; null when it is neither."""
+    lowered = F.lower(c)
+    return F.when(lowered == "yes", True).when(lowered == "no", False)
 
 
 def text_list(c: Column) -> Column:
@@ -113,7 +114,20 @@ def is_pair(values: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A double as the shortest decimal text: ``87``, ``9.99``, no exponent."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    decimals = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(decimals)
+    """A double as a text that reads back to the same double: ``87``, ``9.99``, ``1e+30``.
+
+    Decimal notation from a millionth up to below 1e21, an exponent elsewhere. What
+    is no finite number is null.
+    """
+    text, size = value.cast("string"), F.abs(value)
+    # The text has at most 17 digits, so either decimal type holds it without loss.
+    digits = F.when(size < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
+        text.try_cast("decimal(38,16)").cast("string")
+    )
+    plain = F.regexp_replace(digits, r"\.?0+$", "")
+    exponent = F.regexp_replace(F.regexp_replace(text, r"(?:\.0)?E-", "e-"), r"(?:\.0)?E", "e+")
+    return (
+        F.when(value == 0, "0")
+        .when((size >= 1e-6) & (size < 1e21), plain)
+        .when(size < float("inf"), exponent)
+    )

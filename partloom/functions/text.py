@@ -101,8 +101,8 @@ def to_number(c: Column) -> Column:
 
 
 def warranty_months(c: Column) -> Column:
-    """Whole months, cut not rounded; bad or missing values take the default."""
-    return F.coalesce(to_number(c), F.lit(float(DEFAULT_WARRANTY))).cast("int")
+    """Whole months, cut not rounded; bad, missing and too large values take the default."""
+    return F.coalesce(to_number(c).try_cast("int"), F.lit(DEFAULT_WARRANTY))
 
 
 def status_or_default(c: Column, ignore_case: bool = False) -> Column:

@@ -78,7 +78,8 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     results = []
     for table, keys in UNIQUE_KEYS:
         if table in tables:
-            found = duplicates(tables[table], keys)
+            # A key without any value names no row, so it cannot occur twice.
+            found = duplicates(tables[table].na.drop(how="all", subset=list(keys)), keys)
             results.append(_summary(f"unique {table}({', '.join(keys)})", found))
     for child, foreign_key, parent, key in FOREIGN_KEYS:
         if child in tables and parent in tables:

@@ -16,38 +16,24 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01
 SALTS = 64
-FEW = 1000
 
 _ROW_OVERHEAD = 64
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Measured size of a frame of plain columns, as held in memory."""
+    """Measured size of a frame, as held in memory; nested values by their JSON text."""
     width = F.lit(_ROW_OVERHEAD + 8 * len(df.columns)).cast("bigint")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        column = F.col(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            # An element may be as short as a digit in the text and eight bytes in memory.
+            text = F.octet_length(F.to_json(F.struct(column)))
+            width = width + 8 * F.coalesce(text, F.lit(0))
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def few_values(df: DataFrame, column: str, at_most: int = FEW) -> list | None:
-    """The distinct values of a column when there are few, else None."""
-    rows = df.select(column).distinct().limit(at_most + 1).collect()
-    return [row[0] for row in rows] if len(rows) <= at_most else None
-
-
-def matching_few(facts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Facts whose key is among the wanted ones.
-
-    A few keys become a filter that the scan can use to skip data; more are
-    joined.
-    """
-    values = few_values(wanted, key)
-    if values is None:
-        return having(facts, wanted, [key])
-    return facts.where(F.col(key).isin(values))
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list:
     """Keys that hold more than ``share`` of the rows; at most 1/share of them."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))

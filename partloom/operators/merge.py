@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partloom.functions import text
 from partloom.operators.joins import having, lacking, lookup
@@ -43,7 +44,12 @@ def table_rows(df: DataFrame, table: str) -> DataFrame:
 
 
 def clean_wide(wide: DataFrame) -> DataFrame:
-    """Blank instead of null texts, whole warranty months, status in its domain."""
+    """Blank instead of null texts, whole warranty months, status in its domain.
+
+    Without a warranty or status column every row takes the default.
+    """
+    absent = [c for c in ("garantie_luni", "status") if c not in wide.columns]
+    wide = wide.withColumns({c: F.lit(None).cast("string") for c in absent})
     cleaned = wide.withColumns(
         {c: text.null_to_blank(F.col(c)) for c in WIDE_TEXTS if c in wide.columns}
     )
@@ -136,10 +142,18 @@ def new_links(
 
 
 def stock_rollup(wide: DataFrame) -> DataFrame:
-    """Quantity summed and threshold maximal per SKU and warehouse."""
+    """Quantity summed and threshold maximal per SKU and warehouse.
+
+    Fractions are summed as they are; only the total is cut to a whole number.
+    """
     present = wide.na.drop(how="any", subset=["cod_sku", "depozit"])
-    quantity = F.coalesce(F.sum(F.col("cantitate").cast("bigint")), F.lit(0).cast("bigint"))
-    threshold = F.max(F.col("prag_minim").cast("bigint"))
+
+    def exact(column: str) -> Column:
+        whole = isinstance(wide.schema[column].dataType, T.IntegralType)
+        return F.col(column).cast("bigint" if whole else "double")
+
+    quantity = F.coalesce(F.sum(exact("cantitate")).cast("bigint"), F.lit(0).cast("bigint"))
+    threshold = F.max(exact("prag_minim")).cast("bigint")
     return present.groupBy(*STOCK_KEYS).agg(
         quantity.alias("cantitate"), threshold.alias("prag_minim")
     )

@@ -26,8 +26,13 @@ def _mapped(raw: DataFrame, how: str) -> DataFrame:
 
 
 def unknown_labels(raw: DataFrame) -> DataFrame:
-    """Rows whose label the category does not know."""
-    return _mapped(raw.where(F.col("label").isNotNull()), "left_anti")
+    """Rows whose label the category does not know, or that have a value and no label."""
+    return _mapped(_labelled(raw), "left_anti")
+
+
+def _labelled(raw: DataFrame) -> DataFrame:
+    """The rows with something to decode; an item without any label has an empty one."""
+    return raw.where(F.col("label").isNotNull() | F.col("value").isNotNull())
 
 
 def decode_long(
@@ -38,10 +43,9 @@ def decode_long(
     An unknown label stops the job, or is left out for :func:`unknown_labels`
     to report. A blank text is null under every rule.
     """
-    labelled = raw.where(F.col("label").isNotNull())
-    mapped = _mapped(labelled, "left" if fail_on_unknown else "inner")
+    mapped = _mapped(_labelled(raw), "left" if fail_on_unknown else "inner")
     if fail_on_unknown:
-        message = F.concat(F.lit("no mapping for label "), F.col("label"))
+        message = F.concat(F.lit("no mapping for label "), F.coalesce("label", F.lit("null")))
         mapped = mapped.withColumn(
             "field", F.coalesce(F.col("field"), F.raise_error(message).cast("string"))
         )

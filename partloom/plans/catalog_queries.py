@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators.checks import duplicates
-from partloom.operators.joins import having, lacking, matching_few
+from partloom.operators.joins import having, lacking
 from partloom.schemas import SQL_NAMES
 
 Tables = Mapping[str, DataFrame]
@@ -50,7 +50,7 @@ def compatible(
 ) -> DataFrame:
     """Products of the categories that share a code of ``group`` with a product.
 
-    A product appears once per code it shares; comparison ignores case.
+    A product appears once per code it shares, in no order; comparison ignores case.
     """
     in_group = tables["standard"].where(F.upper("grup") == group)
     coded = in_group.select("standard_id", F.upper("cod").alias("code"))
@@ -58,19 +58,20 @@ def compatible(
 
     source = tables["product"].where(F.col("cod_sku") == source_sku)
     source = having(source, tables["category"], ["categorie_id"]).select("produs_id")
-    source_links = matching_few(tables["product_standard"], source, "produs_id")
+    source_links = having(tables["product_standard"], source, ["produs_id"])
     codes = source_links.join(coded, "standard_id").select("code")
 
     matching = having(coded, codes, ["code"]).select("standard_id")
     links = tables["product_standard"].join(matching, "standard_id").select("produs_id")
     targets = having(tables["product"], wanted, ["categorie_id"])
     found = links.join(targets.select("produs_id", "cod_sku", "denumire"), "produs_id")
-    # The SKU lets the sort split a name that very many products share.
-    return found.select("cod_sku", "denumire").orderBy(F.asc_nulls_last("denumire"), "cod_sku")
+    return found.select("cod_sku", "denumire")
 
 
 def compatible_boards(tables: Tables, cpu_sku: str) -> DataFrame:
-    return compatible(tables, cpu_sku, SOCKET_GROUP, BOARD_CATEGORIES)
+    found = compatible(tables, cpu_sku, SOCKET_GROUP, BOARD_CATEGORIES)
+    # The SKU lets the sort split a name that very many products share.
+    return found.orderBy(F.asc_nulls_last("denumire"), "cod_sku")
 
 
 def compatible_memory(tables: Tables, board_sku: str) -> DataFrame:

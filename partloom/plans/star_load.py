@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from partloom.operators import merge
+from partloom.operators.joins import having
 from partloom.operators.reshape import distinct_names, standard_codes, standard_links
 from partloom.schemas import STANDARDS_MAP
 from partloom.sources.csv_files import ORDER_COLUMNS
@@ -17,6 +18,7 @@ from partloom.sources.store import CatalogStore
 
 log = logging.getLogger(__name__)
 
+# Columns of the wide catalogue that make stock.
 STOCK_COLUMNS = {"depozit", "oras_depozit", "tara_depozit", "cantitate", "prag_minim"}
 
 
@@ -91,6 +93,30 @@ def load(
     return LoadReport(store.commit(run), added)
 
 
+def register(
+    store: CatalogStore, product: DataFrame, links: DataFrame, stock: DataFrame
+) -> LoadReport:
+    """Commit products, links and stock given by names, in the form of ``register_product``."""
+    run, tables = store.begin(), store.tables()
+    added: dict[str, int] = {}
+
+    def add(table: str, rows: DataFrame) -> DataFrame:
+        added[table] = store.append(run, table, rows)
+        return store.read(table, pending=run)
+
+    known = merge.new_products(
+        tables["product"], product, tables["category"], tables["manufacturer"], ["denumire"]
+    )
+    registered = having(add("product", known), product, ["cod_sku"])
+    codes = merge.new_links(tables["product_standard"], links, registered, tables["standard"])
+    add("product_standard", codes)
+    rolled = merge.stock_rollup(stock)
+    add("stock", merge.new_stock(tables["stock"], rolled, registered, tables["warehouse"]))
+    for table in ("manufacturer", "category", "standard", "warehouse"):
+        added[table] = store.append(run, table, tables[table].limit(0))
+    return LoadReport(store.commit(run), added)
+
+
 def _new_stock(
     store: CatalogStore, rows: DataFrame, product: DataFrame, warehouse: DataFrame
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from partloom.operators.columns import add_wide_defaults, clean_resolved, wide_order
 from partloom.operators.reshape import keep_first, union_by_name
 from partloom.sources.csv_files import ORDER_COLUMNS, read_folder, read_products, write_csv
-from partloom.sources.discovery import find_sources
+from partloom.sources.discovery import exists, find_sources
 
 # File patterns per category, by preference.
 SOURCE_PATTERNS = {
@@ -55,6 +55,29 @@ def write_wide(wide: DataFrame, path: str) -> None:
     wide.write.mode("overwrite").parquet(path)
 
 
+def read_wide_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The wide catalogue from its CSV form: all text, with the columns that order its rows.
+
+    It is an error if there is no such file. ``multi_line`` reads values that span lines,
+    at the price of one task a file.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    rows = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .csv(path)
+    )
+    return rows.select(
+        *rows.columns,
+        F.lit(0).alias("source_rank"),
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("source_block"),
+        F.monotonically_increasing_id().alias("source_row"),
+    )
+
+
 def export_wide_csv(wide: DataFrame, path: str) -> None:
     """The sixteen columns as CSV."""
     write_csv(wide.select(*[F.col(c) for c in wide_order(wide).columns]), path)

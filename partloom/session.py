@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,19 @@ def builder(master: str | None = None) -> SparkSession.Builder:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder ``spark.checkpoint.dir``.
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
 
-    Without that setting only a local session gets one, on its own machine.
+    Where that setting is absent, the warehouse folder serves, which is shared too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        shared = tempfile.mkdtemp(prefix="partloom-")
-    return f"{shared.rstrip('/')}/partloom/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir"
+    )
+    parent = f"{shared.rstrip('/')}/partloom/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    filesystem.mkdirs(folder)
+    filesystem.deleteOnExit(folder)
+    return f"{parent}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

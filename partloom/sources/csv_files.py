@@ -14,7 +14,7 @@ from partloom.functions import decode, text
 from partloom.operators.columns import resolve_columns
 from partloom.operators.reshape import union_by_name
 from partloom.schemas import RESOLVED_COLUMNS
-from partloom.sources.discovery import exists, list_files
+from partloom.sources.discovery import exists, hidden_files, list_files
 
 # Columns that put rows in input order: source, file, block of the file, row.
 ORDER_COLUMNS = ("source_rank", "source_file", "source_block", "source_row")
@@ -127,6 +127,9 @@ def read_folder(spark: SparkSession, root: str, source_rank: int = 0) -> DataFra
     """Catalogue columns of every CSV file below a folder; None when there is none."""
     if not exists(spark, root):
         return None
+    passed_over = [p for p in hidden_files(spark, root) if p.endswith(".csv")]
+    if passed_over:
+        warnings.warn(f"Spark does not read hidden files: {passed_over}", stacklevel=2)
     paths = [row.path for row in list_files(spark, root, "*.csv").toLocalIterator()]
     if not paths:
         return None

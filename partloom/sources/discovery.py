@@ -25,6 +25,25 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths below ``root`` that Spark's readers pass over: a leading dot or underscore.
+
+    Files that Spark itself writes beside its output are not among them. The listing
+    is the file system's own; no content is read.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    filesystem = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    files = filesystem.listFiles(folder, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        name = path.getName()
+        own = name in ("_SUCCESS", "_metadata", "_common_metadata") or name.endswith(".crc")
+        if name[0] in "._" and not own:
+            found.append(path.toString())
+    return sorted(found)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

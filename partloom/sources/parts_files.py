@@ -72,7 +72,9 @@ def _typed(kinds: dict[str, str], raw, numbers, items) -> list[Column]:
         elif kind == "items":
             columns.append(items(value).alias(field))
         elif kind == "boolean":
-            columns.append(value.try_cast("boolean").alias(field))
+            columns.append(
+                F.when(value == "true", True).when(value == "false", False).alias(field)
+            )
         elif kind == "mixed":
             decoded = numbers(value)
             columns.append(F.when(decoded.isNull(), value).alias(field))
@@ -142,6 +144,10 @@ def to_records(df: DataFrame, category: str, keep: Sequence[str] = ()) -> DataFr
         elif kind == "mixed":
             listed = F.parse_json(_number_json(F.col(f"{field}_numbers")))
             column = F.coalesce(listed, column.cast("variant"))
+        elif kind == "text":
+            # A decoded yes or no is a JSON boolean.
+            decided = F.when(column.isin("true", "false"), column.cast("boolean"))
+            column = F.coalesce(decided.cast("variant"), column.cast("variant"))
         columns.append(column.alias(field))
     return df.select(*columns)
 

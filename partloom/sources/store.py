@@ -2,20 +2,22 @@
 
 A load writes only its new rows, each table to a folder of its own run. The
 rows count from the moment one commit record appears; without it a later
-reader does not see them.
+reader does not see them. Each version has one record, created only if it is
+not there, so of two loads that saw the same version one fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from partloom.schemas import TABLE_DDL
 from partloom.sources.discovery import exists
 
-_COMMIT_DDL = "version long, run string"
+_COMMIT_DDL = "version long, run string, whole boolean"
 
 
 class CatalogStore:
@@ -24,27 +26,34 @@ class CatalogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._runs = self._committed()
+        self._commits = self._committed()
 
-    def _committed(self) -> list[str]:
+    def _committed(self) -> list[tuple[str, bool]]:
+        """Run of each version, and whether it holds the whole tables."""
         log = f"{self.root}/_commits"
         if not exists(self.spark, log):
             return []
         rows = self.spark.read.schema(_COMMIT_DDL).json(log).orderBy("version").collect()
-        return [row.run for row in rows]
+        return [(row.run, bool(row.whole)) for row in rows]
+
+    def _runs(self, version: int | None = None) -> list[str]:
+        """The runs whose rows make up a version, from its last compaction on."""
+        commits = self._commits[:version]
+        whole = [i for i, (_, all_rows) in enumerate(commits) if all_rows]
+        return [run for run, _ in commits[whole[-1] if whole else 0 :]]
 
     def refresh(self) -> int:
         """Take notice of loads committed since; returns the latest version."""
-        self._runs = self._committed()
+        self._commits = self._committed()
         return self.version
 
     @property
     def version(self) -> int:
-        return len(self._runs)
+        return len(self._commits)
 
     def read(self, table: str, version: int | None = None, pending: str | None = None) -> DataFrame:
         """A table as of a committed version, the latest by default."""
-        runs = self._runs[:version]
+        runs = self._runs(version)
         if pending:
             runs.append(pending)
         if not runs:
@@ -68,22 +77,42 @@ class CatalogStore:
         rows.sortWithinPartitions(SORT_KEYS[table]).write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(TABLE_DDL[table]).parquet(path).count()
 
-    def commit(self, run: str) -> int:
-        """Make a run visible: one record, written as one file.
+    def commit(self, run: str, whole: bool = False) -> int:
+        """Make a run visible: one record, written as one file under its version's name.
 
-        A run that did not see the latest version may hold rows that are there
-        by now, so it is refused. Loads are meant to run one at a time.
+        A run that did not see the latest version may hold rows that are there by now,
+        so it is refused; so is the slower of two that commit at once.
         """
         version = self.refresh()
         if int(run.split("-")[1]) != version:
             raise RuntimeError(f"another load has committed version {version}")
-        record = self.spark.range(1).select(
-            F.lit(version + 1).cast("bigint").alias("version"), F.lit(run).alias("run")
-        )
-        record.coalesce(1).write.mode("append").json(f"{self.root}/_commits")
-        self._runs.append(run)
+        self._create(version + 1, {"version": version + 1, "run": run, "whole": whole})
+        self._commits.append((run, whole))
         return version + 1
 
+    def _create(self, version: int, record: dict) -> None:
+        """Write the record of a version unless there is one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits/{version:08d}.json")
+        filesystem = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = filesystem.create(path, False)
+        except Py4JJavaError as error:
+            if "already exist" in str(error.java_exception):
+                raise RuntimeError(f"another load has committed version {version}") from error
+            raise
+        out.write(json.dumps(record).encode() + b"\n")
+        out.close()
+
+    def compact(self) -> int:
+        """Write every table as one run and switch to it in one commit.
+
+        Readers list one folder a table from then on; earlier versions stay readable.
+        """
+        run = self.begin()
+        for table in LOADED_TABLES:
+            self.append(run, table, self.read(table))
+        return self.commit(run, whole=True)
+
 
 # Tables a load fills, in the order their keys need, and what each is sorted by.
 SORT_KEYS = {

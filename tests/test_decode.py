@@ -71,9 +71,31 @@ def test_price(spark):
 
 
 def test_plain_number(spark):
-    values = [87.0, 9.99, 24100.0, 12345678.9, 0.001, None]
-    expected = ["87", "9.99", "24100", "12345678.9", "0.001", None]
-    assert apply(spark, decode.plain_number, values, "double") == expected
+    cases = {
+        87.0: "87",
+        9.99: "9.99",
+        24100.0: "24100",
+        12345678.9: "12345678.9",
+        0.001: "0.001",
+        0.12345678901234566: "0.12345678901234566",
+        1e-6: "0.000001",
+        -2.5e-7: "-2.5e-7",
+        1e-13: "1e-13",
+        1e30: "1e+30",
+        -1.25e21: "-1.25e+21",
+        123456789012345680000.0: "123456789012345680000",
+        0.0: "0",
+        None: None,
+        float("inf"): None,
+    }
+    written = apply(spark, decode.plain_number, list(cases), "double")
+    assert written == list(cases.values())
+    assert [t if t is None else float(t) for t in written[:-1]] == list(cases)[:-1]
+
+
+def test_flag_takes_yes_and_no_only(spark):
+    values = ["Yes", "NO", "1", "t", "Y", "true", "None", None]
+    assert apply(spark, decode.flag, values) == [True, False] + [None] * 6
 
 
 RAW = [
@@ -108,6 +130,10 @@ def test_unknown_label_stops(spark):
         specs.decode_long(raw).collect()
     assert specs.decode_long(raw, fail_on_unknown=False).count() == 6
     assert [r["label"] for r in specs.unknown_labels(raw).collect()] == ["Weight"]
+    bare = spark.createDataFrame([("memory", 5, "m", "$1", 0, None, "1 g")], RAW_SPEC_DDL)
+    assert [r["item_id"] for r in specs.unknown_labels(bare).collect()] == [5]
+    with pytest.raises(PySparkException, match="no mapping for label null"):
+        specs.decode_long(bare).collect()
     status = specs.decode_with_status(raw).select("category", "load_status").distinct()
     assert {tuple(r) for r in status.collect()} == {
         ("memory", "incomplete"),

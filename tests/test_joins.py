@@ -50,14 +50,9 @@ def test_semi_and_anti(spark):
     assert {r.i for r in joins.lacking(left, right, ["k"]).collect()} == {2, 3}
 
 
-def test_few_keys_become_a_filter(spark):
-    facts = spark.range(5000).withColumnRenamed("id", "k")
-    few = joins.matching_few(facts, spark.createDataFrame([(7,), (9,), (7,)], "k long"), "k")
-    assert sorted(r.k for r in few.collect()) == [7, 9]
-    many = joins.matching_few(facts, spark.range(2000).withColumnRenamed("id", "k"), "k")
-    assert many.count() == 2000
-    none = joins.matching_few(facts, spark.createDataFrame([], "k long"), "k")
-    assert none.count() == 0
+def test_size_of_nested_values(spark):
+    lists = spark.range(10).select(F.sequence(F.lit(1), F.lit(100_000)).alias("values"))
+    assert joins.size_in_bytes(lists) > 10 * 100_000 * 8
 
 
 def test_ids_are_unique_stable_and_above_those_taken(spark):

@@ -56,8 +56,8 @@ def test_codes(spark):
 
 
 def test_warranty(spark):
-    values = ["36.9", "abc", None, " 12 ", "1e1", "36d", ""]
-    assert apply(spark, text.warranty_months, values) == [36, 24, 24, 12, 10, 24, 24]
+    values = ["36.9", "abc", None, " 12 ", "1e1", "36d", "", "99999999999", "1e30"]
+    assert apply(spark, text.warranty_months, values) == [36, 24, 24, 12, 10] + [24] * 4
 
 
 def test_status(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partloom.functions import text
+from partloom.functions import decode, text
 from partloom.operators import columns, reshape
 from partloom.plans.wide_catalog import assemble
 from partloom.schemas import STANDARDS_MAP
@@ -297,3 +297,30 @@ def json_props(spark, sf_dir):
         "event_type", F.try_variant_get(record, "$.k", "bigint").alias("k")
     )
     return events.groupBy("event_type", "k").agg(F.count("*").alias("cnt"))
+
+
+# Doubles of many sizes: thirds and sevenths, whole, tiny and huge ones.
+SIZES = (
+    "CASE l_linenumber WHEN 1 THEN l_extendedprice / 7 WHEN 2 THEN l_quantity "
+    "WHEN 3 THEN l_extendedprice * 1e30 WHEN 4 THEN l_extendedprice / 1e13 "
+    "WHEN 5 THEN -l_extendedprice / 3e7 WHEN 6 THEN l_quantity * 1e18 ELSE 0 * l_quantity END"
+)
+
+
+@query(
+    "number_text",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, {SIZES} AS value, false AS exponent_inside "
+    "FROM lineitem",
+)
+def number_text(spark, sf_dir):
+    """Numbers written as text and read again are the same numbers."""
+    value = F.expr(SIZES)
+    written = decode.plain_number(value)
+    inside = (F.abs(value) >= 1e-6) & (F.abs(value) < 1e21) & written.contains("e")
+    return b.read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        written.cast("double").alias("value"),
+        inside.alias("exponent_inside"),
+    )

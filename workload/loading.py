@@ -8,13 +8,14 @@ from partloom.operators import merge
 from partloom.operators.keys import assign_ids
 from partloom.plans import catalog_queries as q
 from partloom.plans import seed, star_load
+from partloom.plans.wide_catalog import export_wide_csv, read_wide_csv
 from partloom.session import scratch_path
-from partloom.sources.store import CatalogStore
+from partloom.sources.store import LOADED_TABLES, CatalogStore
 
 from workload import binding as b
 from workload import sql
 from workload.cleaning import ORDER, WIDE_SQL, wide_catalog
-from workload.registry import query
+from workload.registry import SQL, query
 
 
 def _highest(rows: str, id_column: str) -> str:
@@ -223,6 +224,24 @@ def stock_rollup(spark, sf_dir):
     return merge.stock_rollup(b.wide_lines(spark, sf_dir))
 
 
+@query(
+    "stock_rollup_fractions",
+    "SELECT 'P-' || CAST(l_partkey AS STRING) AS cod_sku, CAST(trunc(sum(l_quantity / 4)) AS BIGINT) "
+    "AS cantitate, CAST(trunc(max(l_quantity / 8)) AS BIGINT) AS prag_minim FROM lineitem GROUP BY 1",
+)
+def stock_rollup_fractions(spark, sf_dir):
+    """Fractions of pieces: the total is cut, not each row."""
+    lines = b.read(spark, sf_dir, "lineitem").selectExpr(
+        "'P-' || CAST(l_partkey AS STRING) AS cod_sku",
+        "'D' AS depozit",
+        "'' AS oras_depozit",
+        "'' AS tara_depozit",
+        "CAST(l_quantity / 4 AS STRING) AS cantitate",
+        "l_quantity / 8 AS prag_minim",
+    )
+    return merge.stock_rollup(lines).select("cod_sku", "cantitate", "prag_minim")
+
+
 RETURNED = "l_returnflag = 'R'"
 OLD_STOCK = sql.STOCK.format(where=f"WHERE {RETURNED}")
 SUPPLIED = (
@@ -311,9 +330,16 @@ def register_product(spark, sf_dir):
         "cod_sku string, depozit string, oras_depozit string, tara_depozit string, "
         "cantitate int, prag_minim int",
     )
-    once = merge.register_product(tables, product, links, stock)
-    twice = merge.register_product(once, product, links, stock)
-    return q.table_counts({t: twice[t] for t in ("product", "product_standard", "stock")})
+    store = CatalogStore(spark, scratch_path(spark, "registered"))
+    run = store.begin()
+    for table in LOADED_TABLES:
+        store.append(run, table, merge.table_rows(tables[table], table))
+    store.commit(run)
+    star_load.register(store, product, links, stock)
+    star_load.register(store, product, links, stock)
+    store.compact()
+    reopened = CatalogStore(spark, store.root).tables()
+    return q.table_counts({t: reopened[t] for t in ("product", "product_standard", "stock")})
 
 
 def loaded_store(spark, sf_dir) -> CatalogStore:
@@ -351,6 +377,16 @@ def load_catalog(spark, sf_dir):
     return q.table_counts(loaded_store(spark, sf_dir).tables())
 
 
+@query("load_catalog_from_csv", SQL["load_catalog"])
+def load_catalog_from_csv(spark, sf_dir):
+    """The wide catalogue written as CSV, read back and loaded."""
+    root = scratch_path(spark, "from-csv")
+    export_wide_csv(wide_catalog(spark, sf_dir), f"{root}/products")
+    store = CatalogStore(spark, f"{root}/store")
+    star_load.load(store, read_wide_csv(spark, f"{root}/products"))
+    return q.table_counts(store.tables())
+
+
 @query(
     "load_catalog_products",
     f"{LOADED}, f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY cod_sku "
