@@ -52,7 +52,7 @@ def test_whole_licenses_changed_ones_and_others(spark):
         "The MIT License is a license.",
         "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0.",
         "Licensed",
-        mit + " word" * 400,
+        mit + " ".join(f" word{i}" for i in range(400)),
     ]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = lic.license_matches(frame)

@@ -67,7 +67,8 @@ def test_large_groups_branch_and_are_dealt_to_blocks(spark, monkeypatch):
     texts |= {1000 + i: varied(rng, base, 40) for i in range(40)}
     other = [f"v{i}" for i in range(90)]
     texts |= {2000 + i: varied(rng, other, 1) for i in range(30)}
-    monkeypatch.setattr(near_dups, "LEAF", 16)
+    monkeypatch.setattr(near_dups, "LEAF", 32)
+    monkeypatch.setattr(near_dups, "BLOCK", 128)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert found(near_dups.near_duplicates(frame, 3, 85)) == expected(texts, 3, 85)
 
