@@ -7,8 +7,9 @@ very many rows is one row of the report.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.operators.joins import lacking
@@ -67,29 +68,87 @@ DOMAINS = (
 )
 
 
-def _summary(name: str, violations: DataFrame) -> DataFrame:
-    return violations.agg(
-        F.count("*").alias("keys"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows")
-    ).select(F.lit(name).alias("constraint_name"), "keys", "rows")
+def _key_text(columns: Sequence[str]) -> Column:
+    """The values of a key as one text, nulls told apart from texts."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
+    return F.concat_ws("\x1f", *parts)
 
 
-def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per constraint whose tables are present: violating keys and rows."""
-    results = []
+class _Check(NamedTuple):
+    """A constraint: which rows of its table have a key to count, and the key."""
+
+    name: str
+    table: str
+    counts: Column
+    key: Column
+    parent: tuple[str, str] | None = None
+    is_domain: bool = False
+
+
+def _checks(tables: dict[str, DataFrame]) -> list[_Check]:
+    found = []
     for table, keys in UNIQUE_KEYS:
-        if table in tables:
-            # A key without any value names no row, so it cannot occur twice.
-            found = duplicates(tables[table].na.drop(how="all", subset=list(keys)), keys)
-            results.append(_summary(f"unique {table}({', '.join(keys)})", found))
+        # A key without any value names no row, so it cannot occur twice.
+        present = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+        found.append(_Check(f"unique {table}({', '.join(keys)})", table, present, _key_text(keys)))
     for child, foreign_key, parent, key in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            found = orphans(tables[child], foreign_key, tables[parent], key)
-            results.append(_summary(f"{child}.{foreign_key} in {parent}", found))
+        if parent in tables:
+            name, referred = f"{child}.{foreign_key} in {parent}", F.col(foreign_key).isNotNull()
+            found.append(_Check(name, child, referred, _key_text([foreign_key]), (parent, key)))
     for table, column, allowed in DOMAINS:
-        if table in tables:
-            found = outside_domain(tables[table], column, allowed)
-            results.append(_summary(f"{table}.{column} in domain", found))
-    report, *others = results
-    for other in others:
-        report = report.unionByName(other)
-    return report
+        wrong = ~F.col(column).isin(*allowed)
+        name = f"{table}.{column} in domain"
+        found.append(_Check(name, table, wrong, _key_text([column]), is_domain=True))
+    return [check for check in found if check.table in tables]
+
+
+def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per constraint whose tables are present: violating keys and rows.
+
+    Each table is read once for all its constraints, and once more for the keys that
+    others refer to. Keys are counted before the shuffle and then meet the parents' keys
+    in one join.
+    """
+    checks = _checks(tables)
+    counted = parents = None
+    for table in dict.fromkeys(check.table for check in checks):
+        entries = [
+            F.when(c.counts, F.struct(F.lit(i).alias("number"), c.key.alias("key")))
+            for i, c in enumerate(checks)
+            if c.table == table
+        ]
+        listed = F.filter(F.array(*entries), lambda e: e.isNotNull())
+        keys = tables[table].select(F.explode(listed).alias("entry")).select("entry.*")
+        counts = keys.groupBy("number", "key").agg(F.count("*").alias("cnt"))
+        counted = counts if counted is None else counted.unionByName(counts)
+    for parent in dict.fromkeys(c.parent for c in checks if c.parent):
+        numbers = [F.lit(i) for i, c in enumerate(checks) if c.parent == parent]
+        named = tables[parent[0]].where(F.col(parent[1]).isNotNull())
+        keys = named.select(_key_text([parent[1]]).alias("key")).distinct()
+        keys = keys.select(F.explode(F.array(*numbers)).alias("number"), "key")
+        parents = keys if parents is None else parents.unionByName(keys)
+    spark = next(iter(tables.values())).sparkSession
+    if parents is None:
+        parents = spark.createDataFrame([], "number int, key string")
+    met = counted.join(parents.withColumn("there", F.lit(True)), ["number", "key"], "left")
+    referring = [i for i, c in enumerate(checks) if c.parent]
+    valued = [i for i, c in enumerate(checks) if c.is_domain]
+    violated = (
+        F.when(F.col("number").isin(referring), F.col("there").isNull())
+        .when(F.col("number").isin(valued), True)
+        .otherwise(F.col("cnt") > 1)
+    )
+    totals = (
+        met.where(violated)
+        .groupBy("number")
+        .agg(F.count("*").alias("keys"), F.sum("cnt").alias("rows"))
+    )
+    # One row per constraint, a fixed list.
+    names = spark.createDataFrame(
+        [(i, c.name) for i, c in enumerate(checks)], "number int, constraint_name string"
+    )
+    return names.join(totals, "number", "left").select(
+        "constraint_name",
+        F.coalesce("keys", F.lit(0)).alias("keys"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+    )

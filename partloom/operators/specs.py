@@ -118,21 +118,65 @@ def _typed(field: SpecField) -> list[Column]:
     return [parts[0].alias(field.field), parts[1].alias(f"{field.field}_numbers")]
 
 
-def decode_wide(raw: DataFrame, category: str, drop_thousands_commas: bool = False) -> DataFrame:
-    """One typed record per item of a category.
-
-    Texts are gathered per item first and decoded after, each column by its own
-    rule; of a label given twice the later value stays.
-    """
+def _gathered(raw: DataFrame, category: str) -> DataFrame:
+    """One row per item of a category: its raw text per field, and its first unknown label."""
     layout = spec_layout(category)
     rows = raw.where(F.col("category") == category)
     label, position = text.strip(F.col("label")), F.col("position")
     texts = [
         F.max_by("value", F.when(label == f.label, position)).alias(f"_{f.field}") for f in layout
     ]
-    items = rows.groupBy("item_id").agg(
-        F.max("name").alias("_name"), F.max("price_text").alias("_price"), *texts
+    known = F.coalesce(label.isin([f.label for f in layout]), F.lit(False))
+    spoken = F.col("label").isNotNull() | F.col("value").isNotNull()
+    unknown = F.min(F.when(spoken & ~known, F.coalesce(label, F.lit("null"))))
+    return rows.groupBy("item_id").agg(
+        F.max("name").alias("_name"),
+        F.max("price_text").alias("_price"),
+        unknown.alias("_unknown"),
+        *texts,
     )
+
+
+def decode_wide(
+    raw: DataFrame,
+    category: str,
+    drop_thousands_commas: bool = False,
+    fail_on_unknown: bool = False,
+) -> DataFrame:
+    """One typed record per item of a category.
+
+    Texts are gathered per item first and decoded after, each column by its own
+    rule; of a label given twice the later value stays. An item with an unknown label
+    stops the job, or is left out.
+    """
+    return _records(_gathered(raw, category), category, drop_thousands_commas, fail_on_unknown)
+
+
+def records_with_status(
+    raw: DataFrame, category: str, drop_thousands_commas: bool = False
+) -> DataFrame:
+    """Records of a category and whether it was taken in whole.
+
+    An item with an unknown label is left out and marks all other records of its
+    category ``incomplete``. Items and mark come from one aggregate over the rows.
+    """
+    items = _gathered(raw, category)
+    broken = items.agg(F.count("_unknown").alias("n")).scalar()
+    records = _records(items, category, drop_thousands_commas, False)
+    status = F.when(broken > 0, "incomplete").otherwise("complete")
+    return records.withColumn("load_status", status)
+
+
+def _records(
+    items: DataFrame, category: str, drop_thousands_commas: bool, fail_on_unknown: bool
+) -> DataFrame:
+    layout = spec_layout(category)
+    if fail_on_unknown:
+        message = F.concat(F.lit("no mapping for label "), F.col("_unknown"))
+        name = F.when(F.col("_unknown").isNull(), F.col("_name")).otherwise(F.raise_error(message))
+        items = items.withColumn("_name", name)
+    else:
+        items = items.where(F.col("_unknown").isNull())
     blanked = {f"_{f.field}": _unless_blank(F.col(f"_{f.field}")) for f in layout}
     return items.withColumns(blanked).select(
         "item_id",

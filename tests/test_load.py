@@ -162,6 +162,32 @@ def test_checks(spark):
     assert [tuple(r) for r in wrong.collect()] == [("x", 1)]
 
 
+def test_each_table_is_read_once_for_its_constraints(spark, tmp_path):
+    rows = [(1, 1, 5), (1, 1, 6), (2, 1, 7), (None, 2, 5)]
+    spark.createDataFrame(rows, "cv_id long, linie_nr int, produs_id long").write.parquet(
+        str(tmp_path / "lines")
+    )
+    tables = {
+        "order_line": spark.read.parquet(str(tmp_path / "lines")),
+        "sales_order": spark.createDataFrame([(1, 9)], "cv_id long, client_id long"),
+        "product": spark.createDataFrame(
+            [(5, "a", 1, 1, "ACTIV"), (6, None, 1, 1, "x"), (7, None, 1, 1, None)],
+            "produs_id long, cod_sku string, categorie_id long, producator_id long, status string",
+        ),
+    }
+    report = checks.constraint_report(tables)
+    found = {r["constraint_name"]: (r["keys"], r["rows"]) for r in report.collect()}
+    assert found == {
+        "unique product(cod_sku)": (0, 0),
+        "unique order_line(cv_id, linie_nr)": (1, 2),
+        "order_line.cv_id in sales_order": (1, 1),
+        "order_line.produs_id in product": (0, 0),
+        "product.status in domain": (1, 1),
+    }
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [cv_id") == 1
+
+
 def test_listing_of_orphan_links(spark):
     tables = {
         "product": spark.createDataFrame(
