@@ -27,7 +27,7 @@ FACTORS = 4
 LEAST_ROWS = 4
 LEAST_ERRORS = 4.0
 # Labelled rows a model is fitted on at most, chosen by a hash of doc_id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 EPOCHS = 30
 SEED = 11
 
@@ -98,15 +98,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def telling_slots(examples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The slots whose presence goes with a label, ascending."""
-    flat = np.concatenate([*examples, np.zeros(0, dtype=np.int64)])
+    flat = np.concatenate([*examples, np.zeros(0, dtype=np.int32)])
     found, place, rows_with = np.unique(flat, return_inverse=True, return_counts=True)
     if not len(found):
-        return found
+        return found.astype(np.int64)
     toxic = np.bincount(place, np.repeat(labels, [len(e) for e in examples]))
     share = labels.mean()
     error = np.sqrt(rows_with * share * (1 - share))
     apart = np.abs(toxic - rows_with * share) >= LEAST_ERRORS * error
-    return found[apart & (rows_with >= LEAST_ROWS)]
+    return found[apart & (rows_with >= LEAST_ROWS)].astype(np.int64)
 
 
 def fit(examples: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
@@ -163,7 +163,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(whole, "text"):
             rows, slots = _terms(batch)
             pair = np.unique((rows.astype(np.uint64) << np.uint64(32)) | slots.astype(np.uint64))
-            slots = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            slots = (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
             rows = (pair >> np.uint64(32)).astype(np.int64)
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     chosen = labelled.where(
         F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))
     )
-    made = chosen.mapInArrow(_examples, "doc_id long, label int, slots array<long>")
+    made = chosen.mapInArrow(_examples, "doc_id long, label int, slots array<int>")
     schema = "slots binary, bias double, weights binary, factors binary"
     row = made.groupBy(F.lit(1).alias("all")).applyInArrow(_fitted, schema).first()
     if row is None:
