@@ -127,10 +127,12 @@ def warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stock(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
+def stock(
+    spark: SparkSession, sf_dir: str, condition: str = "true", product: str = "l_partkey"
+) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").where(condition)
     return lines.groupBy(
-        F.col("l_partkey").alias("produs_id"), F.col("l_suppkey").alias("depozit_id")
+        F.expr(product).alias("produs_id"), F.col("l_suppkey").alias("depozit_id")
     ).agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("cantitate"),
         (F.max("l_linenumber").cast("bigint") * 5).alias("prag_minim"),
@@ -150,16 +152,12 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_order(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
-    return (
-        read(spark, sf_dir, "orders")
-        .where(condition)
-        .selectExpr(
-            "o_orderkey AS cv_id",
-            "o_custkey AS client_id",
-            "o_orderdate AS data_creare",
-            "o_orderstatus AS status",
-        )
+def sales_order(spark: SparkSession, sf_dir: str, key: str = "o_orderkey") -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr(
+        f"{key} AS cv_id",
+        "o_custkey AS client_id",
+        "o_orderdate AS data_creare",
+        "o_orderstatus AS status",
     )
 
 

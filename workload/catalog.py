@@ -112,7 +112,9 @@ FULL_RETURNS = "l_quantity > 49 AND l_returnflag = 'R'"
     f"(SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND {FULL_RETURNS})",
 )
 def products_without_stock(spark, sf_dir):
-    stock = b.stock(spark, sf_dir, FULL_RETURNS)
+    """All other lines are stock of products that the catalogue does not have."""
+    product = f"CASE WHEN {FULL_RETURNS} THEN l_partkey ELSE -1 - l_partkey END"
+    stock = b.stock(spark, sf_dir, product=product)
     return q.products_without_stock({**b.tables(spark, sf_dir, "product"), "stock": stock})
 
 

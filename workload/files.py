@@ -12,7 +12,7 @@ from partloom.session import scratch_path
 from partloom.sources import csv_files, discovery, parts_files
 
 from workload import binding as b
-from workload import cleaning
+from workload import cleaning, sql
 from workload.registry import query
 from workload.specs import flat_record, wide_sql
 
@@ -178,3 +178,18 @@ def missing_sources(spark, sf_dir):
     found = csv_files.read_folder(spark, f"{root}/files")
     absent = csv_files.read_folder(spark, f"{root}/none") or csv_files.empty_products(spark)
     return union_by_name([found, absent]).select("denumire", "producator")
+
+
+@query(
+    "mapped_standards",
+    f"SELECT grup, count(*) AS links FROM ({sql.links()}) GROUP BY 1",
+)
+def mapped_standards(spark, sf_dir):
+    """Links of all parts by a standards map that is read from a file."""
+    path = scratch_path(spark, "map")
+    rows = spark.createDataFrame(list(b.STANDARDS_MAP.items()), "raw_column string, grup string")
+    rows.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    wide = b.wide_parts(spark, sf_dir)
+    mapping = csv_files.read_standards_map(spark, path, wide.columns)
+    links = b.standard_links(wide, mapping)
+    return links.groupBy("grup").agg(F.count("*").alias("links"))

@@ -289,8 +289,12 @@ def spec_unknown_labels(spark, sf_dir):
 def spec_load_status(spark, sf_dir):
     """Items with an unknown label break off their category; what is left is kept."""
     raw = b.raw_specs(spark, sf_dir, LABELS_WITH_UNKNOWN)
-    unlabelled = (F.col("label") == b.UNKNOWN_LABEL[2]) & (F.col("value").cast("int") <= 25)
-    kept = specs.decode_with_status(raw.where(~unlabelled))
+    # Small parts have nothing in the place of the unknown label.
+    nothing = (F.col("label") == b.UNKNOWN_LABEL[2]) & (F.col("value").cast("int") <= 25)
+    raw = raw.withColumns(
+        {c: F.when(~F.coalesce(nothing, F.lit(False)), F.col(c)) for c in ("value", "label")}
+    )
+    kept = specs.decode_with_status(raw)
     return kept.groupBy("category", "load_status").agg(F.count("*").alias("cnt"))
 
 
