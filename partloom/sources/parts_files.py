@@ -11,15 +11,17 @@ from partloom.functions import decode
 from partloom.operators.specs import record_kinds
 from partloom.sources.csv_files import write_csv
 
-# A file is named after its category; a load that broke off is marked.
-_FILE_NAME = r"^(.+?)(\.incomplete)?\.(?:jsonl?|csv)$"
+# A file, or the folder that a Spark job wrote, is named after its category;
+# a load that broke off is marked.
+_FILE_PATH = r"/([^/]+?)(\.incomplete)?\.(?:jsonl?|csv)(?:/part-[^/]*)?$"
 
 
-def _file_columns() -> list[Column]:
-    name = F.col("_metadata.file_name")
-    marked = F.regexp_extract(name, _FILE_NAME, 2) != ""
+def file_columns(path: str = "path") -> list[Column]:
+    """Category and load status by the name of a file."""
+    name = F.col(path)
+    marked = F.regexp_extract(name, _FILE_PATH, 2) != ""
     return [
-        F.regexp_extract(name, _FILE_NAME, 1).alias("category"),
+        F.regexp_extract(name, _FILE_PATH, 1).alias("category"),
         F.when(marked, F.lit("incomplete")).otherwise(F.lit("complete")).alias("load_status"),
     ]
 
@@ -37,7 +39,7 @@ def count_parts(
         .option("pathGlobFilter", file_pattern or ("*.jsonl" if json_lines else "*.json"))
         .json(path)
     )
-    records = names.select("name", *_file_columns())
+    records = names.select("name", *file_columns("_metadata.file_path"))
     return records.groupBy("category", "load_status").agg(F.count("*").alias("parts"))
 
 
@@ -104,7 +106,7 @@ def read_parts_json(
         reader = reader.option("pathGlobFilter", file_pattern)
     rows = reader.option("multiLine", not json_lines).json(path)
     typed = _typed(kinds, F.col, _numbers_from_json, lambda v: v)
-    return rows.select("name", *typed, _file_columns()[1])
+    return rows.select("name", *typed, file_columns("_metadata.file_path")[1])
 
 
 def read_parts_csv(spark: SparkSession, path: str | Sequence[str], category: str) -> DataFrame:

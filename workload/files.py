@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import specs
 from partloom.operators.reshape import union_by_name
+from partloom.plans import spec_dataset
 from partloom.plans.wide_catalog import export_wide_csv, write_wide
 from partloom.schemas import WIDE_DDL
 from partloom.session import scratch_path
@@ -14,7 +15,7 @@ from partloom.sources import csv_files, discovery, parts_files
 from workload import binding as b
 from workload import cleaning, sql
 from workload.registry import query
-from workload.specs import flat_record, wide_sql
+from workload.specs import flat_record, wide_sql, with_unknown_labels
 
 
 def _records(spark, sf_dir, category):
@@ -180,6 +181,29 @@ def missing_sources(spark, sf_dir):
     return union_by_name([found, absent]).select("denumire", "producator")
 
 
+@query(
+    "export_parts_folder",
+    "SELECT category, load_status, parts, parts AS json_rows, parts AS csv_rows FROM "
+    "(SELECT category, CASE WHEN category = 'webcam' THEN 'incomplete' ELSE 'complete' END "
+    f"AS load_status, count(DISTINCT item_id) AS parts FROM ({b.raw_specs_sql()}) "
+    "JOIN part ON item_id = p_partkey WHERE category <> 'webcam' OR p_size <= 25 GROUP BY 1, 2)",
+)
+def export_parts_folder(spark, sf_dir):
+    """Listing texts to category files, and those to JSON Lines, CSV and counts."""
+    root = scratch_path(spark, "dataset")
+    categories = dict.fromkeys(c for _, c, _, _ in b.SPEC_TEXTS)
+    spec_dataset.write_categories(with_unknown_labels(spark, sf_dir), f"{root}/in", categories)
+    counts = spec_dataset.export_parts_folder(spark, f"{root}/in", f"{root}/out")
+    found = counts
+    for suffix, name in (("jsonl", "json_rows"), ("csv", "csv_rows")):
+        files = spark.read.text(f"{root}/out/{suffix}/*")
+        header = F.lit(suffix == "csv") & F.col("value").startswith("name,")
+        rows = files.where(~header).select(*parts_files.file_columns("_metadata.file_path"))
+        written = rows.groupBy("category", "load_status").agg(F.count("*").alias(name))
+        found = found.join(written, ["category", "load_status"])
+    return found
+
+
 @query(
     "mapped_standards",
     f"SELECT grup, count(*) AS links FROM ({sql.links()}) GROUP BY 1",

@@ -280,6 +280,14 @@ def spec_unknown_labels(spark, sf_dir):
     return specs.unknown_labels(raw).select("category", "item_id", "label", "value")
 
 
+def with_unknown_labels(spark, sf_dir):
+    """All labelled texts; the larger parts of one category have an unknown label too."""
+    raw = b.raw_specs(spark, sf_dir, LABELS_WITH_UNKNOWN)
+    nothing = (F.col("label") == b.UNKNOWN_LABEL[2]) & (F.col("value").cast("int") <= 25)
+    kept = ~F.coalesce(nothing, F.lit(False))
+    return raw.withColumns({c: F.when(kept, F.col(c)) for c in ("value", "label")})
+
+
 @query(
     "spec_load_status",
     "SELECT category, CASE WHEN category = 'webcam' THEN 'incomplete' ELSE 'complete' END "
@@ -288,13 +296,7 @@ def spec_unknown_labels(spark, sf_dir):
 )
 def spec_load_status(spark, sf_dir):
     """Items with an unknown label break off their category; what is left is kept."""
-    raw = b.raw_specs(spark, sf_dir, LABELS_WITH_UNKNOWN)
-    # Small parts have nothing in the place of the unknown label.
-    nothing = (F.col("label") == b.UNKNOWN_LABEL[2]) & (F.col("value").cast("int") <= 25)
-    raw = raw.withColumns(
-        {c: F.when(~F.coalesce(nothing, F.lit(False)), F.col(c)) for c in ("value", "label")}
-    )
-    kept = specs.decode_with_status(raw)
+    kept = specs.decode_with_status(with_unknown_labels(spark, sf_dir))
     return kept.groupBy("category", "load_status").agg(F.count("*").alias("cnt"))
 
 
