@@ -23,17 +23,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once, written, and read back.
 
     What follows starts from these files, so a lost executor costs only the tasks
-    it was running and never the plan above.
+    it was running and never the plan above. ``by`` names a column whose values get a
+    folder each.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    return written_to(shared_path(df.sparkSession, name), df, by)
+
+
+def written_to(path: str, df: DataFrame, by: str | None = None) -> DataFrame:
+    """As :func:`written`, in a folder that the caller has named and may remove."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose result has been written.
+
+    Its cleaner does so once the driver has collected its garbage, which by itself may
+    be much later than a chain of large steps can wait.
+    """
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`shared_path` whose rows nothing will read again."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

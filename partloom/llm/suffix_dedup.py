@@ -12,7 +12,11 @@ by the same scan, so a row is rewritten a logarithmic number of times. A name te
 
 * one region content under a name: all its occurrences but the earliest are repeats;
 * several contents: these regions are asked for, and their windows are compared one by
-  one by their own hashes in a last join. Their name needs only one row from then on.
+  one. Their name needs only one row from then on.
+
+The bytes of the regions that were asked for are dealt by name, so the windows of a name
+meet in one task. Where a name has very many regions, their windows are dealt instead,
+by window, each task sending only the first of equal ones.
 
 Tasks reduce their own regions before the shuffle to one row a name, so a passage that
 a third of all documents hold is one row a task. Text is read once to sample it, once
@@ -30,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.near_dups import whole_runs
-from partloom.llm.storage import written
+from partloom.llm.storage import release, remove, shared_path, written, written_to
 from partloom.llm.words import EXACT, mix, pieces, powers, text_buffers
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 # Windows of one region at most.
 REGION = 64
 SEGMENT_BYTES = 1 << 20
 # Regions that a task reduces at a time.
 HELD_REGIONS = 2_000_000
 BATCHES = 4
+# Regions of one name that are compared in one task at most.
+HOT_REGIONS = 5_000
 
 # Kinds of rows: of an index; covered; asked for; of a level that is scanned but stays;
 # of an index, with a region that may repeat itself.
@@ -159,6 +165,12 @@ def _table(columns: dict[str, np.ndarray], what: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(fields, [f.split()[0] for f in ROW.split(", ")])
 
 
+def _finding(columns: dict[str, np.ndarray], what: int) -> pa.RecordBatch:
+    """Rows that only pass through scans: their place spreads them, body holds the name."""
+    place = mix((columns["id"] ^ columns["start"] * 0x9E3779B9).astype(np.uint64))
+    return _table(columns | {"name": place.view(np.int64), "body": columns["name"]}, what)
+
+
 def _merged(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Covered rows of one table; runs of regions that touch become one row each."""
     order = np.lexsort((rows["start"], rows["h"], rows["id"]))
@@ -174,7 +186,7 @@ def _merged(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     closes = np.append(opens[1:], len(end)) - 1
     out = {k: v[opens] for k, v in rows.items()}
     out["size"] = end[closes] - out["start"]
-    return _table(out, COVERED)
+    return _finding(out, COVERED)
 
 
 def _reduced(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +220,7 @@ def _reduced(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     kept = new_body & ~several & moves
     yield _table({k: v[kept] for k, v in rows.items()}, INDEXED)
     asked = new_body & several & ~flag
-    yield _table({k: v[asked] for k, v in rows.items()}, ASKED)
+    yield _finding({k: v[asked] for k, v in rows.items()}, ASKED)
     marks = {k: v[several & new_name & moves].copy() for k, v in rows.items()}
     for k in ("body", "id", "h", "start"):
         marks[k][:] = 0
@@ -265,8 +277,7 @@ def _columns(table: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a batch and of levels, sorted by name, to their merged index and findings."""
-    for table in whole_runs(batches, "part"):
-        rows = table.drop_columns(["part"])
+    for rows in whole_runs(batches, "name"):
         what = rows.column("what").to_numpy()
         found = (what == COVERED) | (what == ASKED)
         yield from rows.filter(pa.array(found)).combine_chunks().to_batches()
@@ -279,29 +290,36 @@ class SuffixFamily:
     """Levels of sparse suffix arrays in a shared folder, and what they have found."""
 
     def __init__(self):
-        # Each level with its number of batches, the largest first.
-        self.levels: list[tuple[int, DataFrame]] = []
+        # Each level with its number of batches and its folder, the largest first.
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.findings: list[DataFrame] = []
 
-    def add(self, texts: DataFrame) -> None:
+    def add(self, texts: DataFrame, last: bool = False) -> None:
         """Scan a batch of rows (id, h, text) against all levels and make it a level.
 
-        Levels of its own size are merged into it, then those of the size that gives.
+        Levels of its own size are merged into it, then those of the size that gives;
+        their rows are removed once it is written. The index is not kept after the
+        ``last`` batch.
         """
+        spark = texts.sparkSession
         rows = texts.mapInArrow(_sampled, ROW)
-        size = 1
+        size, merged = 1, []
         while self.levels and self.levels[-1][0] == size:
-            rows = rows.unionByName(self.levels.pop()[1])
+            _, level, folder = self.levels.pop()
+            rows = rows.unionByName(level)
+            merged.append(folder)
             size *= 2
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             rows = rows.unionByName(level.withColumn("what", F.lit(STAYS)))
-        # Findings only pass through, spread evenly.
-        part = F.when(
-            F.col("what").isin(COVERED, ASKED), F.xxhash64("id", "start", "name")
-        ).otherwise(F.col("name"))
-        dealt = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part")
-        found = written(dealt.mapInArrow(_scanned, ROW), "level")
-        self.levels.append((size, found.where(F.col("what") == INDEXED)))
+        dealt = rows.repartition("name").sortWithinPartitions("name").mapInArrow(_scanned, ROW)
+        if last:
+            dealt = dealt.where(F.col("what") != INDEXED)
+        path = shared_path(spark, "level")
+        found = written_to(path, dealt, by="what")
+        for folder in merged:
+            remove(spark, f"{folder}/what={INDEXED}")
+        release(spark)
+        self.levels.append((size, found.where(F.col("what") == INDEXED), path))
         self.findings.append(found.where(F.col("what").isin(COVERED, ASKED)))
 
     def found(self, what: int) -> DataFrame:
@@ -312,18 +330,35 @@ class SuffixFamily:
         return every.where(F.col("what") == what)
 
 
-def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h, text, asked) to rows (name, body = hash of a window, place)."""
+def _windows(rows: dict[str, np.ndarray], place: np.ndarray, data: np.ndarray):
+    """The windows of regions as rows; ``place`` has the first byte of each in ``data``."""
     reach = REGION + LENGTH - 1
     weights, inverse = powers(reach), _inverse_powers(REGION)
-    held: list[tuple[np.ndarray, ...]] = []
+    found = []
+    for low in range(0, len(place), 4096):
+        part = slice(low, low + 4096)
+        at = np.minimum(place[part, None] + np.arange(reach), len(data) - 1)
+        sums = np.zeros((len(at), reach + 1), dtype=np.uint64)
+        np.cumsum(EXACT[data[at]] * weights, axis=1, out=sums[:, 1:])
+        hashes = mix((sums[:, LENGTH:] - sums[:, :REGION]) * inverse)
+        nth, step = np.nonzero(np.arange(REGION) < rows["size"][part, None])
+        found.append(
+            {k: rows[k][part][nth] for k in ("name", "id", "h")}
+            | {"body": hashes[nth, step].view(np.int64), "start": rows["start"][part][nth] + step}
+        )
+    out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+    return out | {"size": np.ones(len(out["name"]), dtype=np.int64)}
+
+
+def _asked_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, text, asked) to the regions with their bytes; of hot names, to windows."""
+    held: list[dict[str, np.ndarray]] = []
     count = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        fields = zip(("name", "body", "id", "h", "start"), zip(*held))
-        rows = {k: np.concatenate(v) for k, v in fields}
-        rows["size"] = np.ones(len(rows["name"]), dtype=np.int64)
-        yield from _first_windows(rows)
+        rows = {k: np.concatenate([w[k] for w in held]) for k in held[0]}
+        for batch in _first_windows(rows):
+            yield batch.append_column("bytes", pa.nulls(batch.num_rows, pa.binary()))
 
     for whole in batches:
         for batch in pieces(whole, "text"):
@@ -331,31 +366,21 @@ def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             hs = batch.column("h").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
             asked = batch.column("asked")
-            bounds = asked.offsets.to_numpy()
             flat = asked.flatten()
-            at = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            names, starts, sizes = (
-                flat.field(f).to_numpy(zero_copy_only=False) for f in ("name", "start", "size")
-            )
-            for low in range(0, len(at), 8192):
-                part = slice(low, low + 8192)
-                row, start, size = at[part], starts[part], sizes[part]
-                place = (offsets[row] + start)[:, None] + np.arange(reach)
-                values = EXACT[data[np.minimum(place, len(data) - 1)]] * weights
-                sums = np.zeros((len(row), reach + 1), dtype=np.uint64)
-                np.cumsum(values, axis=1, out=sums[:, 1:])
-                hashes = mix((sums[:, LENGTH:] - sums[:, : REGION]) * inverse)
-                nth, step = np.nonzero(np.arange(REGION) < size[:, None])
-                held.append(
-                    (
-                        names[part][nth],
-                        hashes[nth, step].view(np.int64),
-                        ids[row[nth]],
-                        hs[row[nth]],
-                        start[nth] + step,
-                    )
-                )
-                count += len(nth)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            rows = {
+                f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("name", "start", "size")
+            }
+            rows |= {"id": ids[row], "h": hs[row], "body": np.zeros(len(row), dtype=np.int64)}
+            place = offsets[row] + rows["start"]
+            hot = flat.field("hot").to_numpy(zero_copy_only=False).astype(bool)
+            cold = _table({k: v[~hot] for k, v in rows.items()}, ASKED)
+            ends = place[~hot] + rows["size"][~hot] - 1 + LENGTH
+            strings = [data[a:b].tobytes() for a, b in zip(place[~hot], ends)]
+            yield cold.append_column("bytes", pa.array(strings, pa.binary()))
+            if hot.any():
+                held.append(_windows({k: v[hot] for k, v in rows.items()}, place[hot], data))
+                count += len(held[-1]["name"])
             if count > HELD_REGIONS:
                 yield from flushed()
                 held, count = [], 0
@@ -363,6 +388,22 @@ def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from flushed()
 
 
+def _compared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions with their bytes, sorted by name, to the covered windows."""
+    for table in whole_runs(batches, "name"):
+        strings = table.column("bytes").cast(pa.large_binary()).combine_chunks()
+        offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)
+        place = offsets[strings.offset : strings.offset + len(strings)]
+        data = np.frombuffer(strings.buffers()[2], dtype=np.uint8)
+        yield from _only_covered(_windows(_columns(table), place, data))
+
+
+def _only_covered(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in _first_windows(rows):
+        if batch.num_rows and batch.column("what")[0].as_py() == COVERED:
+            yield batch
+
+
 def _first_windows(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The first of equal windows as index row, the later ones as covered."""
     order = np.lexsort((rows["start"], rows["h"], rows["id"], rows["name"], rows["body"]))
@@ -376,12 +417,10 @@ def _first_windows(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield _table({k: v[new] for k, v in rows.items()}, INDEXED)
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First windows of all tasks, sorted by body, to the covered ones."""
     for table in whole_runs(batches, "body"):
-        for batch in _first_windows(_columns(table)):
-            if batch.num_rows and batch.column("what")[0].as_py() == COVERED:
-                yield batch
+        yield from _only_covered(_columns(table))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,17 +494,32 @@ def repeated_spans(documents: DataFrame, batches: int = BATCHES) -> tuple[DataFr
     """The keyed rows of ``documents``, and rows (id, h, spans) of covered byte ranges."""
     keyed = _keyed(documents)
     family = SuffixFamily()
-    for part in _batches(keyed, batches):
-        family.add(part)
+    parts = list(_batches(keyed, batches))
+    for part in parts:
+        family.add(part, last=part is parts[-1])
     covered = family.found(COVERED)
-    per_row = family.found(ASKED).groupBy("id", "h").agg(
-        F.collect_set(F.struct("name", "start", "size")).alias("asked")
+    asked = family.found(ASKED).withColumn("name", F.col("body"))
+    hot = asked.groupBy("name").count().where(F.col("count") > HOT_REGIONS)
+    marked = asked.join(hot.select("name", F.lit(True).alias("hot")), "name", "left")
+    per_row = marked.groupBy("id", "h").agg(
+        F.collect_set(
+            F.struct("name", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot"))
+        ).alias("asked")
+    )
+    wanted = keyed.select("id", "h", "text").join(per_row.hint("merge"), ["id", "h"])
+    regions = written(
+        wanted.mapInArrow(_asked_regions, f"{ROW}, bytes binary"), "regions", by="what"
+    )
+    release(documents.sparkSession)
+    cold = regions.where(F.col("what") == ASKED).repartition("name").sortWithinPartitions("name")
+    firsts = regions.where(F.col("what") == INDEXED).repartition("body")
+    every = (
+        covered.unionByName(regions.where(F.col("what") == COVERED).drop("bytes"))
+        .unionByName(cold.mapInArrow(_compared_regions, ROW))
+        .unionByName(
+            firsts.drop("bytes").sortWithinPartitions("body").mapInArrow(_compared_windows, ROW)
+        )
     )
-    wanted = keyed.select("id", "h", "text").join(per_row, ["id", "h"])
-    windows = written(wanted.mapInArrow(_asked_windows, ROW), "windows")
-    firsts = windows.where(F.col("what") == INDEXED)
-    compared = firsts.repartition("body").sortWithinPartitions("body").mapInArrow(_compared, ROW)
-    every = covered.unionByName(windows.where(F.col("what") == COVERED)).unionByName(compared)
     span = F.struct("start", (F.col("start") + F.col("size") - 1 + LENGTH).alias("end"))
     return keyed, every.groupBy("id", "h").agg(F.collect_list(span).alias("spans"))
 
@@ -486,5 +540,5 @@ def without_repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     keyed, spans = repeated_spans(documents, batches)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return (
-        keyed.join(spans, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
+        keyed.join(spans.hint("merge"), ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
     )

@@ -100,5 +100,5 @@ def test_levels_merge_like_a_counter(spark):
     for batch in range(6):
         rows = [(batch * 10 + i, 0, f"{i} text of one batch, {batch} " * 9) for i in range(3)]
         family.add(spark.createDataFrame(rows, "id long, h long, text string"))
-        sizes.append([n for n, _ in family.levels])
+        sizes.append([level[0] for level in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2]]
