@@ -2,9 +2,9 @@
 
 Each rule votes good (1), bad (-1) or abstains (0). Documents with the same votes are
 counted together over the whole table. Expectation-maximisation over these counts
-estimates how often each rule is right when it votes, and the share of good documents;
-no labels are used. A document's quality is the posterior probability that it is good,
-so one rule alone neither keeps nor rejects it.
+estimates how often good and bad documents get each vote of each rule, and the share of
+good documents; no labels are used. A document's quality is the posterior probability
+that it is good, so one rule alone neither keeps nor rejects it.
 
 Everything is DataFrame code: the counts are one aggregate, and the rounds of the
 estimation are a fold over the array of vote patterns, whose number is at most three
@@ -13,6 +13,7 @@ to the power of the number of rules, whatever the size of the table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,13 @@ from partloom.llm.expressions import bind, neighbours, window_hashes, words
 
 REPEAT_WINDOW = 8
 ROUNDS = 40
-# Accuracies stay in this range: a rule is better than a coin and never certain.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.98
+# What a vote can weigh in log odds: one against always speaks against, one for speaks
+# for, and none is certain.
+AGAINST = (-6.0, -1.0)
+FOR = (0.02, 2.0)
 LEAST_SHARE, MOST_SHARE = 0.05, 0.95
+# Where the estimation starts: log odds of a good document, and of the two votes.
+START_BIAS, START_AGAINST, START_FOR = 1.4, -3.0, 0.4
 
 # Frequent function words of the corpus languages (fixed values).
 FUNCTION_WORDS = (
@@ -58,6 +63,10 @@ def _repeated_words(hashes: Column) -> Column:
     )
 
 
+def _count(test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter("_words", test)).cast("long")
+
+
 def measures(documents: DataFrame) -> DataFrame:
     """The columns of ``documents`` and a struct ``m`` of counts over each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -83,6 +92,9 @@ def measures(documents: DataFrame) -> DataFrame:
                 F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
                 F.regexp_count(text, F.lit(r"!")).cast("long").alias("n_bangs"),
                 F.size(F.array_intersect(known, lower)).cast("long").alias("n_function"),
+                _count(lambda w: w.rlike(r"[#*$%&|<>]")).alias("n_marked"),
+                _count(lambda w: ~w.rlike(r"\p{L}")).alias("n_letterless"),
+                _count(lambda w: F.right(w, F.lit(1)).isin(".", "?", "!")).alias("n_ends"),
             ),
         )
         .drop("_words", "_lines", "_hashes")
@@ -115,6 +127,9 @@ RULES = (
         "n_function = 0 AND n_words >= 20",
         "n_function >= 3 OR n_function * 15 >= n_words AND n_function > 0",
     ),
+    Rule("marked_words", "n_marked * 5 > n_words", "n_marked * 50 <= n_words"),
+    Rule("letterless", "n_letterless * 5 > n_words", "n_letterless * 20 <= n_words"),
+    Rule("sentences", "n_ends * 40 < n_words AND n_words >= 40", "n_ends * 30 >= n_words"),
     Rule(
         "vocabulary",
         "n_distinct * 4 < n_words AND n_words < 2000",
@@ -134,7 +149,7 @@ def _vote(rule: Rule, of: str) -> Column:
 
 MEASURES = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_distinct n_capitals "
-    "n_bangs n_function"
+    "n_bangs n_function n_marked n_letterless n_ends"
 ).split()
 
 
@@ -143,12 +158,12 @@ def votes(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured.withColumn("votes", F.array(*[_vote(r, "m") for r in rules]))
 
 
-def _logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
-
-
 def _posterior(cast: Column, model: Column) -> Column:
-    weighed = F.zip_with(cast, model["weights"], lambda v, w: v * w)
+    weighed = F.zip_with(
+        cast,
+        model["weights"],
+        lambda v, w: F.when(v < 0, w["against"]).when(v > 0, w["for"]).otherwise(0.0),
+    )
     return 1 / (1 + F.exp(-F.aggregate(weighed, model["bias"], lambda x, y: x + y)))
 
 
@@ -157,19 +172,20 @@ def _between(value: Column, low: float, high: float) -> Column:
 
 
 def estimate(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS):
-    """The bias and the weight of each rule's vote, by expectation-maximisation.
+    """The bias and the weights of each rule's votes, by expectation-maximisation.
 
-    Returns a row (bias, weights). Weights are the log odds that a voting rule is right.
-    It starts from accuracies of 0.8 and an even share. An empty table keeps the start.
+    Returns a row (bias, weights). A weight is the log of how much likelier a good
+    document is to get the vote than a bad one; an abstention weighs nothing. An empty
+    table keeps the start.
     """
     counts = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     patterns = counts.agg(
         F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("patterns"),
         F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"),
     )
+    first = F.struct(F.lit(START_AGAINST).alias("against"), F.lit(START_FOR).alias("for"))
     start = F.struct(
-        F.lit(0.0).alias("bias"),
-        F.array_repeat(_logit(F.lit(0.8)), len(rules)).alias("weights"),
+        F.lit(START_BIAS).alias("bias"), F.array_repeat(first, len(rules)).alias("weights")
     )
 
     def expected(model: Column) -> Column:
@@ -186,20 +202,26 @@ def estimate(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = RO
         return F.aggregate(rows, F.lit(0.0), lambda x, p: x + value(p))
 
     def maximised(rows: Column) -> Column:
-        share = total(rows, lambda p: p["n"] * p["q"]) / F.col("total")
+        good = total(rows, lambda p: p["n"] * p["q"])
+        bad = total(rows, lambda p: p["n"] * (1 - p["q"]))
 
-        def weight(rule: Column) -> Column:
-            def right(p: Column) -> Column:
-                vote = F.get(p["votes"], rule)
-                return p["n"] * F.when(vote > 0, p["q"]).when(vote < 0, 1 - p["q"]).otherwise(0.0)
+        def weigh(rule: Column, vote: int, limits: tuple[float, float]) -> Column:
+            def has(p: Column) -> Column:
+                return F.when(F.get(p["votes"], rule) == vote, p["n"]).otherwise(0.0)
 
-            cast = total(rows, lambda p: p["n"] * F.abs(F.get(p["votes"], rule)))
-            accuracy = (total(rows, right) + 0.8) / (cast + 1.0)
-            return _logit(_between(accuracy, LEAST_ACCURACY, MOST_ACCURACY))
+            among_good = (total(rows, lambda p: has(p) * p["q"]) + 0.5) / (good + 1.5)
+            among_bad = (total(rows, lambda p: has(p) * (1 - p["q"])) + 0.5) / (bad + 1.5)
+            return _between(F.log(among_good / among_bad), *limits)
 
+        share = _between(good / F.col("total"), LEAST_SHARE, MOST_SHARE)
         return F.struct(
-            _logit(_between(share, LEAST_SHARE, MOST_SHARE)).alias("bias"),
-            F.transform(F.sequence(F.lit(0), F.lit(len(rules) - 1)), weight).alias("weights"),
+            F.log(share / (1 - share)).alias("bias"),
+            F.transform(
+                F.sequence(F.lit(0), F.lit(len(rules) - 1)),
+                lambda rule: F.struct(
+                    weigh(rule, -1, AGAINST).alias("against"), weigh(rule, 1, FOR).alias("for")
+                ),
+            ).alias("weights"),
         )
 
     fitted = F.aggregate(
@@ -226,7 +248,12 @@ def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     model = estimate(voted, rules)
     fitted = F.struct(
         F.lit(model["bias"]).alias("bias"),
-        F.array(*[F.lit(w) for w in model["weights"]]).alias("weights"),
+        F.array(
+            *[
+                F.struct(F.lit(w["against"]).alias("against"), F.lit(w["for"]).alias("for"))
+                for w in model["weights"]
+            ]
+        ).alias("weights"),
     )
     failed = (F.col("m.n_words") < 20) | (
         F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * 30

@@ -24,8 +24,25 @@ def quality_sql() -> str:
     """Base counts by unnested windows; the estimation as a recursive fold over patterns."""
     rules = len(quality.RULES)
     known = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(quality.FUNCTION_WORDS)) + "]"
-    low, high = quality.LEAST_ACCURACY, quality.MOST_ACCURACY
     least, most = quality.LEAST_SHARE, quality.MOST_SHARE
+
+    def weighed(votes: str) -> str:
+        return (
+            f"list_sum(list_transform(range(1, {rules + 1}), lambda j: CASE WHEN {votes}[j] < 0 "
+            f"THEN against[j] WHEN {votes}[j] > 0 THEN pro[j] ELSE 0.0 END))"
+        )
+
+    def weight(vote: int, limits: tuple[float, float]) -> str:
+        def rate(q: str, mass: str) -> str:
+            return (
+                f"(list_sum(list_transform(posts, lambda p: CASE WHEN p.v[j] = {vote} THEN p.n "
+                f"ELSE 0.0 END * {q})) + 0.5) / ({mass} + 1.5)"
+            )
+
+        return (
+            f"list_transform(range(1, {rules + 1}), lambda j: greatest({limits[0]}, least("
+            f"{limits[1]}, ln({rate('p.q', 'good')} / ({rate('(1 - p.q)', 'bad')})))))"
+        )
     return rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -48,34 +65,35 @@ m AS (
     len(list_distinct(w)) AS n_distinct,
     len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals,
     len(regexp_extract_all(text, '!')) AS n_bangs,
-    len(list_intersect({known}, list_transform(w, lambda x: lower(x)))) AS n_function
+    len(list_intersect({known}, list_transform(w, lambda x: lower(x)))) AS n_function,
+    len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless,
+    len(list_filter(w, lambda x: right(x, 1) IN ('.', '?', '!'))) AS n_ends
   FROM t LEFT JOIN covered USING (doc_id)),
 voted AS (SELECT *, {_votes()} AS votes FROM m),
 counted AS (SELECT votes, count(*)::DOUBLE AS n FROM voted GROUP BY votes),
 patterns AS (
   SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS ps, sum(n) AS total FROM counted),
 model AS (
-  SELECT 0 AS round, 0.0::DOUBLE AS bias,
-    list_transform(range({rules}), lambda i: ln(0.8::DOUBLE / (1 - 0.8::DOUBLE))) AS weights
+  SELECT 0 AS round, {quality.START_BIAS}::DOUBLE AS bias,
+    list_transform(range({rules}), lambda i: {quality.START_AGAINST}::DOUBLE) AS against,
+    list_transform(range({rules}), lambda i: {quality.START_FOR}::DOUBLE) AS pro
   UNION ALL
-  SELECT round + 1,
-    ln(share / (1 - share)),
-    list_transform(accuracies, lambda a: ln(a / (1 - a)))
+  SELECT round + 1, ln(share / (1 - share)), against, pro
   FROM (
-    SELECT round,
-      greatest({least}, least({most},
-        list_sum(list_transform(posts, lambda p: p.n * p.q)) / total)) AS share,
-      list_transform(range(1, {rules + 1}), lambda j: greatest({low}, least({high},
-        (list_sum(list_transform(posts, lambda p: p.n * CASE WHEN p.v[j] > 0 THEN p.q
-            WHEN p.v[j] < 0 THEN 1 - p.q ELSE 0.0 END)) + 0.8)
-        / (list_sum(list_transform(posts, lambda p: p.n * abs(p.v[j]))) + 1.0)))) AS accuracies
+    SELECT round, greatest({least}, least({most}, good / total)) AS share,
+      {weight(-1, quality.AGAINST)} AS against,
+      {weight(1, quality.FOR)} AS pro
     FROM (
-      SELECT round, total, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n,
-        'q': 1 / (1 + exp(-(bias + list_dot_product(p.v::DOUBLE[], weights))))}}) AS posts
-      FROM model, patterns WHERE round < {quality.ROUNDS}))),
+      SELECT *, list_sum(list_transform(posts, lambda p: p.n * p.q)) AS good,
+        list_sum(list_transform(posts, lambda p: p.n * (1 - p.q))) AS bad
+      FROM (
+        SELECT round, total, list_transform(ps, lambda p: {{'v': p.v, 'n': p.n,
+          'q': 1 / (1 + exp(-(bias + {weighed('p.v')})))}}) AS posts
+        FROM model, patterns WHERE round < {quality.ROUNDS})))),
 judged AS (
   SELECT voted.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    round(1 / (1 + exp(-(bias + list_dot_product(votes::DOUBLE[], weights)))), 6) AS posterior
+    round(1 / (1 + exp(-(bias + {weighed('votes')}))), 6) AS posterior
   FROM voted, (SELECT * FROM model WHERE round = {quality.ROUNDS}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND posterior >= 0.5 AS kept, posterior
@@ -186,10 +204,13 @@ _L = suffix_dedup.LENGTH
 REPEATS_SQL = f"""
 WITH raw AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (
+  SELECT doc_id, base, substr(x, 2 * base + 1, {2 * (500 + _L - 1)}) AS x
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {_L - 1}, 500)) AS base FROM raw)),
 windows AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY substr(x, 2 * s + 1, {2 * _L})
-                                       ORDER BY doc_id, s) AS nth
-  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {_L - 1})) AS s FROM raw)),
+  SELECT doc_id, base + o AS s, row_number() OVER (PARTITION BY substr(x, 2 * o + 1, {2 * _L})
+                                                 ORDER BY doc_id, base + o) AS nth
+  FROM (SELECT doc_id, base, x, unnest(range(0, length(x) // 2 - {_L - 1})) AS o FROM blocks)),
 later AS (
   SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before
   FROM windows WHERE nth > 1),
