@@ -13,7 +13,7 @@ members in several trees are confirmed once, and a confirmed node yields only th
 links that join its members, never all its pairs. A node that is still large
 after the last level holds documents that are nearly all alike; its members are
 dealt to blocks that share a few members of the node, and the blocks are compared
-like any small node.
+like any small node, other blocks in every tree.
 """
 
 from __future__ import annotations
@@ -39,10 +39,14 @@ from partloom.llm.words import (
 )
 
 TOKENS = 64
-TREES = 14
-LEVELS = 5
-LEAF = 32
-PIVOTS = 3
+TREES = 16
+LEVELS = 4
+# A node is compared exhaustively up to so many documents and shingles; a node that stays
+# larger, in blocks of about so many documents and shingles, with so many shared members.
+LEAF = 256
+BLOCK = 1024
+SHINGLES = 4_000_000
+PIVOTS = 8
 # Estimates from 64 tokens stray by 0.05 at most similarities; four times that is allowed.
 SLACK = 0.2
 
@@ -128,8 +132,10 @@ def _branch(level: int, threshold: float):
                 path = parent * numbered(3, 1)[0] + mix(
                     (token.astype(np.uint64) << np.uint64(32)) | matrix[row, token]
                 )
+                sizes = batch.column("n_shingles").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(path).view(np.int64)), pa.array(docs[row])], ["node", "doc_id"]
+                    [pa.array(mix(path).view(np.int64)), pa.array(docs[row]), pa.array(sizes[row])],
+                    ["node", "doc_id", "n_shingles"],
                 )
 
     return run
@@ -155,41 +161,38 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _find(parent: dict, x):
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _likely_groups(floor: float):
+    """Small nodes to groups of members whose estimated similarity reaches ``floor``.
 
+    All pairs of a node are compared but those that are in one group already.
+    """
 
-def _likely_groups(floor: float):
-    """Small nodes to groups of members whose estimated similarity reaches ``floor``."""
+    def groups_of(nodes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        group = np.arange(len(nodes))
+        for step in range(1, len(nodes)):
+            at = np.flatnonzero(nodes[step:] == nodes[:-step])
+            if not len(at):
+                break
+            at = at[group[at] != group[at + step]]
+            for low in range(0, len(at), 65536):
+                part = at[low : low + 65536]
+                same = (matrix[part] == matrix[part + step]).sum(axis=1)
+                for i in part[same >= floor * TOKENS]:
+                    if group[i] != group[i + step]:
+                        group[group == group[i + step]] = group[i]
+        return group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "node"):
-            nodes = table.column("node").to_numpy()
             docs = table.column("doc_id").to_numpy()
             matrix = _token_matrix(table.column("tokens").combine_chunks())
-            parent: dict[int, int] = {}
-            for step in range(1, len(nodes)):
-                at = np.flatnonzero(nodes[step:] == nodes[:-step])
-                if not len(at):
-                    break
-                for low in range(0, len(at), 65536):
-                    part = at[low : low + 65536]
-                    same = (matrix[part] == matrix[part + step]).sum(axis=1)
-                    for i in part[same >= floor * TOKENS]:
-                        a, b = int(i), int(i) + step
-                        parent.setdefault(a, a)
-                        parent.setdefault(b, b)
-                        parent[_find(parent, b)] = _find(parent, a)
-            members: dict[int, set[int]] = {}
-            for row in parent:
-                members.setdefault(_find(parent, row), set()).add(int(docs[row]))
+            group = groups_of(table.column("node").to_numpy(), matrix)
+            order = np.lexsort((docs, group))
+            cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
             names, out = [], []
-            for group in members.values():
-                if len(group) > 1:
-                    ids = np.array(sorted(group), dtype=np.int64)
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                ids = np.unique(docs[order[low:high]])
+                if len(ids) > 1:
                     spread = mix(ids.view(np.uint64) + np.uint64(5))
                     name = mix(np.array([spread.sum(dtype=np.uint64)]))[0]
                     names.append(np.full(len(ids), name))
@@ -210,20 +213,23 @@ def _confirmed(width: int, percent: int):
     """Links that join the members of each group, confirmed on full shingle sets."""
 
     def links(docs: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        parent = {int(d): int(d) for d in docs}
+        """Pairs of all members are compared unless known to be in one component."""
         order = np.argsort([len(s) for s in sets], kind="stable")
-        for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                a, b = len(sets[i]), len(sets[j])
-                if 100 * a < percent * b:
-                    break
-                here, there = int(docs[i]), int(docs[j])
-                if not a or _find(parent, here) == _find(parent, there):
+        docs = docs[order]
+        sets = [sets[i] for i in order]
+        sizes = np.array([len(s) for s in sets])
+        component = np.unique(docs, return_inverse=True)[1]
+        for i in range(len(sets)):
+            if not sizes[i]:
+                continue
+            apart = (component != component[i]) & (100 * sizes[i] >= percent * sizes)
+            for j in np.flatnonzero(apart[i + 1 :]) + i + 1:
+                if component[i] == component[j]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (a + b - both):
-                    parent[_find(parent, there)] = _find(parent, here)
-                    yield here, there
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    component[component == component[j]] = component[i]
+                    yield int(docs[i]), int(docs[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "node"):
@@ -249,13 +255,20 @@ def _small_nodes(sets: DataFrame, threshold: float) -> DataFrame:
     small = None
     above = sets
     for level in range(LEVELS):
-        rows = above.mapInArrow(_branch(level, threshold), "node long, doc_id long")
+        rows = above.mapInArrow(
+            _branch(level, threshold), "node long, doc_id long, n_shingles long"
+        )
         rows = written(rows, f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = (
+            rows.groupBy("node")
+            .agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
+            .where("size > 1")
+        )
         sized = written(rows.join(sizes, "node"), f"nodes{level}")
-        leaves = sized.where(F.col("size") <= LEAF).select("node", "doc_id")
+        is_small = (F.col("size") <= LEAF) & (F.col("weight") <= SHINGLES)
+        leaves = sized.where(is_small).select("node", "doc_id")
         small = leaves if small is None else small.unionByName(leaves)
-        large = sized.where(F.col("size") > LEAF)
+        large = sized.where(~is_small)
         if large.isEmpty():
             return small
         above = large.select("node", "doc_id").join(sets, "doc_id")
@@ -263,9 +276,9 @@ def _small_nodes(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """Members of large nodes in blocks of about ``LEAF``; all blocks share some members."""
-    spread = F.xxhash64("node", "doc_id")
-    block = F.xxhash64("node", F.pmod(spread, F.ceil(F.col("size") / LEAF)))
+    """Members of large nodes in blocks; all blocks of a node share some members."""
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / SHINGLES))
+    block = F.xxhash64("node", F.pmod(F.xxhash64("node", "doc_id"), parts))
     dealt = large.select(block.alias("block"), "node", "doc_id")
     shared = [
         large.groupBy("node").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))).alias("doc_id"))
@@ -307,15 +320,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets = written(
         full.join(first.withColumnRenamed("first_id", "doc_id"), ["key_a", "key_b", "doc_id"])
         .dropDuplicates(["key_a", "key_b", "doc_id"])
-        .select("doc_id", "tokens"),
+        .select("doc_id", "tokens", "n_shingles"),
         "distinct_sets",
     )
     nodes = _small_nodes(sets, threshold)
-    pairs = nodes.join(sets, "doc_id").repartition("node").sortWithinPartitions("node")
+    pairs = nodes.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
     likely = pairs.mapInArrow(_likely_groups(threshold - SLACK), "node long, doc_id long")
     likely = written(likely.distinct(), "likely")
     wanted = likely.select("doc_id").distinct()
-    bodies = texts.join(wanted, "doc_id", "left_semi")
+    # Never a broadcast: how many documents are wanted grows with the table.
+    bodies = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
     groups = likely.join(bodies, "doc_id").repartition("node").sortWithinPartitions("node")
     links = written(groups.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
     reached = components(links)
