@@ -51,23 +51,28 @@ _NAME_WORD = r"\p{Lu}[\p{Ll}'’\-]+"
 _TITLE = "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True))
 # In order of precedence where two patterns match at one place.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    # Possessive, and only from the start of a run: else each run is read once a character.
+    Kind(
+        "email",
+        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@"
+        r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    ),
     Kind(
         "secret",
         r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b"
-        r"|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b)\s*[=:]\s*"
+        r"|\b(?=[PpTtSsAa])(?i:(?:password|passwd|pwd|token|secret|api_?key)\b)\s*[=:]\s*"
         r"(?:\"[^\"\s]+\"|'[^'\s]+'|[^\s\"',;]*[^\s\"',;.])",
     ),
     Kind("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    Kind("card", r"(?<![\d.])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\d.]\d)"),
-    Kind("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    Kind("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
+    Kind("card", r"(?=\d)(?<![\d.])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\d.]\d)"),
+    Kind("ssn", r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
+    Kind("ip", r"(?=\d)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"),
     Kind(
         "phone",
-        r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)"
-        r"|(?<![\w+])\+\d{8,14}(?!\d)",
+        r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)"
+        r"|\+(?<![\w+]\+)\d{8,14}(?!\d)",
     ),
-    Kind("name", rf"\b(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?"),
+    Kind("name", rf"(?=\p{{Lu}})\b(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?"),
 )
 # One group is a back reference; the numbering of the joined pattern keeps it first.
 ENTITY = "|".join(
@@ -306,7 +311,6 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
         F.array_sort(F.collect_set("kind")).alias("_kinds"),
     )
     marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
-    has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
     gaps = F.split("text", ENTITY, -1)
     said = F.transform(F.col("_said"), lambda s: s["said"])
     text = F.array_join(
@@ -315,23 +319,18 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
         ),
         "",
     )
-    joined = marked.where(has).join(
-        gathered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    joined = marked.join(
+        gathered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left"
     )
+    found = F.col("_said").isNotNull()
+    columns = {c: F.col(c) for c in names}
+    columns["text"] = F.when(found, text).otherwise(F.col("text"))
+    if "n_chars" in columns:
+        length = F.length(text).cast(documents.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(found, length).otherwise(F.col("n_chars"))
     no_kinds = F.array().cast("array<string>")
-    changed = [F.col(c) for c in names]
-    if "n_chars" in names:
-        at = names.index("n_chars")
-        changed[at] = F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
-    with_entities = (
-        joined.withColumn("text", text)
-        .select(
-            *changed,
-            F.size("_said").cast("long").alias("n_entities"),
-            F.col("_kinds").alias("entity_kinds"),
-        )
-    )
-    without = marked.where(~has).select(
-        *names, F.lit(0).cast("long").alias("n_entities"), no_kinds.alias("entity_kinds")
+    return joined.select(
+        *[column.alias(c) for c, column in columns.items()],
+        F.when(found, F.size("_said")).otherwise(0).cast("long").alias("n_entities"),
+        F.coalesce("_kinds", no_kinds).alias("entity_kinds"),
     )
-    return with_entities.unionByName(without)
