@@ -40,11 +40,11 @@ from partloom.llm.words import (
 
 TOKENS = 64
 TREES = 16
-LEVELS = 4
+LEVELS = 3
 # A node is compared exhaustively up to so many documents and shingles; a node that stays
 # larger, in blocks of about so many documents and shingles, with so many shared members.
 LEAF = 256
-BLOCK = 1024
+BLOCK = 2048
 SHINGLES = 4_000_000
 PIVOTS = 8
 # Estimates from 64 tokens stray by 0.05 at most similarities; four times that is allowed.
@@ -213,21 +213,25 @@ def _confirmed(width: int, percent: int):
     """Links that join the members of each group, confirmed on full shingle sets."""
 
     def links(docs: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """Pairs of all members are compared unless known to be in one component."""
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        docs = docs[order]
-        sets = [sets[i] for i in order]
+        """Each member meets all others at once, unless all are in its component already."""
+        full = [i for i, s in enumerate(sets) if len(s)]
+        docs, sets = docs[full], [sets[i] for i in full]
         sizes = np.array([len(s) for s in sets])
+        starts = np.cumsum(sizes) - sizes
+        shingles = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)[1]
         component = np.unique(docs, return_inverse=True)[1]
-        for i in range(len(sets)):
-            if not sizes[i]:
+        marked = np.zeros(len(shingles), dtype=bool)
+        for i, (start, size) in enumerate(zip(starts, sizes)):
+            alike = (100 * size >= percent * sizes) & (100 * sizes >= percent * size)
+            if not (alike & (component != component[i])).any():
                 continue
-            apart = (component != component[i]) & (100 * sizes[i] >= percent * sizes)
-            for j in np.flatnonzero(apart[i + 1 :]) + i + 1:
-                if component[i] == component[j]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+            own = shingles[start : start + size]
+            marked[own] = True
+            both = np.add.reduceat(marked[shingles].astype(np.int32), starts)
+            marked[own] = False
+            near = 100 * both >= percent * (size + sizes - both)
+            for j in np.flatnonzero(near & (component != component[i])):
+                if component[i] != component[j]:
                     component[component == component[j]] = component[i]
                     yield int(docs[i]), int(docs[j])
 
