@@ -44,7 +44,7 @@ REGION = 64
 SEGMENT_BYTES = 1 << 20
 # Regions that a task reduces at a time.
 HELD_REGIONS = 2_000_000
-BATCHES = 4
+BATCHES = 3
 # Regions of one name that are compared in one task at most.
 HOT_REGIONS = 5_000
 
