@@ -39,6 +39,15 @@ TITLES = {
 }
 
 
+# From which attempt on all characters of a secret or a mailbox are drawn and addresses leave
+# network 10; after which attempt secrets and mailboxes grow by a character each; and after
+# which one the numbers of a fixed length do.
+SHAPED = 2
+LONGER = 3
+LAST = 15
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 @dataclass(frozen=True)
 class Kind:
     """A type of entity: its pattern, and how many leading characters keep their value."""
@@ -111,8 +120,11 @@ def _drawn(stream: Column, at: Column) -> Column:
     return F.conv(F.substr(stream, F.pmod(at * 2, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
-    """Digits for digits and letters for letters, the first ``keep`` characters as they are."""
+def _reshaped(value: Column, stream: Column, keep: Column, others: Column | None = None) -> Column:
+    """Digits for digits and letters for letters, the first ``keep`` characters as they are.
+
+    Where ``others`` holds, letters stand for all other characters too.
+    """
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def letter(letters: str, i: Column) -> Column:
@@ -125,12 +137,45 @@ def _reshaped(value: Column, stream: Column, keep: Column) -> Column:
             .when(c.rlike("^[0-9]$"), F.pmod(_drawn(stream, i), F.lit(10)).cast("string"))
             .when(c.rlike("^[a-z]$"), letter(lower, i))
             .when(c.rlike("^[A-Z]$"), letter(upper, i))
+            .when(c.rlike(r"^\p{N}$"), F.pmod(_drawn(stream, i), F.lit(10)).cast("string"))
+            .when(c.rlike(r"^\p{Lu}$"), letter(upper, i))
+            .when(c.rlike(r"^\p{L}$") if others is None else others | c.rlike(r"^\p{L}$"), letter(lower, i))
             .otherwise(c),
         ),
         "",
     )
 
 
+def _longer(stream: Column, count: Column, letters: str) -> Column:
+    """So many further characters; none for a count below one."""
+    more = F.sha2(F.concat(stream, F.lit("more")), 512)
+    return F.when(
+        count > 0,
+        F.array_join(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+                lambda i: F.substr(
+                    F.lit(letters), F.pmod(_drawn(more, i), F.lit(len(letters))) + 1, F.lit(1)
+                ),
+            ),
+            "",
+        ),
+    ).otherwise("")
+
+
+def _secret(normal: Column, stream: Column, attempt: Column) -> Column:
+    """Name, sign and quotes kept; the value itself reshaped, and longer in late attempts."""
+    head = F.regexp_extract(normal, r"^(?:AKIA|gh[pousr]_|[A-Za-z_]+\s*[=:]\s*[\"']?)", 0)
+    quote = F.regexp_extract(head, r"[\"']$", 0)
+    body = F.substr(normal, F.length(head) + 1, F.length(normal) - F.length(head) - F.length(quote))
+    return F.concat(
+        head,
+        _reshaped(body, stream, F.lit(0), attempt >= SHAPED),
+        _longer(stream, attempt - LONGER, ALPHABET),
+        quote,
+    )
+
+
 def _luhn(digits: Column) -> Column:
     """The sum whose divisibility by ten makes a card number valid."""
     doubled = F.transform(
@@ -153,15 +198,15 @@ def _card(normal: Column, stream: Column) -> Column:
     return F.concat(body, check.cast("string"))
 
 
-def _listed(names: list[str], stream: Column, at: int) -> Column:
-    drawn = _drawn(stream, F.lit(at)) * 256 + _drawn(stream, F.lit(at + 1))
+def _listed(names: list[str], stream: Column, at: Column) -> Column:
+    drawn = _drawn(stream, at) * 256 + _drawn(stream, at + 1)
     return F.get(F.array(*[F.lit(n) for n in names]), F.pmod(drawn, F.lit(len(names))))
 
 
 def _name(value: Column, stream: Column, attempt: Column) -> Column:
     """Title kept; given and family name of the same gender and script.
 
-    Attempts beyond the lists' combinations are told apart by a second family name.
+    Every second attempt adds a further family name, so that the names never run out.
     """
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
     bare = F.regexp_replace(title, r"[. ]", "")
@@ -169,20 +214,18 @@ def _name(value: Column, stream: Column, attempt: Column) -> Column:
     cyrillic = value.rlike(r"\p{IsCyrillic}[^ ]*$")
 
     def choice(script: str) -> Column:
-        given = F.when(woman, _listed(GIVEN["f", script], stream, 0)).otherwise(
-            _listed(GIVEN["m", script], stream, 0)
+        given = F.when(woman, _listed(GIVEN["f", script], stream, F.lit(0))).otherwise(
+            _listed(GIVEN["m", script], stream, F.lit(0))
         )
-        family = _listed(FAMILY[script], stream, 2)
-        second = F.when(
-            attempt >= 3, F.concat(F.lit("-"), _listed(FAMILY[script], stream, 4))
-        ).otherwise("")
-        third = F.when(
-            attempt >= 6, F.concat(F.lit("-"), _listed(FAMILY[script], stream, 6))
-        ).otherwise("")
-        both = F.size(F.split(value, " ")) > 2
-        return F.concat(
-            F.when(both, F.concat(given, F.lit(" "))).otherwise(""), family, second, third
+        families = F.array_join(
+            F.transform(
+                F.sequence(F.lit(1), F.floor(attempt / 2).cast("int") + 1),
+                lambda i: _listed(FAMILY[script], stream, i * 2),
+            ),
+            "-",
         )
+        both = F.size(F.split(value, " ")) > 2
+        return F.concat(F.when(both, F.concat(given, F.lit(" "))).otherwise(""), families)
 
     return F.concat(title, F.when(cyrillic, choice("cyrillic")).otherwise(choice("latin")))
 
@@ -192,6 +235,10 @@ def _surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Colum
 
     def made(stream: Column) -> Column:
         octets = [F.pmod(_drawn(stream, F.lit(i)), F.lit(256)).cast("string") for i in range(3)]
+        network = F.when(attempt < SHAPED, 10).otherwise(
+            F.pmod(_drawn(stream, F.lit(3)), F.lit(223)) + 1
+        )
+        digits = _longer(stream, attempt - LAST, "0123456789")
         address = F.split(normal, "@")
         # Mailboxes of one domain keep one domain.
         domain = F.get(address, 1)
@@ -200,20 +247,30 @@ def _surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Colum
         moved = F.concat(
             _reshaped(body, _draws(key, F.lit("domain"), domain, F.lit(0)), F.lit(0)), ending
         )
-        value_start = F.length(F.regexp_extract(normal, r"^(?:AKIA|gh[pousr]_|[A-Za-z_]+\s*[=:]\s*[\"']?)", 0))
         return (
             F.when(
                 kind == "email",
-                F.concat(_reshaped(F.get(address, 0), stream, F.lit(0)), F.lit("@"), moved),
+                F.concat(
+                    _reshaped(F.get(address, 0), stream, F.lit(0), attempt >= SHAPED),
+                    _longer(stream, attempt - LONGER, ALPHABET),
+                    F.lit("@"),
+                    moved,
+                ),
+            )
+            .when(kind == "card", F.concat(_card(normal, stream), digits))
+            .when(
+                kind == "ip",
+                F.concat(
+                    F.concat_ws(".", network.cast("string"), *octets),
+                    F.when(digits != "", F.concat(F.lit(":"), digits)).otherwise(""),
+                ),
             )
-            .when(kind == "card", _card(normal, stream))
-            .when(kind == "ip", F.concat_ws(".", F.lit("10"), *octets))
-            .when(kind == "iban", _reshaped(normal, stream, F.lit(2)))
-            .when(kind == "secret", _reshaped(normal, stream, value_start))
+            .when(kind == "iban", F.concat(_reshaped(normal, stream, F.lit(2)), digits))
+            .when(kind == "secret", _secret(normal, stream, attempt))
             .when(kind == "name", _name(normal, stream, attempt))
             # The first digit of an international number stays: it names the region.
-            .when(normal.startswith("+"), _reshaped(normal, stream, F.lit(2)))
-            .otherwise(_reshaped(normal, stream, F.lit(0)))
+            .when(normal.startswith("+"), F.concat(_reshaped(normal, stream, F.lit(2)), digits))
+            .otherwise(F.concat(_reshaped(normal, stream, F.lit(0)), digits))
         )
 
     return bind(_draws(key, kind, normal, attempt), made)
@@ -236,10 +293,16 @@ def _formatted(kind: Column, value: Column, surrogate: Column) -> Column:
             ).otherwise(c),
         ),
     )
-    spaced = F.array_join(F.transform(F.split(value, " "), lambda p, i: F.substr(surrogate, i * 4 + 1, F.lit(4))), " ")
+    spaced = F.array_join(F.transform(F.split(value, " "), lambda p, i: F.substr(surrogate, i * 4 + 1, F.length(p))), " ")
+    # What a late attempt has added follows the places of the mention.
+    places = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    added = F.substr(F.regexp_replace(surrogate, "[^0-9]", ""), places + 1, F.length(surrogate))
+    tail = F.substr(surrogate, F.length(F.regexp_replace(value, " ", "")) + 1, F.length(surrogate))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.array_join(digit_places, ""))
-        .when((kind == "iban") & F.contains(value, F.lit(" ")), spaced)
+        F.when(
+            kind.isin("card", "ssn", "phone"), F.concat(F.array_join(digit_places, ""), added)
+        )
+        .when((kind == "iban") & F.contains(value, F.lit(" ")), F.concat(spaced, tail))
         .when((kind == "email") & value.rlike("^[^a-z]+$"), F.upper(surrogate))
         .otherwise(surrogate)
     )
@@ -259,8 +322,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Rows (kind, normal, surrogate) for the distinct rows (kind, normal).
 
     Within a kind all surrogates differ, and none equals a value that occurs. Each round
-    settles at least the smallest value of every surrogate that is free; the others draw
-    again, so the rounds end.
+    settles the smallest value of every surrogate that is free; the others draw again.
+    The surrogates that a value can draw grow without bound in the attempt (further family
+    names, letters for other characters, more length), so the rounds end.
     """
     originals = entities.select("kind", F.col("normal").alias("surrogate"))
     open_rows = entities.withColumn("attempt", F.lit(0))

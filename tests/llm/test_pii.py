@@ -72,6 +72,35 @@ def test_collisions_are_settled(spark):
     assert not {s for _, s in said} & set(names + addresses)
 
 
+def test_every_value_settles(spark):
+    """Values without ASCII letters or digits, spaces that occur whole, more names than pairs."""
+    letters = "abcdefghij"
+    names = [f"Mr {a.upper()}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters]
+    secrets = [f"token={i}" for i in range(10)] + ['pwd="-"', "password: ****", "secret: -", "password: пароль"]
+    mails = [f"{c}@{d}.co" for c in "abcdefghijklmnopqrstuvwxyz_-" for d in "abc"]
+    rows = [("name", n) for n in names] + [("secret", s) for s in secrets] + [("email", m) for m in mails]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, normal string"), "k").collect()
+    assert sorted((r.kind, r.normal) for r in got) == sorted(rows)
+    said = {(r.kind, r.surrogate) for r in got}
+    assert len(said) == len(rows) and not said & set(rows)
+    of = {r.normal: r.surrogate for r in got}
+    assert re.fullmatch(r'pwd="[^"\s]+"', of['pwd="-"'])
+    assert all(re.fullmatch(r"token=\w+", of[f"token={i}"]) for i in range(10))
+    texts = [r.text for r in replaced(spark, ["password: **** ok", "password: пароль1 ok"])]
+    assert "****" not in texts[0] and "пароль" not in texts[1]
+
+
+def test_late_attempts_add_to_numbers(spark):
+    rows = [("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111"), ("ip", "8.8.8.8"), ("iban", "DE89 3704 0044 0532 0130 00")]
+    frame = spark.createDataFrame(rows, "kind string, value string")
+    kind, value = F.col("kind"), F.col("value")
+    normal = pii._normal(kind, value)
+    made = pii._surrogate("k", kind, normal, F.lit(pii.LAST + 2))
+    said = [r[0] for r in frame.select(pii._formatted(kind, value, made)).collect()]
+    for text, pattern in zip(said, (r"\d{3}-\d\d-\d{6}", r"(\d{4} ){3}\d{6}", r"(\d+\.){3}\d+:\d\d", r"DE\d\d (\d{4} ){4}\d{4}")):
+        assert re.fullmatch(pattern, text), text
+
+
 def test_keys_differ_and_one_key_repeats(spark):
     frame = spark.createDataFrame([(1, "write to joe@corp.example.com")], "doc_id long, text string")
     one, again, other = (pii.replaced(frame, k).first().text for k in ("a", "a", "b"))
