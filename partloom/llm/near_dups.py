@@ -12,8 +12,11 @@ Documents with the same set are collapsed first. Small nodes with the same
 members in several trees are confirmed once, and a confirmed node yields only the
 links that join its members, never all its pairs. A node that is still large
 after the last level holds documents that are nearly all alike; its members are
-dealt to blocks that share a few members of the node, and the blocks are compared
-like any small node, other blocks in every tree.
+first dealt to blocks that share a few members of the node, and the blocks are
+compared like any small node, other blocks in every tree. What these links leave in
+several components within a large node is joined exactly: two similar sets share one
+of their rarest shingles, so all members that have such a shingle in common and are
+not in one component meet.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ LEAF = 256
 BLOCK = 2048
 SHINGLES = 4_000_000
 PIVOTS = 8
+# Shingles are ordered by the counts of so many buckets; any order gives the same pairs.
+BUCKETS = 1 << 18
 # Estimates from 64 tokens stray by 0.05 at most similarities; four times that is allowed.
 SLACK = 0.2
 
@@ -254,8 +259,146 @@ def _confirmed(width: int, percent: int):
     return run
 
 
-def _small_nodes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, doc_id) of all nodes of all trees that are small enough to compare."""
+def _shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    data, offsets = text_buffers(batch.column("text"))
+    hashes, rows, *_ = hash_words(data, offsets, NOT_SPACE, FOLDED)
+    return list(shingle_hashes(hashes, rows, batch.num_rows, width))
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(width: int):
+    """How many sets have a shingle of each bucket, task by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                flat = np.concatenate([np.zeros(0, np.uint64), *_shingle_sets(batch, width)])
+                counts += np.bincount(_bucket(flat), minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(counts[used])], ["bucket", "n"]
+        )
+
+    return run
+
+
+def _prefixes(width: int, percent: int, shared):
+    """The rarest shingles of each set: of two linked sets, one at least is in both's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                sets = _shingle_sets(batch, width)
+                rare = []
+                for s in sets:
+                    # Linked sets share percent of the larger one, so of either one.
+                    length = len(s) + 1 - -(-percent * len(s) // 100) if len(s) else 0
+                    rare.append(s[np.lexsort((s, counts[_bucket(s)]))[:length]])
+                row = np.repeat(np.arange(len(sets)), [len(r) for r in rare])
+                flat = np.concatenate([np.zeros(0, np.uint64), *rare])
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(flat.view(np.int64)),
+                        batch.column("doc_id").take(pa.array(row)),
+                        batch.column("component").take(pa.array(row)),
+                        pa.array(sizes[row]),
+                    ],
+                    ["shingle", "doc_id", "component", "n_shingles"],
+                )
+
+    return run
+
+
+def _meetings(bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (node, doc_id): blocks in which all documents meet that have a rare shingle in common.
+
+    ``bodies`` has doc_id, text and component. Documents of the largest component of a
+    shingle meet all others; they need not meet each other. Both sides are cut into
+    blocks, and every pair of blocks is a node.
+    """
+    counted = (
+        bodies.mapInArrow(_bucket_counts(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    )
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for r in counted.collect():
+        counts[r.bucket] = r.n
+    shared = bodies.sparkSession.sparkContext.broadcast(counts)
+    rare = written(
+        bodies.mapInArrow(
+            _prefixes(width, percent, shared),
+            "shingle long, doc_id long, component long, n_shingles long",
+        ),
+        "rare",
+    )
+    whole = F.struct(F.col("n").alias("n"), F.col("weight").alias("weight"), "component")
+    lists = (
+        rare.groupBy("shingle", "component")
+        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+        .groupBy("shingle")
+        .agg(F.max(whole).alias("main"), F.sum("n").alias("size"), F.sum("weight").alias("weight"))
+        .where("size > main.n")
+    )
+
+    def parts(size: F.Column, weight: F.Column) -> F.Column:
+        return F.greatest(F.ceil(size / BLOCK), F.ceil(weight / SHINGLES)).cast("long")
+
+    lists = lists.select(
+        "shingle",
+        F.col("main.component").alias("main"),
+        parts(F.col("size"), F.col("weight")).alias("rows"),
+        parts(F.col("size") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("columns"),
+    )
+    met = rare.join(lists, "shingle")
+    own_row = F.pmod(F.xxhash64("shingle", "doc_id"), F.col("rows"))
+    own_column = F.pmod(F.xxhash64("doc_id", "shingle"), F.col("columns"))
+    one = met.select(
+        "shingle", "doc_id", own_row.alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c")
+    )
+    other = met.where("component <> main").select(
+        "shingle", "doc_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), own_column.alias("c")
+    )
+    node = F.xxhash64("shingle", "r", "c").alias("node")
+    return one.select(node, "doc_id").unionByName(other.select(node, "doc_id")).distinct()
+
+
+def _apart(large: DataFrame, reached: DataFrame) -> DataFrame:
+    """Rows (doc_id, component): the members of large nodes that are in several components."""
+    named = large.select("node", "doc_id").join(
+        reached.withColumnRenamed("id", "doc_id"), "doc_id", "left"
+    ).select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = written(named, "named")
+    several = (
+        named.groupBy("node")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("node")
+    )
+    return named.join(several, "node").select("doc_id", "component").distinct()
+
+
+def _links(
+    nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links (a, b) that join the similar members of each node."""
+    pairs = nodes.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
+    floor = percent / 100 - SLACK
+    likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long")
+    likely = written(likely.distinct(), "likely")
+    wanted = likely.select("doc_id").distinct()
+    # Never a broadcast: how many documents are wanted grows with the table.
+    bodies = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
+    groups = likely.join(bodies, "doc_id").repartition("node").sortWithinPartitions("node")
+    return written(groups.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
+
+
+def _small_nodes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (node, doc_id) to compare in all trees, and the nodes that stayed large."""
     small = None
     above = sets
     for level in range(LEVELS):
@@ -274,9 +417,9 @@ def _small_nodes(sets: DataFrame, threshold: float) -> DataFrame:
         small = leaves if small is None else small.unionByName(leaves)
         large = sized.where(~is_small)
         if large.isEmpty():
-            return small
+            return small, None
         above = large.select("node", "doc_id").join(sets, "doc_id")
-    return small.unionByName(_blocks(large))
+    return small.unionByName(_blocks(large)), large
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -327,16 +470,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .select("doc_id", "tokens", "n_shingles"),
         "distinct_sets",
     )
-    nodes = _small_nodes(sets, threshold)
-    pairs = nodes.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
-    likely = pairs.mapInArrow(_likely_groups(threshold - SLACK), "node long, doc_id long")
-    likely = written(likely.distinct(), "likely")
-    wanted = likely.select("doc_id").distinct()
-    # Never a broadcast: how many documents are wanted grows with the table.
-    bodies = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
-    groups = likely.join(bodies, "doc_id").repartition("node").sortWithinPartitions("node")
-    links = written(groups.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
+    nodes, large = _small_nodes(sets, threshold)
+    links = _links(nodes, sets, texts, width, percent)
     reached = components(links)
+    if large is not None:
+        apart = written(_apart(large, reached), "apart")
+        if not apart.isEmpty():
+            # A join by merge: how many members are apart grows with the table.
+            bodies = written(texts.join(apart.hint("merge"), "doc_id"), "apart_texts")
+            more = _links(_meetings(bodies, width, percent), sets, texts, width, percent)
+            reached = components(links.unionByName(more))
     named = (
         first.join(reached, first.first_id == reached.id, "left")
         .select("key_a", "key_b", F.coalesce("component", "first_id").alias("found"))

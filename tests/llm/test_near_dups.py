@@ -73,6 +73,27 @@ def test_large_groups_branch_and_are_dealt_to_blocks(spark, monkeypatch):
     assert found(near_dups.near_duplicates(frame, 3, 85)) == expected(texts, 3, 85)
 
 
+def test_pairs_inside_a_large_group_of_look_alikes(spark, monkeypatch):
+    """A template group whose members miss the threshold but for some pairs and a chain."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        at = rng.randrange(100)
+        words[at : at + rng.choice([5, 14])] = [f"own{i}x{k}" for k in range(rng.choice([10, 14]))]
+        texts[i] = " ".join(words)
+        if i % 5 == 0:
+            texts[1000 + i] = " ".join([*words, "tail", f"of{i}"])
+    for i in range(40):
+        texts[5000 + i] = " ".join([*base, *[f"step{k}" for k in range(i, i + 20)]])
+    monkeypatch.setattr(near_dups, "LEAF", 4)
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    monkeypatch.setattr(near_dups, "LEVELS", 1)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(near_dups.near_duplicates(frame, 3, 85)) == expected(texts, 3, 85)
+
+
 def test_edges(edges):
     rows = near_dups.near_duplicates(edges).collect()
     assert len(rows) == edges.count()
