@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 # Open windows that a packer holds at most: 2,048 ids each, so about 16 MB.
 OPEN_WINDOWS = 2048
+# Runs of so many characters are left to the tokenizer.
+LONG_RUN = 100_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -52,6 +55,28 @@ def byte_level_encoder(vocabulary: str):
     ).encode_ordinary
 
 
+def document_encoder(vocabulary: str):
+    """The ids of the tokenizer with its own settings, by the fast encoder where it has them.
+
+    Texts that hold an added token, or a run without or of nothing but white space that is
+    too long for the fast encoder's matcher, go to the tokenizer itself.
+    """
+    from tokenizers import Tokenizer
+
+    fast, whole = byte_level_encoder(vocabulary), Tokenizer.from_file(vocabulary)
+    added = [token.content for token in whole.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in added) or (
+            len(text) >= LONG_RUN
+            and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+|\S+", text))
+        ):
+            return whole.encode(text, add_special_tokens=False).ids
+        return fast(text)
+
+    return encode
+
+
 class Packer:
     """Windows in the making, by fill level.
 
@@ -142,7 +167,7 @@ class Packer:
 
 def _packed(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_level_encoder(vocabulary)
+        encode = document_encoder(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):

@@ -82,6 +82,24 @@ def test_same_ids_as_the_tokenizer():
         assert fast(text) == plain(text)
 
 
+def test_added_tokens_and_long_runs(spark):
+    """The ids of the tokenizer with its default settings."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", " " * 2_000_000 + "x", "plain"]
+    wanted = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert wanted[0] == [64, 220, 50256, 275, 1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.packed(frame, VOCABULARY).collect()
+    for i, ids in enumerate(wanted):
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert sum(r.length for r in mine) == len(ids)
+        for r in mine:
+            part = np.array(ids[r.start : r.start + r.length], "<u4")
+            assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(part), len(ids))
+
+
 def least_change(counts, size, window):
     """The level that leaves the smallest sum of squared counts, by trying all."""
     best = None
