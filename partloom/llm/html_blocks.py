@@ -37,7 +37,9 @@ ENDS_PARAGRAPH = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    # Self-closed, these hold nothing; a longer name is another element.
+    r"|<(?:svg|object)(?=[\s/>])[^>]*+(?<=/)>"
+    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>",

@@ -74,6 +74,18 @@ def test_blocks():
     assert blocks("") == [] and blocks("<p> </p><") != []
 
 
+@pytest.mark.parametrize("tag", ['<svg class="logo"/>', "<svg/>", "<object data='x' />"])
+def test_self_closed_elements_swallow_nothing(tag):
+    found = blocks(f"<header>{tag} Home</header><article><p>Text</p></article><svg><text>no</text></svg><p>End")
+    assert [b.text for b in found] == ["Home", "Text", "End"]
+    assert found[1].path == ["article", "p"]
+
+
+def test_custom_elements_are_not_raw():
+    page = "<template-card>a</template-card><object-list><p>b</object-list><style-x>c</style-x><style\n>no</style>d"
+    assert [b.text for b in blocks(page)] == ["a", "b", "c", "d"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     lstm = h.Lstm(rng, 5, 3)
