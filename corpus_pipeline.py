@@ -15,6 +15,10 @@ from partloom.llm.queries import read, vocabulary
 from partloom.llm.storage import written
 
 
+# Passages written as one line of so many words are told from chance repeats.
+LONG_LINE = 20
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a machine trained on the labelled ones does not find toxic."""
     labels = read(spark, sf_dir, "labels")
@@ -24,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that came earlier; a document that loses all its lines goes."""
-    cut = line_dups.without_repeated_runs(docs)
+    cut = line_dups.without_repeated_runs(docs, long_line=LONG_LINE)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     return cut.where(~emptied).select(*docs.columns)
 

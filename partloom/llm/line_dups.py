@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.expressions import bind, neighbours
+from partloom.llm.expressions import bind, neighbours, words
 from partloom.llm.storage import written
 
 WINDOW = 2
@@ -65,10 +65,25 @@ def _windows(text: Column, width: int) -> Column:
     )
 
 
-def repeated_lines(documents: DataFrame, width: int = WINDOW) -> DataFrame:
+def _long_lines(text: Column, least: int) -> Column:
+    """The windows of one line that has ``least`` words or more."""
+    return bind(
+        _lines(text),
+        lambda lines: F.filter(
+            _windows(text, 1), lambda w: F.size(words(F.get(lines, w["lines"][0]))) >= least
+        ),
+    )
+
+
+def repeated_lines(
+    documents: DataFrame, width: int = WINDOW, long_line: int | None = None
+) -> DataFrame:
     """Rows (doc_id, text_hash, removed): the lines that go, by number, of each document."""
     identity = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     spread = documents.select(*identity, F.explode(_windows(F.col("text"), width)).alias("w"))
+    if long_line is not None:
+        singles = _long_lines(F.col("text"), long_line)
+        spread = spread.unionByName(documents.select(*identity, F.explode(singles).alias("w")))
     windows = written(
         spread.select(
             "doc_id",
@@ -104,23 +119,27 @@ def repeated_lines(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     )
 
 
-def without_repeated_runs(documents: DataFrame, width: int = WINDOW) -> DataFrame:
+def without_repeated_runs(
+    documents: DataFrame, width: int = WINDOW, long_line: int | None = None
+) -> DataFrame:
     """The columns of ``documents``, with later repeated runs of lines cut from text.
 
     A run is ``width`` or more consecutive lines; blank lines between them do not count
     and stay, and white space at the ends of a line is ignored in comparisons. A line
     goes if it lies in ``width`` consecutive lines that occur earlier: in a row with a
-    smaller doc_id, or further up in the same text. Added columns: n_lines (non-blank
+    smaller doc_id, or further up in the same text. A line of ``long_line`` words or more,
+    where that is given, also goes if it occurs earlier by itself. Added columns: n_lines (non-blank
     lines before), n_removed, n_runs (maximal runs of removed lines); an n_chars column
     is counted anew where the text changes.
 
-    Null text stays null, and a text of fewer than ``width`` lines stays as it is. Rows
+    Null text stays null, and a text of fewer than ``width`` lines stays as it is (but
+    for long lines). Rows
     that share doc_id and text are one document and get the same result; rows of one
     doc_id with other texts are ordered by a hash of the text; null ids come first.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed", "n_runs")]
     marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
-    gone = repeated_lines(documents, width).select(
+    gone = repeated_lines(documents, width, long_line).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone"), F.col("removed").alias("_removed")
     )
     joined = marked.join(

@@ -49,6 +49,27 @@ def test_few_different_lines(spark, width):
     assert found(line_dups.without_repeated_runs(frame, width)) == wanted
 
 
+def test_long_lines_by_themselves(spark):
+    """A passage of one line between other neighbours, as a whole document, and in one text."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [
+        f"a\n{passage}\nb",
+        f"c\n\n  {passage}\t\nd\nshort line",
+        passage,
+        f"{passage} more\nx\n{passage} more\nshort line",
+        passage.rsplit(" ", 1)[0],
+        f"e\n{passage.rsplit(' ', 1)[0]}",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = found(line_dups.without_repeated_runs(frame, long_line=20))
+    assert got[0] == (3, 0, texts[0])
+    assert got[1] == (4, 1, "c\n\nd\nshort line")
+    assert got[2] == (1, 1, "")
+    assert got[3] == (4, 1, f"{passage} more\nx\nshort line")
+    assert got[4] == (1, 0, texts[4]) and got[5] == (2, 0, texts[5])
+    assert found(line_dups.without_repeated_runs(frame))[1][1] == 0
+
+
 def test_edges(edges, empty):
     got = line_dups.without_repeated_runs(edges)
     rows = got.collect()
