@@ -12,6 +12,7 @@ from partloom.llm import (
     html_text,
     licenses,
     line_dups,
+    mixing,
     near_dups,
     packing,
     pii,
@@ -134,3 +135,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op12_source_mix", sql.mixing_sql())
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partloom.llm import licenses, line_dups, quality, suffix_dedup
+from partloom.llm import licenses, line_dups, mixing, quality, suffix_dedup
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -258,3 +258,46 @@ per_document AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN per_document USING (doc_id)"""
+
+
+def mixing_sql(weights: tuple[int, ...] = mixing.WEIGHTS, repeats: int = mixing.REPEATS) -> str:
+    """The same queue by windows over whole tables."""
+    count = len(weights)
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw
+  FROM documents),
+sources AS (
+  SELECT *, {list(weights)}[(number % {count}) + 1]::BIGINT AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS total,
+          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+        FROM sized GROUP BY source)),
+filled AS (
+  SELECT *, coalesce(sum({repeats} * total) OVER w, 0)::BIGINT AS full_words,
+    coalesce(sum(weight) OVER w, 0)::BIGINT AS full_weight
+  FROM sources
+  WINDOW w AS (ORDER BY ({repeats} * total)::DOUBLE / weight, number
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+budget AS (SELECT coalesce(sum(total), 0)::BIGINT AS words, sum(weight)::BIGINT AS weights FROM sources),
+level AS (
+  SELECT max((words - full_words)::DOUBLE / (weights - full_weight)) AS level FROM filled, budget),
+targets AS (
+  SELECT source, total, number, least(({repeats} * total)::DOUBLE, level * weight) AS target
+  FROM sources, level),
+placed AS (
+  SELECT s.doc_id, s.size, t.number, t.total, t.target, row_number() OVER () AS id,
+    sum(s.size) OVER (PARTITION BY t.number ORDER BY s.draw, s.doc_id NULLS FIRST, s.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS reach
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+queue AS (
+  SELECT id, size, number, copy, reach, (copy * total + reach)::DOUBLE / target AS finish
+  FROM placed, (SELECT unnest(range({repeats})) AS copy) WHERE size > 0),
+summed AS (
+  SELECT id, size, sum(size) OVER (ORDER BY finish, number, copy, reach
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM queue),
+uses AS (
+  SELECT id, sum(greatest(0, least(size, words - (upto - size))))::BIGINT AS taken
+  FROM summed, budget GROUP BY id)
+SELECT doc_id, size, total AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM placed LEFT JOIN uses USING (id)"""
