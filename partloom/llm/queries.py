@@ -17,6 +17,7 @@ from partloom.llm import (
     packing,
     pii,
     quality,
+    search,
     sql,
     suffix_dedup,
     toxicity,
@@ -142,3 +143,8 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query("op13_lexical_search", sql.search_sql())
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

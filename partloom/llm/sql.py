@@ -301,3 +301,36 @@ uses AS (
   FROM summed, budget GROUP BY id)
 SELECT doc_id, size, total AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM placed LEFT JOIN uses USING (id)"""
+
+
+def search_sql(top: int = 10) -> str:
+    """Every document scored for every item."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({lower}, '{word}') AS w
+  FROM documents),
+sizes AS (
+  SELECT id, doc_id, len(w)::BIGINT AS n, count(*) FILTER (len(w) > 0) OVER () AS docs,
+    (sum(len(w)) OVER ())::BIGINT AS terms FROM docs),
+tf AS (
+  SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM docs) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wanted AS (
+  SELECT item, item_id, term, count(*) AS qf
+  FROM (SELECT row_number() OVER () AS item, item_id,
+          unnest(regexp_extract_all({lower}, '{word}')) AS term FROM benchmark)
+  GROUP BY item, item_id, term),
+scored AS (
+  SELECT item, item_id, id, doc_id,
+    sum(qf * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+      * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))))::BIGINT
+      AS score
+  FROM wanted JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (id)
+  GROUP BY item, item_id, id, doc_id),
+placed AS (
+  SELECT item_id, doc_id, score, row_number() OVER (
+    PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= {top}"""
