@@ -21,6 +21,7 @@ from partloom.llm import (
     sql,
     suffix_dedup,
     toxicity,
+    tries,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +139,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_prefix_trie", sql.trie_sql())
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(tries.regrafted(tries.sequences(read(spark, sf_dir, "conversations"))))
+
+
 @query("op12_source_mix", sql.mixing_sql())
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select(

@@ -334,3 +334,48 @@ placed AS (
     PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
   FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= {top}"""
+
+
+def trie_sql(every: int = 20, choices: int = 4) -> str:
+    """Nodes as groups of prefixes; subtrees by the prefixes of every node."""
+    # The checksum of a decimal number, bit by bit; the constant is the reversed polynomial.
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)),
+      4294967295::BIGINT)"""
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS turns
+  FROM (SELECT conv_id, turn, sha256(strlen(role)::VARCHAR || ':' || role || text) AS k,
+          len(regexp_extract_all(text, '{WORD}'))::BIGINT AS w FROM turns) GROUP BY conv_id),
+cut AS (SELECT conv_id, turns, {crc} % {choices} AS h FROM (SELECT *, conv_id::VARCHAR AS s FROM own)),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []),
+    coalesce(list_slice(c.turns, c.h + 1, len(c.turns)), [])) AS turns
+  FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % {every}),
+prefixes AS (
+  SELECT conv_id, d, list_slice(ks, 1, d) AS prefix, d = len(ks) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE turns[d].w END AS w
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d
+        FROM (SELECT *, list_transform(turns, lambda t: t.k) AS ks FROM rebuilt))),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+  FROM prefixes GROUP BY prefix, d),
+children AS (
+  SELECT list_slice(prefix, 1, d - 1) AS prefix, d - 1 AS d, count(*) AS n
+  FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (prefix, d)),
+above AS (
+  SELECT list_slice(prefix, 1, a) AS prefix, a AS d, sum((n_convs - 1) * w)::BIGINT AS saved,
+    count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY ALL)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children,
+  a.leaves AS n_leaves, a.saved AS saved_tokens, c.ends AS ends_sha256
+FROM counted c JOIN above a USING (prefix, d)
+LEFT JOIN nodes p ON c.d > 0 AND p.d = c.d - 1 AND p.prefix = list_slice(c.prefix, 1, c.d - 1)"""

@@ -11,7 +11,7 @@ from partloom.llm.queries import QUERIES, SQL
 @pytest.fixture(scope="module")
 def duck(small):
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     yield connection
     connection.close()
