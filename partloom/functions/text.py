@@ -21,10 +21,9 @@ DEFAULT_STATUS = "ACTIV"
 DEFAULT_WARRANTY = 24
 
 _WHITESPACE_RUN = "[" + WHITESPACE + "]+"
-# Filler words, anything in brackets, and all that is no letter or digit.
-_SOCKET_NOISE = "(?:" + "|".join(SOCKET_FILLERS) + r"|\([^\n]*?\)|[^A-Z0-9])+"
-# Python reads a decimal literal here; Java's parser alone would take "36d" too.
-_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Python reads a decimal literal here; Java's parser alone would take "36d" too. No part
+# gives back what it has matched, so a long run of digits is read once.
+_DECIMAL = r"^[+-]?(\d++(\.\d*+)?|\.\d++)([eE][+-]?\d++)?$"
 
 
 def strip(c: Column) -> Column:
@@ -82,12 +81,30 @@ def derive_sku(brand: Column, name: Column) -> Column:
     )
 
 
+def _without_brackets(c: Column) -> Column:
+    """A bracket and all up to the next closing one on its line become one blank."""
+
+    def line(part: Column) -> Column:
+        pieces = F.split(part, r"\)")
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        kept = F.transform(closed, lambda piece: F.substring_index(piece, "(", 1))
+        return F.concat_ws(" ", kept, F.element_at(pieces, -1))
+
+    lines = F.concat_ws("\n", F.transform(F.split(c, "\n"), line))
+    return F.when(c.contains(")"), lines).otherwise(c)
+
+
 def normalize_socket(c: Column) -> Column:
     """One spelling per CPU socket: AM5, LGA<n>, AM<n>, else the cleaned text.
 
-    Each step feeds the next one only, so no text is searched twice.
+    Brackets, filler words and all that is no letter or digit part the words that stay.
+    They go one kind after the other, each by a split or a literal search: a single
+    pattern with all of them under a repetition nests as deep as the text is long.
     """
-    words = F.trim(F.regexp_replace(F.upper(strip(c)), _SOCKET_NOISE, " "))
+    words = _without_brackets(F.upper(strip(c)))
+    for filler in SOCKET_FILLERS:
+        words = F.replace(words, F.lit(filler), F.lit(" "))
+    words = F.trim(F.regexp_replace(words, "[^A-Z0-9]+", " "))
     named = F.regexp_replace(words, r"^.*AM5.*$", "AM5")
     named = F.regexp_replace(named, r"^.*?\bLGA ?([0-9]{3,5})\b.*$", "LGA$1")
     named = F.regexp_replace(named, r"^.*?\bAM([2-5])\b.*$", "AM$1")

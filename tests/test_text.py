@@ -94,3 +94,54 @@ def test_socket_names_are_stable(spark, values):
     """A normalised name stays as it is when normalised again."""
     once = apply(spark, text.normalize_socket, values)
     assert apply(spark, text.normalize_socket, [v for v in once if v]) == [v for v in once if v]
+
+
+def test_no_run_of_noise_is_too_long(spark):
+    """Every pattern of the library over long runs that would nest or backtrack."""
+    from partloom.functions import decode
+    from partloom.sources import csv_blocks, parts_files
+
+    units = ["- ", "(", "()", "(a) ", "SOCKET", "CPU(", ")(", "a.", ".", "1", "1.", "1e", "9,", '"', '""', '",', " "]
+    values = [unit * (10_000 // len(unit)) + end for unit in units for end in ("", "x", "\n", '"')]
+    rules = [
+        text.normalize_socket,
+        text.to_number,
+        text.warranty_months,
+        text.hyphenate,
+        text.clean_text,
+        decode.numbers,
+        decode.token,
+        decode.text_list,
+        decode.capacity_gb,
+        decode.efficiency,
+        lambda c: decode.price(c, True),
+        csv_blocks.ends_inside,
+    ]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    found = rows.select(*[rule(F.col("v")).alias(f"r{i}") for i, rule in enumerate(rules)])
+    assert len(found.collect()) == len(values)
+    paths = rows.select(F.concat(F.lit("/"), "v").alias("path"))
+    assert paths.select(*parts_files.file_columns()).count() == len(values)
+
+
+def test_a_megabyte_of_noise_is_no_socket(spark):
+    noise = ["- " * 500_000, "(" * 1_000_000, "()" * 500_000, "SOCKET" * 170_000, ")" * 1_000_000]
+    assert apply(spark, text.normalize_socket, noise) == [None] * 5
+    named = [f"{'- ' * 500_000}socket (x) am4", f"LGA 1700{'(y)' * 300_000}"]
+    assert apply(spark, text.normalize_socket, named) == ["AM4", "LGA1700"]
+    assert apply(spark, text.to_number, ["1" * 1_000_000 + "x"]) == [None]
+
+
+BRACKETS = {
+    "(a(b)c": "C",
+    "a(b)c(d": "A C D",
+    "a)b(c": "A B C",
+    "x (one\ntwo) y": "X ONE TWO Y",
+    "soc(x)ket": "SOC KET",
+    "cpusocketx": "X",
+    "()": None,
+}
+
+
+def test_brackets_of_a_socket(spark):
+    assert apply(spark, text.normalize_socket, BRACKETS) == list(BRACKETS.values())
