@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partloom.operators.joins import lacking
 
@@ -68,19 +69,13 @@ DOMAINS = (
 )
 
 
-def _key_text(columns: Sequence[str]) -> Column:
-    """The values of a key as one text, nulls told apart from texts."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
-    return F.concat_ws("\x1f", *parts)
-
-
 class _Check(NamedTuple):
     """A constraint: which rows of its table have a key to count, and the key."""
 
     name: str
     table: str
     counts: Column
-    key: Column
+    key: Sequence[str]
     parent: tuple[str, str] | None = None
     is_domain: bool = False
 
@@ -90,51 +85,73 @@ def _checks(tables: dict[str, DataFrame]) -> list[_Check]:
     for table, keys in UNIQUE_KEYS:
         # A key without any value names no row, so it cannot occur twice.
         present = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
-        found.append(_Check(f"unique {table}({', '.join(keys)})", table, present, _key_text(keys)))
+        found.append(_Check(f"unique {table}({', '.join(keys)})", table, present, keys))
     for child, foreign_key, parent, key in FOREIGN_KEYS:
         if parent in tables:
             name, referred = f"{child}.{foreign_key} in {parent}", F.col(foreign_key).isNotNull()
-            found.append(_Check(name, child, referred, _key_text([foreign_key]), (parent, key)))
+            found.append(_Check(name, child, referred, [foreign_key], (parent, key)))
     for table, column, allowed in DOMAINS:
         wrong = ~F.col(column).isin(*allowed)
         name = f"{table}.{column} in domain"
-        found.append(_Check(name, table, wrong, _key_text([column]), is_domain=True))
+        found.append(_Check(name, table, wrong, [column], is_domain=True))
     return [check for check in found if check.table in tables]
 
 
+def _whole(df: DataFrame, columns: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns)
+
+
+def _entry(number: int, key: Sequence[str], by_value: bool, as_parent: bool) -> Column:
+    """A key as two longs: its values, where they are one or two whole numbers, else 128 hash bits."""
+    if by_value:
+        parts = [F.col(k).cast("long") for k in key]
+    else:
+        # Each value with its place, as nulls leave a hash as it was.
+        texts = [F.col(k).cast("string") for k in key]
+        told = [x for i, t in enumerate(texts) for x in (F.when(t.isNotNull(), F.lit(i)), t)]
+        parts = [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
+    second = parts[1] if len(parts) > 1 else F.lit(0).cast("long")
+    return F.struct(
+        F.lit(number).alias("number"),
+        parts[0].alias("a"),
+        second.alias("b"),
+        F.lit(as_parent).alias("as_parent"),
+    )
+
+
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per constraint whose tables are present: violating keys and rows.
 
-    Each table is read once for all its constraints, and once more for the keys that
-    others refer to. Keys are counted before the shuffle and then meet the parents' keys
-    in one join.
+    Each table is read once, for the keys it has and for those that others refer to. Keys
+    of all constraints meet in one aggregate, as two longs whatever they are made of and
+    counted before the shuffle: a key is unique if it was counted once, and referred to
+    rightly if its parent's table gave it too. No keys are joined.
     """
     checks = _checks(tables)
-    counted = parents = None
-    for table in dict.fromkeys(check.table for check in checks):
-        entries = [
-            F.when(c.counts, F.struct(F.lit(i).alias("number"), c.key.alias("key")))
-            for i, c in enumerate(checks)
-            if c.table == table
-        ]
-        listed = F.filter(F.array(*entries), lambda e: e.isNotNull())
-        keys = tables[table].select(F.explode(listed).alias("entry")).select("entry.*")
-        counts = keys.groupBy("number", "key").agg(F.count("*").alias("cnt"))
-        counted = counts if counted is None else counted.unionByName(counts)
-    for parent in dict.fromkeys(c.parent for c in checks if c.parent):
-        numbers = [F.lit(i) for i, c in enumerate(checks) if c.parent == parent]
-        named = tables[parent[0]].where(F.col(parent[1]).isNotNull())
-        keys = named.select(_key_text([parent[1]]).alias("key")).distinct()
-        keys = keys.select(F.explode(F.array(*numbers)).alias("number"), "key")
-        parents = keys if parents is None else parents.unionByName(keys)
     spark = next(iter(tables.values())).sparkSession
-    if parents is None:
-        parents = spark.createDataFrame([], "number int, key string")
-    met = counted.join(parents.withColumn("there", F.lit(True)), ["number", "key"], "left")
+    entries: dict[str, list[Column]] = {}
+    for number, check in enumerate(checks):
+        by_value = len(check.key) < 3 and _whole(tables[check.table], check.key)
+        if check.parent:
+            by_value = by_value and _whole(tables[check.parent[0]], [check.parent[1]])
+            given = _entry(number, [check.parent[1]], by_value, True)
+            named = F.when(F.col(check.parent[1]).isNotNull(), given)
+            entries.setdefault(check.parent[0], []).append(named)
+        own = _entry(number, check.key, by_value, False)
+        entries.setdefault(check.table, []).append(F.when(check.counts, own))
+    rows = None
+    for table, listed in entries.items():
+        present = F.filter(F.array(*listed), lambda e: e.isNotNull())
+        found = tables[table].select(F.inline(present))
+        rows = found if rows is None else rows.unionByName(found)
+    met = rows.groupBy("number", "a", "b").agg(
+        F.count(F.when(~F.col("as_parent"), 1)).alias("cnt"),
+        F.bool_or("as_parent").alias("there"),
+    )
     referring = [i for i, c in enumerate(checks) if c.parent]
     valued = [i for i, c in enumerate(checks) if c.is_domain]
     violated = (
-        F.when(F.col("number").isin(referring), F.col("there").isNull())
+        F.when(F.col("number").isin(referring), ~F.col("there") & (F.col("cnt") > 0))
         .when(F.col("number").isin(valued), True)
         .otherwise(F.col("cnt") > 1)
     )

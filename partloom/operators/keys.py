@@ -30,19 +30,22 @@ def assign_ids(
     rows: DataFrame,
     keys: Sequence[str],
     id_column: str,
-    taken: DataFrame | None = None,
+    taken: DataFrame | int | None = None,
     digits: int = DIGITS,
 ) -> DataFrame:
     """Give rows with distinct natural keys ids above those already taken.
 
     Rows are numbered inside each bucket of the key, and the bucket is the low
     part of the id. So ids are unique, grow with the row count and depend on
-    the data alone: a task that runs again assigns the same ids.
+    the data alone: a task that runs again assigns the same ids. ``taken`` is a frame
+    with the ids taken, or the highest of them.
     """
     within = Window.partitionBy("_bucket").orderBy(*keys)
     step = (F.row_number().over(within).cast("bigint") - 1) * 16**digits
     identifier = step + F.col("_bucket") + 1
-    if taken is not None:
+    if isinstance(taken, int):
+        identifier = identifier + taken
+    elif taken is not None:
         highest = taken.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("highest"))
         identifier = identifier + highest.scalar()
     bucketed = rows.withColumn("_bucket", key_bucket(keys, digits))

@@ -114,8 +114,13 @@ def new_products(
     category: DataFrame,
     manufacturer: DataFrame,
     order: Sequence[str],
+    taken: DataFrame | int | None = None,
 ) -> DataFrame:
-    """Products whose SKU the table lacks; the first row of a SKU wins."""
+    """Products whose SKU the table lacks; the first row of a SKU wins.
+
+    ``current`` must hold the table's rows of the SKUs at hand; new ids lie above those of
+    ``taken``, by default the ids in ``current``.
+    """
     keyed = wide.withColumn("_key", product_key(F.col("cod_sku"), F.col("denumire")))
     columns = ["denumire", "cod_sku", "categorie", "producator", "garantie_luni", "status"]
     needed = dict.fromkeys(["_key", *columns, *order])
@@ -125,7 +130,8 @@ def new_products(
     categories = category.select(F.col("nume").alias("categorie"), "categorie_id")
     makers = manufacturer.select(F.col("nume").alias("producator"), "producator_id")
     resolved = lookup(lookup(absent, categories, ["categorie"]), makers, ["producator"])
-    numbered = assign_ids(resolved, ["_key"], "produs_id", taken=current, digits=LARGE_DIGITS)
+    above = current if taken is None else taken
+    numbered = assign_ids(resolved, ["_key"], "produs_id", taken=above, digits=LARGE_DIGITS)
     return table_rows(
         numbered.withColumn("cod_sku", text.blank_to_null(F.col("cod_sku"))), "product"
     )
@@ -144,13 +150,20 @@ def new_links(
 def stock_rollup(wide: DataFrame) -> DataFrame:
     """Quantity summed and threshold maximal per SKU and warehouse.
 
-    Fractions are summed as they are; only the total is cut to a whole number.
+    Fractions are summed as they are; only the total is cut to a whole number. Sums are
+    decimal, so they have every digit and are the same in whatever order tasks add up:
+    a decimal column keeps its type, texts and doubles are read to twelve places. What
+    is no number, or has more than 26 digits before the point, counts as missing.
     """
     present = wide.na.drop(how="any", subset=["cod_sku", "depozit"])
 
     def exact(column: str) -> Column:
-        whole = isinstance(wide.schema[column].dataType, T.IntegralType)
-        return F.col(column).cast("bigint" if whole else "double")
+        kind = wide.schema[column].dataType
+        if isinstance(kind, T.DecimalType):
+            return F.col(column)
+        if isinstance(kind, T.IntegralType):
+            return F.col(column).cast("decimal(20,0)")
+        return F.col(column).try_cast("decimal(38,12)")
 
     quantity = F.coalesce(F.sum(exact("cantitate")).cast("bigint"), F.lit(0).cast("bigint"))
     threshold = F.max(exact("prag_minim")).cast("bigint")

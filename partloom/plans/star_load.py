@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from partloom.functions.text import is_standard_code, strip
 from partloom.operators import merge
 from partloom.operators.joins import having
-from partloom.operators.reshape import distinct_names, standard_codes, standard_links
+from partloom.operators.reshape import distinct_names, mapped_columns, standard_links
 from partloom.schemas import STANDARDS_MAP
+from partloom.session import stored
 from partloom.sources.csv_files import ORDER_COLUMNS
 from partloom.sources.store import CatalogStore
 
-log = logging.getLogger(__name__)
-
 # Columns of the wide catalogue that make stock.
 STOCK_COLUMNS = {"depozit", "oras_depozit", "tara_depozit", "cantitate", "prag_minim"}
 
@@ -29,6 +29,33 @@ class LoadReport(NamedTuple):
     added: dict[str, int]
 
 
+def dimension_keys(rows: DataFrame, standards_map: Mapping[str, str]) -> DataFrame:
+    """Distinct (kind, a, b, c): makers, categories, sites and standard codes of a wide catalogue.
+
+    All come from one scan: each task reduces the keys of its own rows, and only
+    distinct ones are shuffled.
+    """
+
+    def entry(kind: str, *columns: Column) -> Column:
+        parts = [*columns, *[F.lit(None)] * (3 - len(columns))]
+        named = [part.cast("string").alias(name) for part, name in zip(parts, "abc")]
+        return F.struct(F.lit(kind).alias("kind"), *named)
+
+    columns = mapped_columns(rows, standards_map)
+    codes = [
+        F.when(is_standard_code(code), entry("code", F.lit(group), code))
+        for group, code in ((g, strip(F.col(raw).cast("string"))) for raw, g in columns.items())
+    ]
+    entries = [
+        entry("maker", F.col("producator")),
+        entry("category", F.col("categorie")),
+        entry("site", F.col("depozit"), F.col("oras_depozit"), F.col("tara_depozit")),
+        *codes,
+    ]
+    present = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return rows.select(F.inline(present)).distinct()
+
+
 def load(
     store: CatalogStore,
     wide: DataFrame,
@@ -37,8 +64,8 @@ def load(
 ) -> LoadReport:
     """Add what the store lacks of a wide catalogue.
 
-    Each step reads back what the steps before it wrote, dimensions first, so
-    ids are read and never computed twice; steps that do not need each other
+    The keys of all dimensions are gathered in one scan. Each step reads back what the
+    steps before it wrote, dimensions first, so ids are read and never computed twice; steps that do not need each other
     run at the same time. Loading the same rows again adds nothing.
     """
     rows = merge.clean_wide(wide)
@@ -48,7 +75,6 @@ def load(
     def write(steps: Mapping[str, Callable[[], DataFrame]]) -> None:
         def append(table: str) -> None:
             added[table] = store.append(run, table, steps[table]())
-            log.info("%s: %d new rows", table, added[table])
 
         with ThreadPoolExecutor(len(steps)) as pool:
             list(pool.map(append, steps))
@@ -56,38 +82,55 @@ def load(
     def written(table: str) -> DataFrame:
         return store.read(table, pending=run)
 
+    keys = stored(dimension_keys(rows, standards_map), "dimensions")
+
+    def named(kind: str, *columns: str) -> DataFrame:
+        parts = [F.col(part).alias(name) for part, name in zip("abc", columns)]
+        return keys.where(F.col("kind") == kind).select(*parts)
+
     write(
         {
             "manufacturer": lambda: merge.new_manufacturers(
-                store.read("manufacturer"), distinct_names(rows, "producator")
+                store.read("manufacturer"), distinct_names(named("maker", "nume"), "nume")
             ),
             "category": lambda: merge.new_categories(
-                store.read("category"), distinct_names(rows, "categorie")
+                store.read("category"), distinct_names(named("category", "nume"), "nume")
             ),
             "standard": lambda: merge.new_standards(
-                store.read("standard"), standard_codes(rows, standards_map)
+                store.read("standard"), named("code", "grup", "cod")
             ),
             "warehouse": lambda: merge.new_warehouses(
-                store.read("warehouse"), merge.wide_warehouses(rows)
+                store.read("warehouse"),
+                merge.wide_warehouses(named("site", "depozit", "oras_depozit", "tara_depozit")),
             ),
         }
     )
+    skus = rows.select("cod_sku", "denumire")
     write(
         {
             "product": lambda: merge.new_products(
-                store.read("product"), rows, written("category"), written("manufacturer"), order
+                store.holding("product", skus),
+                rows,
+                written("category"),
+                written("manufacturer"),
+                order,
+                taken=store.highest("product"),
             )
         }
     )
+    product = store.holding("product", skus, pending=run)
+    ids = having(product, rows, ["cod_sku"]).select("produs_id")
     write(
         {
             "product_standard": lambda: merge.new_links(
-                store.read("product_standard"),
+                store.holding("product_standard", ids),
                 standard_links(rows, standards_map),
-                written("product"),
+                product,
                 written("standard"),
             ),
-            "stock": lambda: _new_stock(store, rows, written("product"), written("warehouse")),
+            "stock": lambda: _new_stock(
+                store.holding("stock", ids), rows, product, written("warehouse")
+            ),
         }
     )
     return LoadReport(store.commit(run), added)
@@ -97,30 +140,36 @@ def register(
     store: CatalogStore, product: DataFrame, links: DataFrame, stock: DataFrame
 ) -> LoadReport:
     """Commit products, links and stock given by names, in the form of ``register_product``."""
-    run, tables = store.begin(), store.tables()
+    run = store.begin()
+    named = {t: store.read(t) for t in ("manufacturer", "category", "standard", "warehouse")}
     added: dict[str, int] = {}
 
-    def add(table: str, rows: DataFrame) -> DataFrame:
+    def add(table: str, rows: DataFrame) -> None:
         added[table] = store.append(run, table, rows)
-        return store.read(table, pending=run)
 
     known = merge.new_products(
-        tables["product"], product, tables["category"], tables["manufacturer"], ["denumire"]
+        store.holding("product", product),
+        product,
+        named["category"],
+        named["manufacturer"],
+        ["denumire"],
+        taken=store.highest("product"),
     )
-    registered = having(add("product", known), product, ["cod_sku"])
-    codes = merge.new_links(tables["product_standard"], links, registered, tables["standard"])
-    add("product_standard", codes)
+    add("product", known)
+    registered = having(store.holding("product", product, pending=run), product, ["cod_sku"])
+    held = store.holding("product_standard", registered)
+    add("product_standard", merge.new_links(held, links, registered, named["standard"]))
     rolled = merge.stock_rollup(stock)
-    add("stock", merge.new_stock(tables["stock"], rolled, registered, tables["warehouse"]))
-    for table in ("manufacturer", "category", "standard", "warehouse"):
-        added[table] = store.append(run, table, tables[table].limit(0))
+    held = store.holding("stock", registered)
+    add("stock", merge.new_stock(held, rolled, registered, named["warehouse"]))
+    for table, rows in named.items():
+        added[table] = store.append(run, table, rows.limit(0))
     return LoadReport(store.commit(run), added)
 
 
 def _new_stock(
-    store: CatalogStore, rows: DataFrame, product: DataFrame, warehouse: DataFrame
+    current: DataFrame, rows: DataFrame, product: DataFrame, warehouse: DataFrame
 ) -> DataFrame:
-    current = store.read("stock")
     if not STOCK_COLUMNS <= set(rows.columns):
         return current.limit(0)
     return merge.new_stock(current, merge.stock_rollup(rows), product, warehouse)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +212,44 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert session.scratch_path(spark, "x").startswith(shared.rstrip("/"))
     rows = session.stored(spark.range(3), "three")
     assert rows.count() == 3 and rows.dtypes == [("id", "bigint")]
+
+
+def test_sums_have_every_digit(spark):
+    odd = 9007199254740993
+    ddl = "cod_sku string, depozit string, oras_depozit string, tara_depozit string, "
+    key = ("s", "d", "", "")
+    for kind, value in (("decimal(20,0)", Decimal(odd)), ("string", str(odd)), ("bigint", odd)):
+        frame = spark.createDataFrame([(*key, value, value)] * 10, f"{ddl}cantitate {kind}, prag_minim {kind}")
+        assert [tuple(r)[-2:] for r in merge.stock_rollup(frame).collect()] == [(10 * odd, odd)]
+    texts = [(*key, "1e2", "x"), (*key, "0.1", None), (*key, "", "3.9")]
+    frame = spark.createDataFrame(texts, f"{ddl}cantitate string, prag_minim string")
+    assert [tuple(r)[-2:] for r in merge.stock_rollup(frame).collect()] == [(100, 3)]
+    tenths = spark.createDataFrame([(*key, 0.1, float("nan"))] * 10, f"{ddl}cantitate double, prag_minim double")
+    assert [tuple(r)[-2:] for r in merge.stock_rollup(tenths).collect()] == [(1, None)]
+
+
+def test_text_keys_with_nulls(spark):
+    rows = [(1, "A", None, "RO"), (2, "A", "RO", None), (3, "A", None, "RO"), (4, None, None, None)]
+    rows += [(5, None, None, None)]
+    ddl = "depozit_id long, nume string, oras string, tara string"
+    tables = {"warehouse": spark.createDataFrame(rows, ddl)}
+    found = {r["constraint_name"]: (r["keys"], r["rows"]) for r in checks.constraint_report(tables).collect()}
+    assert found == {"unique warehouse(nume, oras, tara)": (1, 2)}
+
+
+def test_keys_of_unlike_types_meet_by_their_text(spark):
+    tables = {
+        "sales_order": spark.createDataFrame([("1", 9), ("x", 9)], "cv_id string, client_id long"),
+        "order_line": spark.createDataFrame([(1, 1), (2, 1)], "cv_id long, linie_nr int").selectExpr(
+            "*", "CAST(NULL AS long) AS produs_id"
+        ),
+    }
+    found = {r["constraint_name"]: (r["keys"], r["rows"]) for r in checks.constraint_report(tables).collect()}
+    assert found["order_line.cv_id in sales_order"] == (1, 1)
+
+
+def test_constraints_join_no_keys(spark):
+    rows = spark.createDataFrame([(1, 5)], "cv_id long, client_id long")
+    report = checks.constraint_report({"sales_order": rows, "customer": rows.withColumnRenamed("cv_id", "x").withColumn("tip", F.lit("B2B"))})
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the list of constraints and its totals
