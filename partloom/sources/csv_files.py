@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import csv
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.functions import decode, text
 from partloom.operators.columns import resolve_columns
 from partloom.operators.reshape import union_by_name
 from partloom.schemas import RESOLVED_COLUMNS
+from partloom.sources.csv_blocks import ends_inside, read_records
 from partloom.sources.discovery import exists, hidden_files, list_files
 
 # Columns that put rows in input order: source, file, block of the file, row.
@@ -21,11 +25,6 @@ ORDER_COLUMNS = ("source_rank", "source_file", "source_block", "source_row")
 # Delimiters a mapping file may use, by preference.
 MAP_DELIMITERS = (",", ";", "|", "\t")
 
-# A line of whole fields that ends inside a quoted one. An inch mark within an
-# unquoted field opens nothing.
-_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
-_OPEN_AT_END = rf'^(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+{_QUOTED}\z'
-
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 
 
@@ -42,12 +41,11 @@ def profile_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     One streaming pass over the lines, reduced to a row per file.
     """
-    opens = F.col("value").contains('"') & F.col("value").rlike(_OPEN_AT_END)
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
         F.is_valid_utf8("value").alias("utf8"),
-        opens.alias("open_quote"),
+        ends_inside(F.col("value")).alias("open_quote"),
         "value",
     )
     profiled = lines.groupBy("path").agg(
@@ -74,14 +72,18 @@ def header_names(line: str) -> tuple[str, ...]:
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataFrame:
-    """Rows of files of one layout, all text, columns ``c0..cn``, with input order."""
+    """Rows of files of one layout, all text, columns ``c0..cn``, with input order.
+
+    Files are split into blocks, those with values that span lines too.
+    """
+    if layout.multi_line:
+        return read_records(spark, paths, len(layout.header), layout.encoding == LATIN1)
     schema = ", ".join(f"c{i} string" for i in range(len(layout.header)))
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .option("encoding", layout.encoding)
-        .option("multiLine", layout.multi_line)
         .csv(list(paths))
     )
     return rows.select(
@@ -92,30 +94,89 @@ def read_csv(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataF
     )
 
 
+class FileOutcome(NamedTuple):
+    """What became of an input file: ``read``, ``no header`` or ``unreadable``, and why."""
+
+    path: str
+    outcome: str
+    reason: str | None = None
+
+
+OUTCOME_DDL = "path string, outcome string, reason string"
+
+
+def _profiles(
+    spark: SparkSession, paths: Sequence[str], failed: list[FileOutcome]
+) -> Iterator[Row]:
+    """Profiles of the files that can be read whole; the others are added to ``failed``.
+
+    All files are profiled by one job. Only if that fails are they tried in halves, down to
+    the files that fail by themselves: a few jobs for each of those.
+    """
+    try:
+        # One row per file reaches the driver, as many as the file listing holds.
+        yield from profile_csv(spark, paths).collect()
+    except (PySparkException, Py4JJavaError) as error:
+        if len(paths) == 1:
+            reason = str(error).strip().splitlines()
+            failed.append(FileOutcome(paths[0], "unreadable", reason[0][:500] if reason else None))
+            return
+        half = len(paths) // 2
+        yield from _profiles(spark, paths[:half], failed)
+        yield from _profiles(spark, paths[half:], failed)
+
+
+def layouts_of(
+    spark: SparkSession, paths: Sequence[str], outcomes: list[FileOutcome] | None = None
+) -> dict[Layout, list[str]]:
+    """The files of each layout, without those that cannot be read or have no header line.
+
+    Those are warned about; ``outcomes``, where given, gets a line for every file.
+    """
+    layouts: dict[Layout, list[str]] = {}
+    found: list[FileOutcome] = []
+    for profile in _profiles(spark, paths, found):
+        if profile.header is None:
+            continue
+        encoding = UTF8 if profile.utf8 else LATIN1
+        layout = Layout(header_names(profile.header), encoding, profile.multi_line)
+        layouts.setdefault(layout, []).append(profile.path)
+        found.append(FileOutcome(profile.path, "read"))
+    told = {_plain(outcome.path) for outcome in found}
+    found += [FileOutcome(path, "no header") for path in paths if _plain(path) not in told]
+    for kind, text in (("no header", "have no header"), ("unreadable", "cannot be read")):
+        count = sum(outcome.outcome == kind for outcome in found)
+        if count:
+            warnings.warn(f"{count} files {text}", stacklevel=3)
+    if outcomes is not None:
+        outcomes.extend(found)
+    return layouts
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and escapes, as listings and readers spell it differently."""
+    return unquote(urlsplit(path).path) if "://" in path or path.startswith("file:") else path
+
+
+def write_outcomes(spark: SparkSession, outcomes: Sequence[FileOutcome], path: str) -> None:
+    """One row per input file, as Parquet."""
+    rows = spark.createDataFrame(list(outcomes), OUTCOME_DDL)
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def read_products(
     spark: SparkSession,
     paths: Sequence[str],
     source_rank: int = 0,
     category_hint: str | None = None,
+    outcomes: list[FileOutcome] | None = None,
 ) -> DataFrame | None:
     """Catalogue columns of product files of any layout, one scan per layout.
 
-    A file without a header line is skipped with a warning. None when no file
-    is left.
+    A file that cannot be read, or has no header line, is skipped with a warning and told
+    in ``outcomes``. None when no file is left.
     """
-    layouts: dict[Layout, list[str]] = {}
-    # One row per file reaches the driver, as many as the file listing holds.
-    profiles = profile_csv(spark, paths).toLocalIterator()
-    profiled = set()
-    for profile in profiles:
-        if profile.header is None:
-            continue
-        profiled.add(profile.path)
-        encoding = UTF8 if profile.utf8 else LATIN1
-        layout = Layout(header_names(profile.header), encoding, profile.multi_line)
-        layouts.setdefault(layout, []).append(profile.path)
-    if len(profiled) < len(paths):
-        warnings.warn(f"{len(paths) - len(profiled)} files have no header", stacklevel=2)
+    layouts = layouts_of(spark, paths, outcomes)
     frames = []
     for layout, files in layouts.items():
         rows = read_csv(spark, files, layout).withColumn("source_rank", F.lit(source_rank))
@@ -123,7 +184,12 @@ def read_products(
     return union_by_name(frames) if frames else None
 
 
-def read_folder(spark: SparkSession, root: str, source_rank: int = 0) -> DataFrame | None:
+def read_folder(
+    spark: SparkSession,
+    root: str,
+    source_rank: int = 0,
+    outcomes: list[FileOutcome] | None = None,
+) -> DataFrame | None:
     """Catalogue columns of every CSV file below a folder; None when there is none."""
     if not exists(spark, root):
         return None
@@ -133,7 +199,7 @@ def read_folder(spark: SparkSession, root: str, source_rank: int = 0) -> DataFra
     paths = [row.path for row in list_files(spark, root, "*.csv").toLocalIterator()]
     if not paths:
         return None
-    return read_products(spark, paths, source_rank)
+    return read_products(spark, paths, source_rank, outcomes=outcomes)
 
 
 def empty_products(spark: SparkSession) -> DataFrame:

@@ -44,6 +44,20 @@ def hidden_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(found)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder; an error if that is not done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    filesystem = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not filesystem.rename(path(source), path(target)):
+        raise OSError(f"{source} was not moved to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

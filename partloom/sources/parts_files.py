@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partloom.functions import decode
 from partloom.operators.specs import record_kinds
 from partloom.sources.csv_files import write_csv
+from partloom.sources.json_blocks import read_objects
 
 # A file, or the folder that a Spark job wrote, is named after its category;
 # a load that broke off is marked.
@@ -33,13 +34,12 @@ def count_parts(
     file_pattern: str | None = None,
 ) -> DataFrame:
     """Number of records per category and load status over the JSON files of a folder."""
-    names = (
-        spark.read.schema("name string")
-        .option("multiLine", not json_lines)
-        .option("pathGlobFilter", file_pattern or ("*.jsonl" if json_lines else "*.json"))
-        .json(path)
-    )
-    records = names.select("name", *file_columns("_metadata.file_path"))
+    pattern = file_pattern or ("*.jsonl" if json_lines else "*.json")
+    if json_lines:
+        rows = spark.read.schema("name string").option("pathGlobFilter", pattern).json(path)
+        records = rows.select("name", *file_columns("_metadata.file_path"))
+    else:
+        records = read_objects(spark, path, pattern).select("value", *file_columns("file"))
     return records.groupBy("category", "load_status").agg(F.count("*").alias("parts"))
 
 
@@ -95,18 +95,23 @@ def read_parts_json(
 ) -> DataFrame:
     """Typed records of one category from JSON arrays or JSON Lines.
 
-    A file with an array is read by one task; JSON Lines files are split. A
-    field that is a number in one record and a list in another is read as text
+    Files of either form are split into blocks. A field that is a number in one record and a list in another is read as text
     first and is a list in all of them.
     """
     kinds = record_kinds(category)
     fields = [f"`{f}` {'array<string>' if k == 'items' else 'string'}" for f, k in kinds.items()]
-    reader = spark.read.schema(", ".join(["name string", *fields]))
-    if file_pattern:
-        reader = reader.option("pathGlobFilter", file_pattern)
-    rows = reader.option("multiLine", not json_lines).json(path)
+    schema = ", ".join(["name string", *fields])
+    if json_lines:
+        reader = spark.read.schema(schema)
+        if file_pattern:
+            reader = reader.option("pathGlobFilter", file_pattern)
+        rows, file = reader.json(path), "_metadata.file_path"
+    else:
+        objects = read_objects(spark, path, file_pattern)
+        rows = objects.select("file", F.from_json("value", schema).alias("r"))
+        rows, file = rows.select("file", "r.*"), "file"
     typed = _typed(kinds, F.col, _numbers_from_json, lambda v: v)
-    return rows.select("name", *typed, file_columns("_metadata.file_path")[1])
+    return rows.select("name", *typed, file_columns(file)[1])
 
 
 def read_parts_csv(spark: SparkSession, path: str | Sequence[str], category: str) -> DataFrame:
