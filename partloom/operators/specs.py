@@ -98,6 +98,55 @@ def _single(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(value))
 
 
+def gathered(raw: DataFrame) -> DataFrame:
+    """One row per item of any known category: its raw text per field, its first unknown label.
+
+    Of a label given twice the later value stays. Values are reduced per field before
+    an item's are put together, so an item holds one text per field of its layout however
+    many rows name it.
+    """
+    rows = _mapped(raw.where(F.col("category").isin(*SPEC_CATEGORIES)), "left")
+    spoken = F.col("label").isNotNull() | F.col("value").isNotNull()
+    unknown = F.when(spoken & F.col("field").isNull(), F.coalesce("label", F.lit("null")))
+    by_field = rows.groupBy("category", "item_id", "field").agg(
+        F.max("name").alias("_name"),
+        F.max("price_text").alias("_price"),
+        F.min(unknown).alias("_unknown"),
+        F.max_by("value", "position").alias("value"),
+    )
+    text_of = F.when(F.col("field").isNotNull(), F.struct("field", "value"))
+    return by_field.groupBy("category", "item_id").agg(
+        F.max("_name").alias("_name"),
+        F.max("_price").alias("_price"),
+        F.min("_unknown").alias("_unknown"),
+        F.map_from_entries(F.collect_list(text_of)).alias("_texts"),
+    )
+
+
+def category_status(items: DataFrame) -> DataFrame:
+    """Rows (category, load_status, items): what stays of each category of gathered items.
+
+    An item with an unknown label is left out and breaks off its category.
+    """
+    broken = F.count("_unknown")
+    return items.groupBy("category").agg(
+        F.when(broken > 0, "incomplete").otherwise("complete").alias("load_status"),
+        (F.count("*") - broken).alias("items"),
+    )
+
+
+def records_of(
+    items: DataFrame, category: str, drop_thousands_commas: bool = False
+) -> DataFrame:
+    """Typed records of one category of gathered items, without those with an unknown label."""
+    texts = [
+        F.col("_texts")[f.field].alias(f"_{f.field}") for f in spec_layout(category)
+    ]
+    own = items.where(F.col("category") == category)
+    flat = own.select("item_id", "_name", "_price", "_unknown", *texts)
+    return _records(flat, category, drop_thousands_commas, False)
+
+
 def _typed(field: SpecField) -> list[Column]:
     """Typed columns of a field, from its raw text column of the same name."""
     value = F.col(f"_{field.field}")
@@ -141,13 +190,14 @@ def decode_wide(
     raw: DataFrame,
     category: str,
     drop_thousands_commas: bool = False,
-    fail_on_unknown: bool = False,
+    fail_on_unknown: bool = True,
 ) -> DataFrame:
     """One typed record per item of a category.
 
     Texts are gathered per item first and decoded after, each column by its own
     rule; of a label given twice the later value stays. An item with an unknown label
-    stops the job, or is left out.
+    stops the job, unless it is asked to be left out; :func:`records_with_status` and
+    :func:`category_status` leave it out and say so.
     """
     return _records(_gathered(raw, category), category, drop_thousands_commas, fail_on_unknown)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions import decode
 from partloom.operators import specs
+from partloom.plans import spec_dataset
 from partloom.schemas import RAW_SPEC_DDL, SPEC_CATEGORIES
 from tests.test_text import apply
 
@@ -157,3 +158,67 @@ def test_long_and_wide_agree(spark):
     wide = specs.decode_wide(raw, "memory").where("item_id = 1").first()
     assert long[1, "speed"]["numbers"] == wide["speed"]
     assert long[1, "color"]["text"] == wide["color"]
+
+
+ODD_RAW = [
+    *RAW,
+    ("memory", 4, "m", "$1", 0, "Weight", "1 g"),
+    ("os", 5, "o", "$1", 0, "Mode", "32-bit"),
+    ("os", 5, "o", "$1", 1, "Mode", "64-bit"),
+    ("ups", 6, "u", "$1", 0, None, "1 g"),
+    ("toaster", 7, "t", "$1", 0, "Slots", "2"),
+]
+
+
+def test_all_categories_from_one_pass(spark, tmp_path):
+    spark.createDataFrame(ODD_RAW, RAW_SPEC_DDL).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    items = specs.gathered(raw)
+    status = specs.category_status(items)
+    assert status._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {tuple(r) for r in status.collect()} == {
+        ("memory", "incomplete", 2),
+        ("headphones", "complete", 1),
+        ("os", "complete", 1),
+        ("ups", "incomplete", 0),
+    }
+    for category in ("memory", "headphones", "os"):
+        kept = raw.where("coalesce(label, '') <> 'Weight'")
+        wanted = specs.decode_wide(kept, category)
+        found = specs.records_of(items, category)
+        assert found.columns == wanted.columns
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_categories_are_written_by_one_job_and_moved(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame(ODD_RAW, RAW_SPEC_DDL)
+    passes = []
+    once = spec_dataset.gathered
+    monkeypatch.setattr(spec_dataset, "gathered", lambda rows: passes.append(1) or once(rows))
+    root = str(tmp_path / "out")
+    status = spec_dataset.write_categories(raw, root)
+    assert status == {"memory": "incomplete", "headphones": "complete", "os": "complete"}
+    assert len(passes) == 1
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["headphones.jsonl", "memory.incomplete.jsonl", "os.jsonl"]
+    lines = [r.value for r in spark.read.text(f"{root}/os.jsonl").collect()]
+    assert lines == ['{"name":"o","price":1,"mode":64,"max_memory":null}']
+    # A later whole load takes the place of the broken one.
+    whole = raw.where("coalesce(label, '') <> 'Weight' AND category = 'memory'")
+    assert spec_dataset.write_categories(whole, root) == {"memory": "complete"}
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["headphones.jsonl", "memory.jsonl", "os.jsonl"]
+    assert spec_dataset.write_categories(raw.limit(0), root) == {}
+
+
+def test_unknown_labels_stop_records_by_default(spark):
+    raw = spark.createDataFrame(ODD_RAW, RAW_SPEC_DDL)
+    with pytest.raises(PySparkException, match="no mapping for label Weight"):
+        specs.decode_wide(raw, "memory").collect()
+    assert specs.decode_wide(raw, "memory", fail_on_unknown=False).count() == 2
+
+
+def test_a_label_named_very_often_is_one_text(spark):
+    rows = [("os", 1, "n", "$1", i, "Mode", f"{i}") for i in range(500)]
+    items = specs.gathered(spark.createDataFrame(rows, RAW_SPEC_DDL)).collect()
+    assert [r["_texts"] for r in items] == [{"mode": "499"}]
