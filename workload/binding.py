@@ -206,16 +206,26 @@ CATALOG = (
     "stock",
 )
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the driver's tables: other files are other tables."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(
+        sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed)
+    )
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A catalogue table as users have it: stored.
 
     The first use in a session derives it from the driver's tables and writes
-    it to the shared folder; the queries then read the written table.
+    it to the shared folder; the queries then read the written table, until the driver's
+    files change.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key not in _stored:
         rows = DERIVED[name](spark, sf_dir)
         _stored[key] = stored(rows.sortWithinPartitions(rows.columns[0]), name)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from partloom.functions import text
 from partloom.plans import catalog_queries as q
+from partloom.plans import code_index
+from partloom.session import scratch_path
 
 from workload import binding as b
 from workload import sql
@@ -68,6 +70,43 @@ def compatible_by_form_factor(spark, sf_dir):
     return _compatible(spark, sf_dir, q.BOARD_FORM_GROUP, ("ECONOMY",))
 
 
+# Boards by the names that the sorted query looks for.
+BOARD_NAMES = {"LARGE": "Motherboard", "PROMO": "mobo", "SMALL": "Mainboard"}
+
+
+@query("compatible_boards", _compatible_sql("SOCKET_CPU", "'LARGE', 'PROMO', 'SMALL'"))
+def compatible_boards(spark, sf_dir):
+    """The query for boards itself, sorted by name, over categories that are named as boards."""
+    tables = b.tables(spark, sf_dir)
+    name = F.col("nume")
+    for plain, board in BOARD_NAMES.items():
+        name = F.when(F.col("nume") == plain, board).otherwise(name)
+    tables["category"] = tables["category"].withColumn("nume", name)
+    return q.compatible_boards(tables, SOURCE_SKU)
+
+
+def _code_index(spark, sf_dir):
+    return code_index.write_code_index(b.tables(spark, sf_dir), scratch_path(spark, "codes"))
+
+
+@query("compatible_by_index", _compatible_sql("SOCKET_CPU", "'LARGE', 'PROMO', 'SMALL'"))
+def compatible_by_index(spark, sf_dir):
+    """Products that share a socket, from the stored index of codes."""
+    index, tables = _code_index(spark, sf_dir), b.tables(spark, sf_dir)
+    return code_index.compatible(
+        index, tables, SOURCE_SKU, q.SOCKET_GROUP, ("LARGE", "PROMO", "SMALL")
+    )
+
+
+@query(
+    "codes_per_category_by_index",
+    f"{LINKS} SELECT p_type AS categorie, cod AS socket, count(*) AS nr FROM links "
+    "JOIN part ON produs_id = p_partkey WHERE grup = 'SOCKET_CPU' GROUP BY 1, 2",
+)
+def codes_per_category_by_index(spark, sf_dir):
+    return code_index.codes_per_category(_code_index(spark, sf_dir), q.SOCKET_GROUP)
+
+
 @query(
     "stock_by_category",
     "SELECT p_type AS categorie, CAST(sum(l_quantity) AS BIGINT) AS total_cantitate "

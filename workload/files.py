@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from partloom.operators import specs
 from partloom.operators.reshape import union_by_name
 from partloom.plans import spec_dataset
-from partloom.plans.wide_catalog import export_wide_csv, write_wide
+from partloom.plans.wide_catalog import export_wide_csv, read_wide_csv, write_wide
 from partloom.schemas import WIDE_DDL
 from partloom.session import scratch_path
 from partloom.sources import csv_files, discovery, parts_files
@@ -15,7 +15,7 @@ from partloom.sources import csv_files, discovery, parts_files
 from workload import binding as b
 from workload import cleaning, sql
 from workload.registry import query
-from workload.specs import flat_record, wide_sql, with_unknown_labels
+from workload.specs import STATUS_SQL, flat_record, odd_layout_specs, wide_sql
 
 
 def _records(spark, sf_dir, category):
@@ -105,11 +105,26 @@ def wide_parquet_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).drop(*cleaning.ORDER)
 
 
-@query("wide_csv_roundtrip", cleaning.WIDE_SQL)
+# Names with a line break, a quote and a comma, which a CSV value may hold.
+LONG_NAME = "denumire || chr(10) || '\"' || producator || '\", x'"
+BROKEN_WIDE_SQL = (
+    f"SELECT * REPLACE (coalesce({LONG_NAME}, denumire) AS denumire) FROM ({cleaning.WIDE_SQL})"
+)
+
+
+def broken_wide(spark, sf_dir):
+    """The wide catalogue with names that span lines."""
+    name = F.expr(f"coalesce({LONG_NAME}, denumire)")
+    return cleaning.wide_catalog(spark, sf_dir).withColumn("denumire", name)
+
+
+@query("wide_csv_roundtrip", BROKEN_WIDE_SQL)
 def wide_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "wide-csv")
-    export_wide_csv(cleaning.wide_catalog(spark, sf_dir), path)
-    return spark.read.schema(WIDE_DDL).option("header", True).option("escape", '"').csv(path)
+    export_wide_csv(broken_wide(spark, sf_dir), path)
+    rows = read_wide_csv(spark, path)
+    columns = [c.split(" ") for c in WIDE_DDL.split(", ")]
+    return rows.select(*[F.col(name).cast(kind) for name, kind in columns])
 
 
 # Text that is hard on a CSV reader: accents, quotes, commas, and line breaks.
@@ -183,16 +198,13 @@ def missing_sources(spark, sf_dir):
 
 @query(
     "export_parts_folder",
-    "SELECT category, load_status, parts, parts AS json_rows, parts AS csv_rows FROM "
-    "(SELECT category, CASE WHEN category = 'webcam' THEN 'incomplete' ELSE 'complete' END "
-    f"AS load_status, count(DISTINCT item_id) AS parts FROM ({b.raw_specs_sql()}) "
-    "JOIN part ON item_id = p_partkey WHERE category <> 'webcam' OR p_size <= 25 GROUP BY 1, 2)",
+    f"SELECT category, load_status, items AS parts, items AS json_rows, items AS csv_rows "
+    f"FROM ({STATUS_SQL}) WHERE items > 0",
 )
 def export_parts_folder(spark, sf_dir):
-    """Listing texts to category files, and those to JSON Lines, CSV and counts."""
+    """Listing texts of all layouts to category files, and those to JSON Lines, CSV and counts."""
     root = scratch_path(spark, "dataset")
-    categories = dict.fromkeys(c for _, c, _, _ in b.SPEC_TEXTS)
-    spec_dataset.write_categories(with_unknown_labels(spark, sf_dir), f"{root}/in", categories)
+    spec_dataset.write_categories(odd_layout_specs(spark, sf_dir), f"{root}/in")
     counts = spec_dataset.export_parts_folder(spark, f"{root}/in", f"{root}/out")
     found = counts
     for suffix, name in (("jsonl", "json_rows"), ("csv", "csv_rows")):

@@ -242,6 +242,27 @@ def stock_rollup_fractions(spark, sf_dir):
     return merge.stock_rollup(lines).select("cod_sku", "cantitate", "prag_minim")
 
 
+LARGE = "CAST(9007199254740993 AS DECIMAL(20,0)) + l_linenumber"
+
+
+@query(
+    "stock_rollup_large",
+    f"SELECT 'P-' || CAST(l_partkey AS STRING) AS cod_sku, CAST(sum({LARGE}) AS BIGINT) AS cantitate, "
+    f"CAST(max({LARGE}) AS BIGINT) AS prag_minim FROM lineitem GROUP BY 1",
+)
+def stock_rollup_large(spark, sf_dir):
+    """Amounts of more digits than a double has."""
+    lines = b.read(spark, sf_dir, "lineitem").selectExpr(
+        "'P-' || CAST(l_partkey AS STRING) AS cod_sku",
+        "'D' AS depozit",
+        "'' AS oras_depozit",
+        "'' AS tara_depozit",
+        f"CAST({LARGE} AS DECIMAL(20,0)) AS cantitate",
+        f"CAST({LARGE} AS STRING) AS prag_minim",
+    )
+    return merge.stock_rollup(lines).select("cod_sku", "cantitate", "prag_minim")
+
+
 RETURNED = "l_returnflag = 'R'"
 OLD_STOCK = sql.STOCK.format(where=f"WHERE {RETURNED}")
 SUPPLIED = (
@@ -379,9 +400,11 @@ def load_catalog(spark, sf_dir):
 
 @query("load_catalog_from_csv", SQL["load_catalog"])
 def load_catalog_from_csv(spark, sf_dir):
-    """The wide catalogue written as CSV, read back and loaded."""
+    """The wide catalogue, with names that span lines, written as CSV, read back and loaded."""
     root = scratch_path(spark, "from-csv")
-    export_wide_csv(wide_catalog(spark, sf_dir), f"{root}/products")
+    name = F.expr("denumire || chr(10) || '\"' || cod_sku")
+    wide = wide_catalog(spark, sf_dir).withColumn("denumire", name)
+    export_wide_csv(wide, f"{root}/products")
     store = CatalogStore(spark, f"{root}/store")
     star_load.load(store, read_wide_csv(spark, f"{root}/products"))
     return q.table_counts(store.tables())

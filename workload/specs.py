@@ -216,20 +216,26 @@ MAP_SQL = "VALUES " + ", ".join(
     f"('{c}', '{label}', '{FIELDS[c, label][0]}', '{FIELDS[c, label][1]}')"
     for _, c, label, _ in b.SPEC_TEXTS
 )
-DECODED_SQL = (
-    "SELECT category, item_id, name, price_text, position, field, rule, "
-    f"CASE WHEN rule = 'number' THEN {numbers_sql('v')} "
-    f"WHEN rule = 'capacity' AND {capacity_sql('v')} IS NOT NULL THEN [{capacity_sql('v')}] "
-    f"WHEN rule = 'drive_type' AND v <> 'SSD' THEN {numbers_sql('v')} "
-    f"WHEN rule = 'drive_form' AND contains(v, '\"') THEN {numbers_sql('v')} END AS numbers, "
-    f"CASE WHEN rule IN ('token', 'flag') THEN {token_sql('v')} "
-    "WHEN rule = 'efficiency' THEN CASE WHEN contains(v, ' ') THEN lower(split_part(v, ' ', 2)) "
-    "ELSE 'plus' END WHEN rule = 'drive_type' AND v = 'SSD' THEN v "
-    "WHEN rule = 'drive_form' AND NOT contains(v, '\"') THEN v END AS text, "
-    "CASE WHEN rule = 'list' THEN string_split(v, ', ') END AS items "
-    "FROM (SELECT *, CASE WHEN trim(value) <> '' THEN value END AS v FROM raw "
-    f"JOIN ({MAP_SQL}) m(category, label, field, rule) USING (category, label))"
-)
+
+
+def decoded_sql(map_sql: str) -> str:
+    return (
+        "SELECT category, item_id, name, price_text, position, field, rule, "
+        f"CASE WHEN rule = 'number' THEN {numbers_sql('v')} "
+        f"WHEN rule = 'capacity' AND {capacity_sql('v')} IS NOT NULL THEN [{capacity_sql('v')}] "
+        f"WHEN rule = 'drive_type' AND v <> 'SSD' THEN {numbers_sql('v')} "
+        f"WHEN rule = 'drive_form' AND contains(v, '\"') THEN {numbers_sql('v')} END AS numbers, "
+        f"CASE WHEN rule IN ('token', 'flag') THEN {token_sql('v')} "
+        "WHEN rule = 'efficiency' THEN CASE WHEN contains(v, ' ') THEN lower(split_part(v, ' ', 2)) "
+        "ELSE 'plus' END WHEN rule = 'drive_type' AND v = 'SSD' THEN v "
+        "WHEN rule = 'drive_form' AND NOT contains(v, '\"') THEN v END AS text, "
+        "CASE WHEN rule = 'list' THEN string_split(v, ', ') END AS items "
+        "FROM (SELECT *, CASE WHEN trim(value) <> '' THEN value END AS v FROM raw "
+        f"JOIN ({map_sql}) m(category, label, field, rule) USING (category, label))"
+    )
+
+
+DECODED_SQL = decoded_sql(MAP_SQL)
 
 
 def long_sql(texts) -> str:
@@ -300,35 +306,96 @@ def spec_load_status(spark, sf_dir):
     return kept.groupBy("category", "load_status").agg(F.count("*").alias("cnt"))
 
 
-@query(
-    "spec_records_status",
-    "SELECT category, CASE WHEN category IN ('webcam', 'memory') THEN 'incomplete' ELSE 'complete' "
-    f"END AS load_status, count(DISTINCT item_id) AS items FROM ({b.raw_specs_sql()}) JOIN part ON item_id = p_partkey "
-    "WHERE category IN ('webcam', 'memory', 'case-fan') AND (category = 'case-fan' OR "
-    "category = 'webcam' AND p_size > 25 OR category = 'memory' AND p_size > 5) GROUP BY 1, 2",
+# Every layout: the parts in turn are of each category, with a text for each of its labels.
+RULE_TEXTS = {
+    "number": f"{b.SIZE} || ' x ' || {b.SIZE} || '.5 W'",
+    "capacity": f"{b.SIZE} || CASE WHEN p_size > 25 THEN ' GB' ELSE ' TB' END",
+    "token": b.FIRST_WORD,
+    "flag": "CASE WHEN p_size > 25 THEN 'Yes' ELSE 'no' END",
+    "efficiency": f"'80+ ' || upper({b.SECOND_WORD})",
+    "list": "p_name || ', ' || p_brand",
+    "drive_type": f"CASE WHEN p_size > 25 THEN 'SSD' ELSE {b.SIZE} || '00 RPM' END",
+    "drive_form": f"CASE WHEN p_size > 25 THEN 'M.2' ELSE {b.SIZE} || '.5\"' END",
+}
+CATEGORY_OF = {c: i for i, c in enumerate(specs.SPEC_CATEGORIES)}
+LAYOUT_ROWS = [
+    (CATEGORY_OF[f.category], i, f.category, f.label, f.field, f.rule)
+    for i, f in enumerate(specs.SPEC_MAP)
+]
+LAYOUT_MAP = "VALUES " + ", ".join(str(row[2:]) for row in LAYOUT_ROWS)
+RULE_CASE = " ".join(f"WHEN '{rule}' THEN {text}" for rule, text in RULE_TEXTS.items())
+LAYOUTS_SQL = (
+    "SELECT category, p_partkey AS item_id, p_name AS name, "
+    f"{b.PRICE} AS price_text, CAST(position AS INTEGER) AS position, label, "
+    f"CASE rule {RULE_CASE} END AS value FROM part JOIN (VALUES "
+    + ", ".join(str(row) for row in LAYOUT_ROWS)
+    + f") m(number, position, category, label, field, rule) ON p_partkey % {len(CATEGORY_OF)} = number"
 )
-def spec_records_status(spark, sf_dir):
-    """Records per category where items of two categories have labels that none knows."""
-    raw = b.raw_specs(spark, sf_dir)
-    size = b.read(spark, sf_dir, "part").selectExpr("p_partkey AS item_id", "p_size")
-    odd = raw.join(size, "item_id").where(
-        "category = 'webcam' AND p_size <= 25 OR category = 'memory' AND p_size <= 5"
+
+
+def layout_specs(spark, sf_dir):
+    """Labelled texts of all layouts."""
+    fields = "number int, position int, category string, label string, field string, rule string"
+    layouts = F.broadcast(spark.createDataFrame(LAYOUT_ROWS, fields))
+    parts = b.read(spark, sf_dir, "part").withColumn(
+        "number", F.expr(f"CAST(p_partkey % {len(CATEGORY_OF)} AS INT)")
+    )
+    return parts.join(layouts, "number").selectExpr(
+        "category",
+        "p_partkey AS item_id",
+        "p_name AS name",
+        f"{b.PRICE} AS price_text",
+        "position",
+        "label",
+        f"CASE rule {RULE_CASE} END AS value",
     )
-    # A label of its own, and a value without any label.
-    label = F.when(F.col("category") == "webcam", "Shipping Weight")
-    odd = odd.select(
-        "category", "item_id", "name", "price_text", F.lit(99).alias("position"),
-        label.alias("label"), F.lit("1 kg").alias("value"),
+
+
+@query(
+    "spec_decode_layouts",
+    f"WITH raw AS ({LAYOUTS_SQL}), d AS ({decoded_sql(LAYOUT_MAP)}) SELECT category, item_id, "
+    f"name, position, field, rule, text, {_summary('numbers', 'numbers')}, "
+    "array_to_string(items, '|') AS items FROM d",
+)
+def spec_decode_layouts(spark, sf_dir):
+    """Typed values of every label of all layouts."""
+    return flat_long(specs.decode_long(layout_specs(spark, sf_dir)))
+
+
+# Items with a label that none knows, in every third category, and some without a label.
+ODD = f"p_partkey % {len(CATEGORY_OF)} % 3 = 0 AND p_size <= 25"
+STATUS_SQL = (
+    "SELECT category, CASE WHEN number % 3 = 0 AND broken > 0 THEN 'incomplete' ELSE 'complete' END "
+    "AS load_status, items - broken AS items FROM (SELECT category, number, "
+    f"count(*) AS items, count(*) FILTER ({ODD}) AS broken FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, '{c}')" for c, i in CATEGORY_OF.items())
+    + f") m(number, category) ON p_partkey % {len(CATEGORY_OF)} = number GROUP BY 1, 2)"
+)
+
+
+def odd_layout_specs(spark, sf_dir):
+    """All layouts, where items of every third have a label of their own or none."""
+    raw = layout_specs(spark, sf_dir)
+    numbers = spark.createDataFrame([*CATEGORY_OF.items()], "category string, number int")
+    parts = b.read(spark, sf_dir, "part").where(ODD)
+    odd = parts.join(
+        F.broadcast(numbers), F.expr(f"p_partkey % {len(CATEGORY_OF)} = number")
+    ).selectExpr(
+        "category",
+        "p_partkey AS item_id",
+        "p_name AS name",
+        f"{b.PRICE} AS price_text",
+        "999 AS position",
+        "CASE WHEN p_size > 5 THEN 'Shipping Weight' END AS label",
+        "'1 kg' AS value",
     )
-    rows = raw.unionByName(odd)
-    found = None
-    for category in ("webcam", "memory", "case-fan"):
-        records = specs.records_with_status(rows, category)
-        counted = records.groupBy(F.lit(category).alias("category"), "load_status").agg(
-            F.count("*").alias("items")
-        )
-        found = counted if found is None else found.unionByName(counted)
-    return found
+    return raw.unionByName(odd)
+
+
+@query("spec_records_status", STATUS_SQL)
+def spec_records_status(spark, sf_dir):
+    """Records per category, all layouts in one pass, where some items have unknown labels."""
+    return specs.category_status(specs.gathered(odd_layout_specs(spark, sf_dir)))
 
 
 # Flat columns of a record per kind, in Spark and in the check SQL.
