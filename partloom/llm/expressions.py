@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,3 +48,15 @@ def window_hashes(hashes: Column, width: int) -> Column:
         hashes = neighbours(hashes, step, lambda a, b: F.xxhash64(a, b))
         step *= 2
     return hashes
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for added columns: the given ones, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

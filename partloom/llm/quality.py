@@ -13,13 +13,14 @@ to the power of the number of rules, whatever the size of the table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.expressions import bind, neighbours, window_hashes, words
+from partloom.llm.expressions import bind, neighbours, unused, window_hashes, words
+from partloom.llm.storage import written
 
 REPEAT_WINDOW = 8
 ROUNDS = 40
@@ -63,41 +64,42 @@ def _repeated_words(hashes: Column) -> Column:
     )
 
 
-def _count(test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter("_words", test)).cast("long")
-
-
 def measures(documents: DataFrame) -> DataFrame:
     """The columns of ``documents`` and a struct ``m`` of counts over each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))
-    lower = F.transform(F.col("_words"), lambda w: F.lower(w))
+    of_words, of_lines, of_hashes = unused(documents.columns, "_words", "_lines", "_hashes")
+    lower = F.transform(F.col(of_words), lambda w: F.lower(w))
+
+    def count(test: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter(of_words, test)).cast("long")
+
     known = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
     return (
-        documents.withColumn("_words", words(F.col("text")))
-        .withColumn("_lines", lines)
-        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        documents.withColumn(of_words, words(F.col("text")))
+        .withColumn(of_lines, lines)
+        .withColumn(of_hashes, F.transform(of_words, lambda w: F.xxhash64(w)))
         .withColumn(
             "m",
             F.struct(
-                F.size("_words").cast("long").alias("n_words"),
-                F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+                F.size(of_words).cast("long").alias("n_words"),
+                F.length(F.array_join(of_words, "")).cast("long").alias("word_chars"),
                 F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-                (F.size("_lines") - F.size(F.array_distinct("_lines")))
+                (F.size(of_lines) - F.size(F.array_distinct(of_lines)))
                 .cast("long")
                 .alias("n_dup_lines"),
-                _repeated_words(F.col("_hashes")).cast("long").alias("n_repeat_words"),
-                F.size("_lines").cast("long").alias("n_lines"),
-                F.size(F.array_distinct("_hashes")).cast("long").alias("n_distinct"),
+                _repeated_words(F.col(of_hashes)).cast("long").alias("n_repeat_words"),
+                F.size(of_lines).cast("long").alias("n_lines"),
+                F.size(F.array_distinct(of_hashes)).cast("long").alias("n_distinct"),
                 F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
                 F.regexp_count(text, F.lit(r"!")).cast("long").alias("n_bangs"),
                 F.size(F.array_intersect(known, lower)).cast("long").alias("n_function"),
-                _count(lambda w: w.rlike(r"[#*$%&|<>]")).alias("n_marked"),
-                _count(lambda w: ~w.rlike(r"\p{L}")).alias("n_letterless"),
-                _count(lambda w: F.right(w, F.lit(1)).isin(".", "?", "!")).alias("n_ends"),
+                count(lambda w: w.rlike(r"[#*$%&|<>]")).alias("n_marked"),
+                count(lambda w: ~w.rlike(r"\p{L}")).alias("n_letterless"),
+                count(lambda w: F.right(w, F.lit(1)).isin(".", "?", "!")).alias("n_ends"),
             ),
         )
-        .drop("_words", "_lines", "_hashes")
+        .drop(of_words, of_lines, of_hashes)
     )
 
 
@@ -234,8 +236,14 @@ def estimate(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = RO
     ).first()["model"]
 
 
-def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of ``documents``, the measures ``m``, base_failed, posterior, kept.
+def judged(
+    documents: DataFrame, rules: tuple[Rule, ...] = RULES, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``documents``, by default all, the measures ``m``, base_failed,
+    posterior, kept.
+
+    Texts are measured once: what is kept, the measures and the votes are written, and both
+    the estimate and the verdicts start from there.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows.
     posterior: probability, to six places, that the document is good. kept: not
@@ -244,7 +252,9 @@ def judged(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns m, votes, base_failed, posterior and kept replace columns of these names.
     """
     taken = ("m", "votes", "base_failed", "posterior", "kept")
-    voted = votes(measures(documents.drop(*taken)), rules)
+    names = [c for c in (documents.columns if keep is None else keep) if c not in taken]
+    measured = votes(measures(documents.drop(*taken)), rules)
+    voted = written(measured.select(*names, "m", "votes"), "votes")
     model = estimate(voted, rules)
     fitted = F.struct(
         F.lit(model["bias"]).alias("bias"),

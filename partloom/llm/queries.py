@@ -53,7 +53,7 @@ def vocabulary() -> str:
 
 @query("op1_quality_rules", sql.quality_sql())
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(read(spark, sf_dir, "documents"))
+    judged = quality.judged(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[
