@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm.expressions import bind, neighbours
+from partloom.llm.expressions import bind, neighbours, unused
 
 LEAST = 0.8
 
@@ -138,10 +138,12 @@ TEMPLATES = (
 
 # A word of the normalised text: letters, digits, and single dots or hyphens inside.
 NORMAL_WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+# The same words; no part gives back what it matched, so long runs do not nest.
+_WORD = r"[\p{L}\p{N}]++(?:[.\-][\p{L}\p{N}]++)*+"
 
 
 def normal_words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(NORMAL_WORD), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -227,16 +229,17 @@ def license_matches(
         return F.filter(each, lambda m: F.coalesce(F.size(m), F.lit(0)) > 0)
 
     names = [c for c in documents.columns if c not in taken]
+    of_lines, of_blocks = unused(names, "_lines", "_blocks")
     marked = documents.select(
         *names,
-        found(lines).alias("_lines"),
-        F.flatten(found(F.array_distinct(F.concat(blocks, whole)))).alias("_blocks"),
+        found(lines).alias(of_lines),
+        F.flatten(found(F.array_distinct(F.concat(blocks, whole)))).alias(of_blocks),
     )
-    every = F.concat(F.flatten("_lines"), F.col("_blocks"))
+    every = F.concat(F.flatten(of_lines), F.col(of_blocks))
     best = F.array_max(
         F.transform(every, lambda m: F.struct(m["score"].alias("s"), (-m["number"]).alias("n"), m["name"].alias("name")))
     )
-    per_line = F.transform("_lines", lambda m: F.size(F.array_distinct(F.transform(m, lambda x: x["name"]))))
+    per_line = F.transform(of_lines, lambda m: F.size(F.array_distinct(F.transform(m, lambda x: x["name"]))))
     return marked.select(
         *names,
         F.array_sort(F.array_distinct(F.transform(every, lambda m: m["name"]))).alias("licenses"),
