@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.expressions import bind
+from partloom.llm.expressions import bind, unused
 from partloom.llm.storage import written
 
 # Given names by gender and script, and family names by script (fixed values).
@@ -64,7 +64,8 @@ KINDS = (
     Kind(
         "email",
         r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@"
-        r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+        # A domain has at most 63 characters between its dots; twelve parts bound the depth.
+        r"[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,10}\.[A-Za-z]{2,63}",
     ),
     Kind(
         "secret",
@@ -368,15 +369,16 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
     spoken = mentions.join(mapping, ["kind", "normal"]).withColumn(
         "said", _formatted(F.col("kind"), F.col("value"), F.col("surrogate"))
     )
+    hashed, owner, of, heard, kinds = unused(names, "_hash", "_id", "_of", "_said", "_kinds")
     gathered = spoken.groupBy(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")
+        F.col("doc_id").alias(owner), F.col("text_hash").alias(of)
     ).agg(
-        F.array_sort(F.collect_set(F.struct("pos", "said"))).alias("_said"),
-        F.array_sort(F.collect_set("kind")).alias("_kinds"),
+        F.array_sort(F.collect_set(F.struct("pos", "said"))).alias(heard),
+        F.array_sort(F.collect_set("kind")).alias(kinds),
     )
-    marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
+    marked = documents.select(*names, F.xxhash64("text").alias(hashed))
     gaps = F.split("text", ENTITY, -1)
-    said = F.transform(F.col("_said"), lambda s: s["said"])
+    said = F.transform(F.col(heard), lambda s: s["said"])
     text = F.array_join(
         F.flatten(
             F.zip_with(gaps, said, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))
@@ -384,9 +386,9 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
         "",
     )
     joined = marked.join(
-        gathered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left"
+        gathered, F.col("doc_id").eqNullSafe(F.col(owner)) & (F.col(hashed) == F.col(of)), "left"
     )
-    found = F.col("_said").isNotNull()
+    found = F.col(heard).isNotNull()
     columns = {c: F.col(c) for c in names}
     columns["text"] = F.when(found, text).otherwise(F.col("text"))
     if "n_chars" in columns:
@@ -395,6 +397,6 @@ def replaced(documents: DataFrame, key: str) -> DataFrame:
     no_kinds = F.array().cast("array<string>")
     return joined.select(
         *[column.alias(c) for c, column in columns.items()],
-        F.when(found, F.size("_said")).otherwise(0).cast("long").alias("n_entities"),
-        F.coalesce("_kinds", no_kinds).alias("entity_kinds"),
+        F.when(found, F.size(heard)).otherwise(0).cast("long").alias("n_entities"),
+        F.coalesce(kinds, no_kinds).alias("entity_kinds"),
     )
