@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.expressions import bind, neighbours, words
+from partloom.llm.expressions import bind, neighbours, unused, words
 from partloom.llm.storage import written
 
 WINDOW = 2
@@ -138,19 +138,20 @@ def without_repeated_runs(
     doc_id with other texts are ordered by a hash of the text; null ids come first.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    marked = documents.select(*names, F.xxhash64("text").alias("_hash"))
+    hashed, owner, of, removed, left = unused(names, "_hash", "_id", "_gone", "_removed", "_text")
+    marked = documents.select(*names, F.xxhash64("text").alias(hashed))
     gone = repeated_lines(documents, width, long_line).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone"), F.col("removed").alias("_removed")
+        F.col("doc_id").alias(owner), F.col("text_hash").alias(of), F.col("removed").alias(removed)
     )
     joined = marked.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_gone")), "left"
+        gone, F.col("doc_id").eqNullSafe(F.col(owner)) & (F.col(hashed) == F.col(of)), "left"
     )
-    changed = F.col("_removed").isNotNull()
+    changed = F.col(removed).isNotNull()
     text = bind(
         _lines(F.col("text")),
         lambda lines: F.array_join(
             F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")),
+                F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed)),
                 lambda i: F.get(lines, i),
             ),
             "\n",
@@ -158,16 +159,16 @@ def without_repeated_runs(
     )
     full = F.filter(_lines(F.col("text")), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))
     breaks = F.filter(
-        neighbours(F.col("_removed"), 1, lambda a, b: b - a), lambda gap: gap > 1
+        neighbours(F.col(removed), 1, lambda a, b: b - a), lambda gap: gap > 1
     )
     out = (
-        joined.withColumn("_text", F.when(changed, text).otherwise(F.col("text")))
+        joined.withColumn(left, F.when(changed, text).otherwise(F.col("text")))
         .withColumn("n_lines", F.size(full).cast("long"))
-        .withColumn("n_removed", F.when(changed, F.size("_removed")).otherwise(0).cast("long"))
+        .withColumn("n_removed", F.when(changed, F.size(removed)).otherwise(0).cast("long"))
         .withColumn("n_runs", F.when(changed, F.size(breaks) + 1).otherwise(0).cast("long"))
     )
     if "n_chars" in names:
-        length = F.length("_text").cast(documents.schema["n_chars"].dataType)
+        length = F.length(left).cast(documents.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    kept = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in names]
+    kept = [F.col(left).alias("text") if c == "text" else F.col(c) for c in names]
     return out.select(*kept, "n_lines", "n_removed", "n_runs")

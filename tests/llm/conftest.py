@@ -8,7 +8,9 @@ SMALL = "/root/testdata/sf0.001"
 CLASHING = (
     "node string, name string, m int, score string, spans int, body string, id string, h string, "
     "votes string, kept string, text_hash string, items string, label string, removed string, "
-    "value string, kind string, windows string, n_hit string, posterior string, licenses string"
+    "value string, kind string, windows string, n_hit string, posterior string, licenses string, "
+    "_words string, _lines string, _hashes string, _text string, _removed string, _id string, "
+    "_hash string, _gone string, _said string, _kinds string, _of string, _blocks string"
 )
 
 
@@ -42,8 +44,12 @@ def edges(spark):
         (12, "Ünïcödé wörds — „quoted“ 漢字 кириллица 🙂   ends\n\n\n"),
         (13, "a b " * 400),
         (14, "idiot moron trash " * 30),
+        # Runs that a pattern could read again and again, or nest in as deep as they are long.
+        (15, "ab-" * 20_000 + " " + "a." * 20_000 + " " + "- " * 5_000),
+        (16, "x@" + "a." * 20_000 + " " + "x@a." * 5_000 + "com"),
+        (17, "password=" * 5_000 + " " + "1" * 20_000 + " " + "Mr " * 5_000),
     ]
-    rows = [(i, t, "en", "src", len(t or "")) + ("clash", "x", 1, "s", 2) + ("z",) * 15 for i, t in texts]
+    rows = [(i, t, "en", "src", len(t or "")) + ("clash", "x", 1, "s", 2) + ("z",) * 27 for i, t in texts]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING
     return spark.createDataFrame(rows, schema)
 
