@@ -7,6 +7,8 @@ very many rows is one row of the report.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -84,7 +86,7 @@ def _checks(tables: dict[str, DataFrame]) -> list[_Check]:
     found = []
     for table, keys in UNIQUE_KEYS:
         # A key without any value names no row, so it cannot occur twice.
-        present = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+        present = reduce(or_, [F.col(k).isNotNull() for k in keys])
         found.append(_Check(f"unique {table}({', '.join(keys)})", table, present, keys))
     for child, foreign_key, parent, key in FOREIGN_KEYS:
         if parent in tables:
@@ -141,8 +143,8 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
         entries.setdefault(check.table, []).append(F.when(check.counts, own))
     rows = None
     for table, listed in entries.items():
-        present = F.filter(F.array(*listed), lambda e: e.isNotNull())
-        found = tables[table].select(F.inline(present))
+        # An entry that is null, as its row has no such key, is a row of nulls.
+        found = tables[table].select(F.inline(F.array(*listed))).where("number IS NOT NULL")
         rows = found if rows is None else rows.unionByName(found)
     met = rows.groupBy("number", "a", "b").agg(
         F.count(F.when(~F.col("as_parent"), 1)).alias("cnt"),

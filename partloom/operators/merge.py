@@ -61,24 +61,37 @@ def clean_wide(wide: DataFrame) -> DataFrame:
     )
 
 
+Taken = DataFrame | int | None
+
+
 def new_named(
-    current: DataFrame, names: DataFrame, table: str, id_column: str, keys: Sequence[str]
+    current: DataFrame,
+    names: DataFrame,
+    table: str,
+    id_column: str,
+    keys: Sequence[str],
+    taken: Taken = None,
 ) -> DataFrame:
-    """Dimension rows whose natural key the table lacks, with fresh ids."""
+    """Dimension rows whose natural key the table lacks, with fresh ids.
+
+    New ids lie above those of ``taken``, a frame of ids or the highest one; by default
+    those of ``current``.
+    """
     absent = lacking(names, current, keys)
-    return table_rows(assign_ids(absent, keys, id_column, taken=current), table)
+    above = current if taken is None else taken
+    return table_rows(assign_ids(absent, keys, id_column, taken=above), table)
 
 
-def new_manufacturers(current: DataFrame, names: DataFrame) -> DataFrame:
-    return new_named(current, names, "manufacturer", "producator_id", ["nume"])
+def new_manufacturers(current: DataFrame, names: DataFrame, taken: Taken = None) -> DataFrame:
+    return new_named(current, names, "manufacturer", "producator_id", ["nume"], taken)
 
 
-def new_categories(current: DataFrame, names: DataFrame) -> DataFrame:
-    return new_named(current, names, "category", "categorie_id", ["nume"])
+def new_categories(current: DataFrame, names: DataFrame, taken: Taken = None) -> DataFrame:
+    return new_named(current, names, "category", "categorie_id", ["nume"], taken)
 
 
-def new_standards(current: DataFrame, codes: DataFrame) -> DataFrame:
-    return new_named(current, codes, "standard", "standard_id", ["grup", "cod"])
+def new_standards(current: DataFrame, codes: DataFrame, taken: Taken = None) -> DataFrame:
+    return new_named(current, codes, "standard", "standard_id", ["grup", "cod"], taken)
 
 
 def wide_warehouses(wide: DataFrame) -> DataFrame:
@@ -91,12 +104,12 @@ def wide_warehouses(wide: DataFrame) -> DataFrame:
     return sites.where(text.strip(F.col("nume")) != "").distinct()
 
 
-def new_warehouses(current: DataFrame, sites: DataFrame) -> DataFrame:
+def new_warehouses(current: DataFrame, sites: DataFrame, taken: Taken = None) -> DataFrame:
     """Warehouses the table lacks by name, city and country; blanks compare equal."""
     keys = ["nume", "oras", "tara"]
     blanked = {k: F.coalesce(F.col(k), F.lit("")) for k in keys}
     absent = lacking(sites.withColumns(blanked), current.withColumns(blanked), keys)
-    stored = assign_ids(absent, keys, "depozit_id", taken=current)
+    stored = assign_ids(absent, keys, "depozit_id", taken=current if taken is None else taken)
     return table_rows(
         stored.withColumns({k: F.when(F.col(k) != "", F.col(k)) for k in keys}), "warehouse"
     )
@@ -114,7 +127,7 @@ def new_products(
     category: DataFrame,
     manufacturer: DataFrame,
     order: Sequence[str],
-    taken: DataFrame | int | None = None,
+    taken: Taken = None,
 ) -> DataFrame:
     """Products whose SKU the table lacks; the first row of a SKU wins.
 
@@ -150,10 +163,11 @@ def new_links(
 def stock_rollup(wide: DataFrame) -> DataFrame:
     """Quantity summed and threshold maximal per SKU and warehouse.
 
-    Fractions are summed as they are; only the total is cut to a whole number. Sums are
-    decimal, so they have every digit and are the same in whatever order tasks add up:
-    a decimal column keeps its type, texts and doubles are read to twelve places. What
-    is no number, or has more than 26 digits before the point, counts as missing.
+    Fractions are summed as they are; only the total is cut to a whole number. Sums are of
+    whole numbers or decimals, so they have every digit and are the same in whatever order
+    tasks add up: such columns keep their type, texts and doubles are read to twelve
+    places. What is no number, or has more than 26 digits before the point, counts as
+    missing.
     """
     present = wide.na.drop(how="any", subset=["cod_sku", "depozit"])
 
@@ -162,7 +176,7 @@ def stock_rollup(wide: DataFrame) -> DataFrame:
         if isinstance(kind, T.DecimalType):
             return F.col(column)
         if isinstance(kind, T.IntegralType):
-            return F.col(column).cast("decimal(20,0)")
+            return F.col(column).cast("bigint")
         return F.col(column).try_cast("decimal(38,12)")
 
     quantity = F.coalesce(F.sum(exact("cantitate")).cast("bigint"), F.lit(0).cast("bigint"))

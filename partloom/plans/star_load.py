@@ -52,8 +52,7 @@ def dimension_keys(rows: DataFrame, standards_map: Mapping[str, str]) -> DataFra
         entry("site", F.col("depozit"), F.col("oras_depozit"), F.col("tara_depozit")),
         *codes,
     ]
-    present = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return rows.select(F.inline(present)).distinct()
+    return rows.select(F.inline(F.array(*entries))).where("kind IS NOT NULL").distinct()
 
 
 def load(
@@ -91,17 +90,22 @@ def load(
     write(
         {
             "manufacturer": lambda: merge.new_manufacturers(
-                store.read("manufacturer"), distinct_names(named("maker", "nume"), "nume")
+                store.read("manufacturer"),
+                distinct_names(named("maker", "nume"), "nume"),
+                store.highest("manufacturer"),
             ),
             "category": lambda: merge.new_categories(
-                store.read("category"), distinct_names(named("category", "nume"), "nume")
+                store.read("category"),
+                distinct_names(named("category", "nume"), "nume"),
+                store.highest("category"),
             ),
             "standard": lambda: merge.new_standards(
-                store.read("standard"), named("code", "grup", "cod")
+                store.read("standard"), named("code", "grup", "cod"), store.highest("standard")
             ),
             "warehouse": lambda: merge.new_warehouses(
                 store.read("warehouse"),
                 merge.wide_warehouses(named("site", "depozit", "oras_depozit", "tara_depozit")),
+                store.highest("warehouse"),
             ),
         }
     )

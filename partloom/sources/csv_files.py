@@ -18,7 +18,7 @@ from partloom.operators.columns import resolve_columns
 from partloom.operators.reshape import union_by_name
 from partloom.schemas import RESOLVED_COLUMNS
 from partloom.sources.csv_blocks import ends_inside, read_records
-from partloom.sources.discovery import exists, hidden_files, list_files
+from partloom.sources.discovery import bytes_of_a_task, exists, hidden_files, list_files
 
 # Columns that put rows in input order: source, file, block of the file, row.
 ORDER_COLUMNS = ("source_rank", "source_file", "source_block", "source_row")
@@ -34,10 +34,12 @@ class Layout(NamedTuple):
     header: tuple[str, ...]
     encoding: str
     multi_line: bool
+    # Values that span lines, and more bytes than one task should read.
+    by_blocks: bool = False
 
 
 def profile_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file: its header line, whether it is UTF-8, whether a value spans lines.
+    """Per file: its header line, size, whether it is UTF-8, whether a value spans lines.
 
     One streaming pass over the lines, reduced to a row per file.
     """
@@ -46,17 +48,19 @@ def profile_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
         F.is_valid_utf8("value").alias("utf8"),
         ends_inside(F.col("value")).alias("open_quote"),
+        F.col("_metadata.file_size").alias("size"),
         "value",
     )
     profiled = lines.groupBy("path").agg(
         F.bool_and("utf8").alias("utf8"),
         F.bool_or("open_quote").alias("multi_line"),
+        F.max("size").alias("size"),
         # Only non-blank lines can be a header; the first of them is.
         F.min_by("value", F.when(F.trim("value") != "", F.col("at"))).alias("first"),
     )
     latin = F.decode(F.col("first").cast("binary"), LATIN1)
     header = F.when(F.col("utf8"), F.col("first")).otherwise(latin)
-    return profiled.select("path", "utf8", "multi_line", header.alias("header"))
+    return profiled.select("path", "utf8", "multi_line", "size", header.alias("header"))
 
 
 def header_names(line: str) -> tuple[str, ...]:
@@ -74,9 +78,9 @@ def header_names(line: str) -> tuple[str, ...]:
 def read_csv(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataFrame:
     """Rows of files of one layout, all text, columns ``c0..cn``, with input order.
 
-    Files are split into blocks, those with values that span lines too.
+    Large files are split into blocks, those with values that span lines too.
     """
-    if layout.multi_line:
+    if layout.by_blocks:
         return read_records(spark, paths, len(layout.header), layout.encoding == LATIN1)
     schema = ", ".join(f"c{i} string" for i in range(len(layout.header)))
     rows = (
@@ -84,6 +88,7 @@ def read_csv(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataF
         .option("header", True)
         .option("escape", '"')
         .option("encoding", layout.encoding)
+        .option("multiLine", layout.multi_line)
         .csv(list(paths))
     )
     return rows.select(
@@ -133,13 +138,16 @@ def layouts_of(
 
     Those are warned about; ``outcomes``, where given, gets a line for every file.
     """
+    task_bytes = bytes_of_a_task(spark)
     layouts: dict[Layout, list[str]] = {}
     found: list[FileOutcome] = []
     for profile in _profiles(spark, paths, found):
         if profile.header is None:
             continue
         encoding = UTF8 if profile.utf8 else LATIN1
-        layout = Layout(header_names(profile.header), encoding, profile.multi_line)
+        by_blocks = profile.multi_line and profile.size > task_bytes
+        names = header_names(profile.header)
+        layout = Layout(names, encoding, profile.multi_line, by_blocks)
         layouts.setdefault(layout, []).append(profile.path)
         found.append(FileOutcome(profile.path, "read"))
     told = {_plain(outcome.path) for outcome in found}

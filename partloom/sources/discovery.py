@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def bytes_of_a_task(spark: SparkSession) -> int:
+    """Bytes that Spark gives one task of a file it can split."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
+
+
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Paths of all files below ``root`` whose name matches a glob.
+    """Paths and lengths of all files below ``root`` whose name matches a glob.
 
     Only the listing is read, no file content. Files without any content are
     not listed.
@@ -21,7 +27,7 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select("path")
+        .select("path", "length")
     )
 
 

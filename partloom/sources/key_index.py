@@ -27,16 +27,14 @@ def _bits(key: Column, chunks: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed)), chunks * CHUNK_BITS) for seed in (1, 2)]
 
 
-def write_index(keys: DataFrame, key: Column, rows: int, path: str) -> int:
-    """Write the sidecar of the keys of a run; returns its number of chunks."""
-    chunks = chunks_for(rows)
+def write_index(keys: DataFrame, key: Column, chunks: int, path: str) -> None:
+    """Write the sidecar of the keys of a run, in so many chunks."""
     places = keys.select(F.explode(F.array(*_bits(key, F.lit(chunks)))).alias("bit"))
     located = places.select(
         F.shiftright("bit", 15).alias("chunk"), F.col("bit").bitwiseAND(CHUNK_BITS - 1).alias("bit")
     )
     filters = located.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
     filters.sortWithinPartitions("chunk").write.parquet(path)
-    return chunks
 
 
 def _is_set(bits: Column, bit: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partloom.functions import decode
 from partloom.operators.specs import record_kinds
 from partloom.sources.csv_files import write_csv
+from partloom.sources.discovery import bytes_of_a_task
 from partloom.sources.json_blocks import read_objects
 
 # A file, or the folder that a Spark job wrote, is named after its category;
@@ -27,6 +28,15 @@ def file_columns(path: str = "path") -> list[Column]:
     ]
 
 
+def has_large_files(
+    spark: SparkSession, path: str | Sequence[str], file_pattern: str | None
+) -> bool:
+    """Whether a file has more bytes than Spark gives one task; only the listing is read."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", file_pattern or "*")
+    lengths = listing.load(path).select("length")
+    return not lengths.where(F.col("length") > bytes_of_a_task(spark)).isEmpty()
+
+
 def count_parts(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -35,8 +45,9 @@ def count_parts(
 ) -> DataFrame:
     """Number of records per category and load status over the JSON files of a folder."""
     pattern = file_pattern or ("*.jsonl" if json_lines else "*.json")
-    if json_lines:
-        rows = spark.read.schema("name string").option("pathGlobFilter", pattern).json(path)
+    if json_lines or not has_large_files(spark, path, pattern):
+        reader = spark.read.schema("name string").option("multiLine", not json_lines)
+        rows = reader.option("pathGlobFilter", pattern).json(path)
         records = rows.select("name", *file_columns("_metadata.file_path"))
     else:
         records = read_objects(spark, path, pattern).select("value", *file_columns("file"))
@@ -95,14 +106,14 @@ def read_parts_json(
 ) -> DataFrame:
     """Typed records of one category from JSON arrays or JSON Lines.
 
-    Files of either form are split into blocks. A field that is a number in one record and a list in another is read as text
+    Large files of either form are split into blocks. A field that is a number in one record and a list in another is read as text
     first and is a list in all of them.
     """
     kinds = record_kinds(category)
     fields = [f"`{f}` {'array<string>' if k == 'items' else 'string'}" for f, k in kinds.items()]
     schema = ", ".join(["name string", *fields])
-    if json_lines:
-        reader = spark.read.schema(schema)
+    if json_lines or not has_large_files(spark, path, file_pattern):
+        reader = spark.read.schema(schema).option("multiLine", not json_lines)
         if file_pattern:
             reader = reader.option("pathGlobFilter", file_pattern)
         rows, file = reader.json(path), "_metadata.file_path"

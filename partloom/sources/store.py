@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from partloom.operators.merge import product_key
 from partloom.schemas import TABLE_DDL
 from partloom.sources.commit_log import Commit, CommitLog, TableStats
-from partloom.sources.key_index import runs_that_may_hold, write_index
+from partloom.sources.key_index import chunks_for, runs_that_may_hold, write_index
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +39,8 @@ class CatalogStore:
         self._log = CommitLog(spark, self.root)
         self._commits = self._log.read()
         self._pending: dict[str, dict[str, TableStats]] = {}
+        self._indexer = ThreadPoolExecutor(len(INDEX_KEYS))
+        self._indexing: dict[str, list[Future]] = {}
 
     def _runs(self, version: int | None = None) -> list[Commit]:
         """The commits whose rows make up a version, from its last compaction on."""
@@ -118,8 +121,12 @@ class CatalogStore:
         count, highest = seen.get["rows"], seen.get["highest"]
         chunks = 0
         if count and table in INDEX_KEYS:
+            chunks = chunks_for(count)
             written = self.spark.read.schema(TABLE_DDL[table]).parquet(path)
-            chunks = write_index(written, INDEX_KEYS[table](), count, self._index(run, table))
+            place = self._index(run, table)
+            # Nothing needs the sidecar before the commit, which waits for it.
+            job = self._indexer.submit(write_index, written, INDEX_KEYS[table](), chunks, place)
+            self._indexing.setdefault(run, []).append(job)
         self._pending.setdefault(run, {})[table] = TableStats(count, highest, chunks)
         log.info("%s: %d new rows", table, count)
         return count
@@ -130,6 +137,8 @@ class CatalogStore:
         A run that did not see the latest version may hold rows that are there by now,
         so it is refused; so is the slower of two that commit at once.
         """
+        for job in self._indexing.pop(run, []):
+            job.result()
         version = self.refresh()
         if int(run.split("-")[1]) != version:
             raise RuntimeError(f"another load has committed version {version}")
