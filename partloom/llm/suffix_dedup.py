@@ -44,7 +44,7 @@ REGION = 64
 SEGMENT_BYTES = 1 << 20
 # Regions that a task reduces at a time.
 HELD_REGIONS = 2_000_000
-BATCHES = 3
+BATCHES = 4
 # Regions of one name that are compared in one task at most.
 HOT_REGIONS = 5_000
 
@@ -315,7 +315,7 @@ class SuffixFamily:
         if last:
             dealt = dealt.where(F.col("what") != INDEXED)
         path = shared_path(spark, "level")
-        found = written_to(path, dealt, by="what")
+        found = written_to(path, dealt, by="what", codec="zstd")
         for folder in merged:
             remove(spark, f"{folder}/what={INDEXED}")
         release(spark)
