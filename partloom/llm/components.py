@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.storage import written
+from partloom.llm.storage import Steps
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -45,16 +45,19 @@ def components(links: DataFrame) -> DataFrame:
     so no plan grows with the rounds. The rounds end when no link changes; their
     number grows with the logarithm of the longest chain.
     """
-    current = written(
+    steps, turn = Steps(links.sparkSession), 0
+    current = steps.write(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a <> b")
         .distinct(),
-        "links",
+        "links0",
     )
     state = _digest(current)
     while True:
-        current = written(_small_star(_large_star(current)), "links")
+        current = steps.write(_small_star(_large_star(current)), f"links{turn + 1}")
         after = _digest(current)
+        steps.drop(f"links{turn}")
+        turn += 1
         if after == state:
             break
         state = after

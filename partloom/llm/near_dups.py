@@ -9,8 +9,10 @@ are confirmed on the full sets. Independent trees repeat this until a similar
 pair has met in one of them almost surely.
 
 Documents with the same set are collapsed first. Small nodes with the same
-members in several trees are confirmed once, and a confirmed node yields only the
-links that join its members, never all its pairs. A node that is still large
+members in several trees are compared once, and a confirmed node yields only the
+links that join its members, never all its pairs. The trees come in rounds: a node
+whose members the rounds before have put into one component has nothing to add and
+is not looked at again. A node that is still large
 after the last level holds documents that are nearly all alike; its members are
 first dealt to blocks that share a few members of the node, and the blocks are
 compared like any small node, other blocks in every tree. What these links leave in
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.components import components
-from partloom.llm.storage import written
+from partloom.llm.storage import Steps
 from partloom.llm.words import (
     FOLDED,
     NOT_SPACE,
@@ -42,8 +44,9 @@ from partloom.llm.words import (
 )
 
 TOKENS = 64
-TREES = 16
-LEVELS = 3
+# Trees of each round.
+ROUNDS = (4, 12)
+LEVELS = 4
 # A node is compared exhaustively up to so many documents and shingles; a node that stays
 # larger, in blocks of about so many documents and shingles, with so many shared members.
 LEAF = 256
@@ -105,21 +108,20 @@ def _token_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, dtype=np.uint32).reshape(len(column), TOKENS)
 
 
-def _branch(level: int, threshold: float):
-    """Rows (node, doc_id, tokens) to the children of each node; level 0 makes the roots."""
+def _branch(level: int, threshold: float, roots: np.ndarray):
+    """Rows (node, doc_id, tokens) to the children of each node; level 0 starts at the roots."""
     chance = 1.0 / (threshold * TOKENS)
     seeds = numbered(1000 + level, TOKENS)
 
     def children(nodes: np.ndarray) -> np.ndarray:
-        """Which tokens each node picks, by its path alone."""
+        """Which tokens each node picks, by its path alone: one at least."""
         draw = mix(nodes[:, None] ^ seeds[None, :])
-        return draw < np.uint64(int(chance * 2**64))
+        picked = draw < np.uint64(int(chance * 2**64))
+        picked[np.arange(len(nodes)), draw.argmin(axis=1)] = True
+        return picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = numbered(99, TREES)
         picked = children(roots)
-        for i in np.flatnonzero(~picked.any(axis=1)):  # a tree needs at least one branch
-            picked[i, int(mix(roots[i : i + 1])[0] % np.uint64(TOKENS))] = True
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
@@ -287,7 +289,10 @@ def _bucket_counts(width: int):
 
 
 def _prefixes(width: int, percent: int, shared):
-    """The rarest shingles of each set: of two linked sets, one at least is in both's."""
+    """The rarest shingles of each set: of two linked sets, one at least is in both's.
+
+    A shingle alone in its bucket is in no other set and is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -298,7 +303,8 @@ def _prefixes(width: int, percent: int, shared):
                 for s in sets:
                     # Linked sets share percent of the larger one, so of either one.
                     length = len(s) + 1 - -(-percent * len(s) // 100) if len(s) else 0
-                    rare.append(s[np.lexsort((s, counts[_bucket(s)]))[:length]])
+                    first = s[np.lexsort((s, counts[_bucket(s)]))[:length]]
+                    rare.append(first[counts[_bucket(first)] > 1])
                 row = np.repeat(np.arange(len(sets)), [len(r) for r in rare])
                 flat = np.concatenate([np.zeros(0, np.uint64), *rare])
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -315,7 +321,7 @@ def _prefixes(width: int, percent: int, shared):
     return run
 
 
-def _meetings(bodies: DataFrame, width: int, percent: int) -> DataFrame:
+def _meetings(bodies: DataFrame, width: int, percent: int, steps: Steps) -> DataFrame:
     """Rows (node, doc_id): blocks in which all documents meet that have a rare shingle in common.
 
     ``bodies`` has doc_id, text and component. Documents of the largest component of a
@@ -329,7 +335,7 @@ def _meetings(bodies: DataFrame, width: int, percent: int) -> DataFrame:
     for r in counted.collect():
         counts[r.bucket] = r.n
     shared = bodies.sparkSession.sparkContext.broadcast(counts)
-    rare = written(
+    rare = steps.write(
         bodies.mapInArrow(
             _prefixes(width, percent, shared),
             "shingle long, doc_id long, component long, n_shingles long",
@@ -369,49 +375,91 @@ def _meetings(bodies: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _apart(large: DataFrame, reached: DataFrame) -> DataFrame:
     """Rows (doc_id, component): the members of large nodes that are in several components."""
-    named = large.select("node", "doc_id").join(
-        reached.withColumnRenamed("id", "doc_id"), "doc_id", "left"
-    ).select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = written(named, "named")
-    several = (
+    named = _with_component(large.select("node", "doc_id"), reached)
+    return named.join(_several(named), "node").select("doc_id", "component").distinct()
+
+
+def _with_component(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with the component of each document, which is its own where it has no link."""
+    reached = known.select(F.col("id").alias("doc_id"), "component")
+    return nodes.join(reached, "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id")
+    )
+
+
+def _several(named: DataFrame) -> DataFrame:
+    """The nodes with members of more than one component."""
+    return (
         named.groupBy("node")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
         .select("node")
     )
-    return named.join(several, "node").select("doc_id", "component").distinct()
+
+
+def _unlike(nodes: DataFrame) -> DataFrame:
+    """``nodes`` without those that have the same members as another, or one member only."""
+    members = ["n", "low", "high", "own_a", "own_b"]
+    told = nodes.groupBy("node").agg(
+        F.count("*").alias("n"),
+        F.min("doc_id").alias("low"),
+        F.max("doc_id").alias("high"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("own_a"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("own_b"),
+    )
+    one = told.where("n > 1").groupBy(*members).agg(F.min("node").alias("node"))
+    return nodes.join(one.select("node"), "node", "left_semi")
 
 
 def _links(
-    nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int
+    nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, steps: Steps, name: str
 ) -> DataFrame:
     """Links (a, b) that join the similar members of each node."""
-    pairs = nodes.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
+    unlike = steps.write(_unlike(nodes), f"unlike{name}")
+    pairs = unlike.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
     floor = percent / 100 - SLACK
     likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long")
-    likely = written(likely.distinct(), "likely")
+    likely = steps.write(likely.distinct(), f"likely{name}")
+    del pairs
+    steps.drop(f"unlike{name}")
     wanted = likely.select("doc_id").distinct()
     # Never a broadcast: how many documents are wanted grows with the table.
     bodies = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
     groups = likely.join(bodies, "doc_id").repartition("node").sortWithinPartitions("node")
-    return written(groups.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
+    links = steps.write(
+        groups.mapInArrow(_confirmed(width, percent), "a long, b long"), f"links{name}"
+    )
+    del bodies, groups
+    steps.drop(f"likely{name}")
+    return links
+
 
+def _small_nodes(
+    sets: DataFrame, threshold: float, roots: np.ndarray, known: DataFrame | None, steps: Steps, name: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (node, doc_id) to compare in the trees of ``roots``, and the nodes that stayed large.
 
-def _small_nodes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (node, doc_id) to compare in all trees, and the nodes that stayed large."""
+    Nodes whose members are all in one component of ``known`` are left out.
+    """
     small = None
     above = sets
     for level in range(LEVELS):
         rows = above.mapInArrow(
-            _branch(level, threshold), "node long, doc_id long, n_shingles long"
+            _branch(level, threshold, roots), "node long, doc_id long, n_shingles long"
         )
-        rows = written(rows, f"level{level}")
         sizes = (
             rows.groupBy("node")
             .agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
             .where("size > 1")
         )
-        sized = written(rows.join(sizes, "node"), f"nodes{level}")
+        sized = rows.drop("n_shingles").join(sizes, "node")
+        if known is not None:
+            named = steps.write(_with_component(sized, known), f"named{level}{name}")
+            sized = named.join(_several(named), "node", "left_semi").drop("component")
+        sized = steps.write(sized, f"nodes{level}{name}")
+        if known is not None:
+            del named
+            steps.drop(f"named{level}{name}")
         is_small = (F.col("size") <= LEAF) & (F.col("weight") <= SHINGLES)
         leaves = sized.where(is_small).select("node", "doc_id")
         small = leaves if small is None else small.unionByName(leaves)
@@ -460,43 +508,55 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets. Other columns are ignored.
     """
     threshold = percent / 100
+    steps = Steps(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = written(texts.mapInArrow(_sets(width), SET_SCHEMA), "sets")
+    every = steps.write(texts.mapInArrow(_sets(width), SET_SCHEMA), "every")
     full = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = written(full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first_id")), "first")
-    sets = written(
+    first = steps.write(full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first_id")), "first")
+    sets = steps.write(
         full.join(first.withColumnRenamed("first_id", "doc_id"), ["key_a", "key_b", "doc_id"])
         .dropDuplicates(["key_a", "key_b", "doc_id"])
         .select("doc_id", "tokens", "n_shingles"),
-        "distinct_sets",
+        "sets",
     )
-    nodes, large = _small_nodes(sets, threshold)
-    links = _links(nodes, sets, texts, width, percent)
-    reached = components(links)
-    if large is not None:
-        apart = written(_apart(large, reached), "apart")
+    keys = steps.write(every.drop("tokens"), "keys")
+    steps.drop("every")
+
+    links, reached, stayed = None, None, None
+    roots = numbered(99, sum(ROUNDS))
+    for turn, count in enumerate(ROUNDS):
+        start = sum(ROUNDS[:turn])
+        nodes, large = _small_nodes(
+            sets, threshold, roots[start : start + count], reached, steps, f"_{turn}"
+        )
+        found = _links(nodes, sets, texts, width, percent, steps, f"_{turn}")
+        links = found if links is None else links.unionByName(found)
+        reached = components(links)
+        if large is not None:
+            large = large.select("node", "doc_id")
+            stayed = large if stayed is None else stayed.unionByName(large)
+    if stayed is not None:
+        apart = steps.write(_apart(stayed, reached), "apart")
         if not apart.isEmpty():
             # A join by merge: how many members are apart grows with the table.
-            bodies = written(texts.join(apart.hint("merge"), "doc_id"), "apart_texts")
-            more = _links(_meetings(bodies, width, percent), sets, texts, width, percent)
+            bodies = steps.write(texts.join(apart.hint("merge"), "doc_id"), "apart_texts")
+            meetings = _meetings(bodies, width, percent, steps)
+            more = _links(meetings, sets, texts, width, percent, steps, "_apart")
+            steps.drop("apart_texts", "rare")
             reached = components(links.unionByName(more))
+        steps.drop("apart")
+    steps.drop("sets", *[name for name in steps.paths if name.startswith("nodes")])
+
     named = (
         first.join(reached, first.first_id == reached.id, "left")
         .select("key_a", "key_b", F.coalesce("component", "first_id").alias("found"))
     )
-    empty = F.col("n_shingles") == 0
-    return (
-        every.select(
-            "doc_id",
-            "n_shingles",
-            F.when(~empty & F.col("doc_id").isNotNull(), F.col("key_a")).alias("key_a"),
-            "key_b",
-        )
-        .join(named, ["key_a", "key_b"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("found", "doc_id").alias("component_id"),
-            F.coalesce(F.col("found") == F.col("doc_id"), F.lit(True)).alias("kept"),
-        )
+    is_full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    linked = keys.where(is_full).join(named, ["key_a", "key_b"], "left")
+    alone = keys.where(~is_full | is_full.isNull()).withColumn("found", F.lit(None).cast("long"))
+    return linked.unionByName(alone).select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("found", "doc_id").alias("component_id"),
+        F.coalesce(F.col("found") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )

@@ -56,3 +56,21 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`shared_path` whose rows nothing will read again."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Steps:
+    """The written steps of one operator, each deleted once nothing will read it again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = shared_path(self.spark, name)
+        return written_to(self.paths[name], df, codec="zstd")
+
+    def drop(self, *names: str) -> None:
+        """Only for steps that no plan still to run goes back to, lost executors or not."""
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+        release(self.spark)
