@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.expressions import bind, neighbours, unused, words
-from partloom.llm.storage import written
+from partloom.llm.storage import Steps
 
 WINDOW = 2
 
@@ -24,10 +24,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _windows(text: Column, width: int) -> Column:
-    """The windows of a text: fingerprint, whether newly selected, content hashes, lines."""
+def _windows(text: Column, width: int, long_line: int | None) -> Column:
+    """The windows of a text: fingerprint, where it was selected, content hashes, lines.
 
-    def window(lines: Column, start: Column) -> Column:
+    A line of ``long_line`` words or more is a window of its own besides.
+    """
+
+    def window(lines: Column, start: Column, width: int) -> Column:
         part = F.slice(lines, start + 1, F.lit(width))
         least = F.array_min(
             F.transform(part, lambda x, i: F.struct(x["h"].alias("h"), (-start - i).alias("p")))
@@ -42,6 +45,12 @@ def _windows(text: Column, width: int) -> Column:
             F.transform(part, lambda x: x["i"]).alias("lines"),
         )
 
+    def is_long(line: Column) -> Column:
+        if long_line is None:
+            return F.lit(False)
+        # So many words are at least so many characters.
+        return (F.length(line) >= 2 * long_line - 1) & (F.size(words(line)) >= long_line)
+
     hashed = F.transform(
         _lines(text),
         lambda l, i: F.when(
@@ -49,64 +58,67 @@ def _windows(text: Column, width: int) -> Column:
             bind(
                 F.regexp_replace(l, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""),
                 lambda s: F.struct(
-                    F.xxhash64(s).alias("h"), F.xxhash64(F.lit(2), s).alias("g"), i.alias("i")
+                    F.xxhash64(s).alias("h"),
+                    F.xxhash64(F.lit(2), s).alias("g"),
+                    i.alias("i"),
+                    is_long(s).alias("long"),
                 ),
             ),
         ),
     )
-    return bind(
-        F.filter(hashed, lambda x: x.isNotNull()),
-        lambda lines: F.when(
+
+    def every(lines: Column) -> Column:
+        several = F.when(
             F.size(lines) >= width,
             F.transform(
-                F.sequence(F.lit(0), F.size(lines) - width), lambda start: window(lines, start)
+                F.sequence(F.lit(0), F.size(lines) - width), lambda at: window(lines, at, width)
             ),
-        ),
-    )
+        )
+        if long_line is None:
+            return several
+        singles = F.transform(lines, lambda x, at: F.when(x["long"], window(lines, at, 1)))
+        return F.concat(
+            F.coalesce(several, F.slice(singles, 1, 0)), F.filter(singles, lambda w: w.isNotNull())
+        )
 
-
-def _long_lines(text: Column, least: int) -> Column:
-    """The windows of one line that has ``least`` words or more."""
-    return bind(
-        _lines(text),
-        lambda lines: F.filter(
-            _windows(text, 1), lambda w: F.size(words(F.get(lines, w["lines"][0]))) >= least
-        ),
-    )
+    return bind(F.filter(hashed, lambda x: x.isNotNull()), every)
 
 
 def repeated_lines(
     documents: DataFrame, width: int = WINDOW, long_line: int | None = None
 ) -> DataFrame:
     """Rows (doc_id, text_hash, removed): the lines that go, by number, of each document."""
+    steps = Steps(documents.sparkSession)
     identity = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    spread = documents.select(*identity, F.explode(_windows(F.col("text"), width)).alias("w"))
-    if long_line is not None:
-        singles = _long_lines(F.col("text"), long_line)
-        spread = spread.unionByName(documents.select(*identity, F.explode(singles).alias("w")))
-    windows = written(
+    spread = documents.select(
+        *identity, F.explode(_windows(F.col("text"), width, long_line)).alias("w")
+    )
+    # A line that several windows select is one fingerprint, at one place.
+    windows = steps.write(
         spread.select(
             "doc_id",
             "text_hash",
-            "w.*",
+            "w.start",
+            "w.print",
+            F.xxhash64("doc_id", "text_hash", "w.place").alias("place"),
+            "w.key_a",
+            "w.key_b",
+            "w.lines",
         ),
         "windows",
     )
-    # A line that several windows select is one fingerprint.
     prints = (
         windows.groupBy("print")
-        .agg(
-            F.min(F.struct("doc_id", "text_hash", "place")).alias("a"),
-            F.max(F.struct("doc_id", "text_hash", "place")).alias("b"),
-        )
+        .agg(F.min("place").alias("a"), F.max("place").alias("b"))
         .where("a <> b")
         .select("print")
     )
-    place = F.struct("doc_id", "text_hash", "start")
-    near = windows.join(prints, "print", "left_semi").select(
-        "key_a", "key_b", "doc_id", "text_hash", "start", "lines"
+    near = steps.write(
+        windows.drop("place").join(prints, "print", "left_semi").drop("print"), "near"
     )
-    near = written(near, "near")
+    del spread, windows, prints
+    steps.drop("windows")
+    place = F.struct("doc_id", "text_hash", "start")
     first = (
         near.groupBy("key_a", "key_b")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -114,9 +126,15 @@ def repeated_lines(
         .drop("last")
     )
     later = near.join(first, ["key_a", "key_b"]).where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed")
+    removed = steps.write(
+        later.groupBy("doc_id", "text_hash").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed")
+        ),
+        "removed",
     )
+    del near, first, later
+    steps.drop("near")
+    return removed
 
 
 def without_repeated_runs(
