@@ -2,7 +2,8 @@
 
 Each document is the set of its word shingles. A tree starts with all documents
 in one node. A node that is too large to compare exhaustively branches: it picks
-a few of the minwise tokens by a hash of its own path and sends every document to
+minwise tokens by a hash of its own path (the root a few, deeper nodes one, so that no
+level has more rows than the one above) and sends every document to
 the child named by its token there, so similar documents keep meeting while
 others part. Nodes that have become small are compared exhaustively, and links
 are confirmed on the full sets. Independent trees repeat this until a similar
@@ -110,7 +111,7 @@ def _token_matrix(column: pa.Array) -> np.ndarray:
 
 def _branch(level: int, threshold: float, roots: np.ndarray):
     """Rows (node, doc_id, tokens) to the children of each node; level 0 starts at the roots."""
-    chance = 1.0 / (threshold * TOKENS)
+    chance = 1.0 / (threshold * TOKENS) if level == 0 else 0.0
     seeds = numbered(1000 + level, TOKENS)
 
     def children(nodes: np.ndarray) -> np.ndarray:
@@ -125,13 +126,12 @@ def _branch(level: int, threshold: float, roots: np.ndarray):
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 matrix = _token_matrix(batch.column("tokens"))
                 if level == 0:
                     tree, token = np.nonzero(picked)
-                    row = np.repeat(np.arange(len(docs)), len(tree))
-                    parent = np.tile(roots[tree], len(docs))
-                    token = np.tile(token, len(docs))
+                    row = np.repeat(np.arange(len(matrix)), len(tree))
+                    parent = np.tile(roots[tree], len(matrix))
+                    token = np.tile(token, len(matrix))
                 else:
                     above = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                     row, token = np.nonzero(children(above))
@@ -139,10 +139,11 @@ def _branch(level: int, threshold: float, roots: np.ndarray):
                 path = parent * numbered(3, 1)[0] + mix(
                     (token.astype(np.uint64) << np.uint64(32)) | matrix[row, token]
                 )
-                sizes = batch.column("n_shingles").to_numpy(zero_copy_only=False)
+                at = pa.array(row)
+                kept = [batch.column(c).take(at) for c in ("doc_id", "component", "n_shingles")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(path).view(np.int64)), pa.array(docs[row]), pa.array(sizes[row])],
-                    ["node", "doc_id", "n_shingles"],
+                    [pa.array(mix(path).view(np.int64)), *kept],
+                    ["node", "doc_id", "component", "n_shingles"],
                 )
 
     return run
@@ -171,11 +172,12 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Ta
 def _likely_groups(floor: float):
     """Small nodes to groups of members whose estimated similarity reaches ``floor``.
 
-    All pairs of a node are compared but those that are in one group already.
+    All pairs of a node are compared but those that are in one group already. Members of
+    one component are from the start, and groups of one component are left out.
     """
 
-    def groups_of(nodes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        group = np.arange(len(nodes))
+    def groups_of(nodes: np.ndarray, component: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        group = np.unique(np.stack([nodes, component]), axis=1, return_inverse=True)[1].reshape(-1)
         for step in range(1, len(nodes)):
             at = np.flatnonzero(nodes[step:] == nodes[:-step])
             if not len(at):
@@ -193,24 +195,28 @@ def _likely_groups(floor: float):
         for table in whole_runs(batches, "node"):
             docs = table.column("doc_id").to_numpy()
             matrix = _token_matrix(table.column("tokens").combine_chunks())
-            group = groups_of(table.column("node").to_numpy(), matrix)
+            component = table.column("component").to_numpy()
+            group = groups_of(table.column("node").to_numpy(), component, matrix)
             order = np.lexsort((docs, group))
             cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-            names, out = [], []
+            names, out, of = [], [], []
             for low, high in zip(cuts[:-1], cuts[1:]):
-                ids = np.unique(docs[order[low:high]])
-                if len(ids) > 1:
+                part = order[low:high]
+                if (component[part] != component[part[0]]).any():
+                    ids, first = np.unique(docs[part], return_index=True)
                     spread = mix(ids.view(np.uint64) + np.uint64(5))
                     name = mix(np.array([spread.sum(dtype=np.uint64)]))[0]
                     names.append(np.full(len(ids), name))
                     out.append(ids)
+                    of.append(component[part[first]])
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(names).view(np.int64)),
                         pa.array(np.concatenate(out)),
+                        pa.array(np.concatenate(of)),
                     ],
-                    ["node", "doc_id"],
+                    ["node", "doc_id", "component"],
                 )
 
     return run
@@ -219,14 +225,16 @@ def _likely_groups(floor: float):
 def _confirmed(width: int, percent: int):
     """Links that join the members of each group, confirmed on full shingle sets."""
 
-    def links(docs: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links(
+        docs: np.ndarray, known: np.ndarray, sets: list[np.ndarray]
+    ) -> Iterator[tuple[int, int]]:
         """Each member meets all others at once, unless all are in its component already."""
         full = [i for i, s in enumerate(sets) if len(s)]
-        docs, sets = docs[full], [sets[i] for i in full]
+        docs, known, sets = docs[full], known[full], [sets[i] for i in full]
         sizes = np.array([len(s) for s in sets])
         starts = np.cumsum(sizes) - sizes
         shingles = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)[1]
-        component = np.unique(docs, return_inverse=True)[1]
+        component = np.unique(known, return_inverse=True)[1]
         marked = np.zeros(len(shingles), dtype=bool)
         for i, (start, size) in enumerate(zip(starts, sizes)):
             alike = (100 * size >= percent * sizes) & (100 * sizes >= percent * size)
@@ -246,6 +254,7 @@ def _confirmed(width: int, percent: int):
         for table in whole_runs(batches, "node"):
             nodes = table.column("node").to_numpy()
             docs = table.column("doc_id").to_numpy()
+            known = table.column("component").to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1], [True])))
             found: list[tuple[int, int]] = []
             for low, high in zip(cuts[:-1], cuts[1:]):
@@ -253,7 +262,7 @@ def _confirmed(width: int, percent: int):
                 data, offsets = text_buffers(text)
                 hashes, rows, *_ = hash_words(data, offsets, NOT_SPACE, FOLDED)
                 sets = list(shingle_hashes(hashes, rows, high - low, width))
-                found += links(docs[low:high], sets)
+                found += links(docs[low:high], known[low:high], sets)
             if found:
                 a, b = np.array(found, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -379,10 +388,10 @@ def _apart(large: DataFrame, reached: DataFrame) -> DataFrame:
     return named.join(_several(named), "node").select("doc_id", "component").distinct()
 
 
-def _with_component(nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """``nodes`` with the component of each document, which is its own where it has no link."""
+def _with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the component of each document, which is its own where it has no link."""
     reached = known.select(F.col("id").alias("doc_id"), "component")
-    return nodes.join(reached, "doc_id", "left").withColumn(
+    return rows.join(reached, "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
 
@@ -414,11 +423,14 @@ def _unlike(nodes: DataFrame) -> DataFrame:
 def _links(
     nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, steps: Steps, name: str
 ) -> DataFrame:
-    """Links (a, b) that join the similar members of each node."""
+    """Links (a, b) that join the similar members of each node.
+
+    ``sets`` has the component of each document so far; links within one are left out.
+    """
     unlike = steps.write(_unlike(nodes), f"unlike{name}")
     pairs = unlike.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
     floor = percent / 100 - SLACK
-    likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long")
+    likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long, component long")
     likely = steps.write(likely.distinct(), f"likely{name}")
     del pairs
     steps.drop(f"unlike{name}")
@@ -435,31 +447,36 @@ def _links(
 
 
 def _small_nodes(
-    sets: DataFrame, threshold: float, roots: np.ndarray, known: DataFrame | None, steps: Steps, name: str
+    sets: DataFrame, threshold: float, roots: np.ndarray, steps: Steps, name: str
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows (node, doc_id) to compare in the trees of ``roots``, and the nodes that stayed large.
 
-    Nodes whose members are all in one component of ``known`` are left out.
+    Nodes whose members are all in one component are left out.
     """
     small = None
     above = sets
     for level in range(LEVELS):
-        rows = above.mapInArrow(
-            _branch(level, threshold, roots), "node long, doc_id long, n_shingles long"
+        rows = steps.write(
+            above.mapInArrow(
+                _branch(level, threshold, roots),
+                "node long, doc_id long, component long, n_shingles long",
+            ),
+            f"rows{level}{name}",
         )
         sizes = (
             rows.groupBy("node")
-            .agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
-            .where("size > 1")
+            .agg(
+                F.count("*").alias("size"),
+                F.sum("n_shingles").alias("weight"),
+                F.min("component").alias("low"),
+                F.max("component").alias("high"),
+            )
+            .where("low <> high")
+            .select("node", "size", "weight")
         )
-        sized = rows.drop("n_shingles").join(sizes, "node")
-        if known is not None:
-            named = steps.write(_with_component(sized, known), f"named{level}{name}")
-            sized = named.join(_several(named), "node", "left_semi").drop("component")
-        sized = steps.write(sized, f"nodes{level}{name}")
-        if known is not None:
-            del named
-            steps.drop(f"named{level}{name}")
+        sized = steps.write(rows.select("node", "doc_id").join(sizes, "node"), f"nodes{level}{name}")
+        del rows, sizes
+        steps.drop(f"rows{level}{name}")
         is_small = (F.col("size") <= LEAF) & (F.col("weight") <= SHINGLES)
         leaves = sized.where(is_small).select("node", "doc_id")
         small = leaves if small is None else small.unionByName(leaves)
@@ -516,8 +533,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets = steps.write(
         full.join(first.withColumnRenamed("first_id", "doc_id"), ["key_a", "key_b", "doc_id"])
         .dropDuplicates(["key_a", "key_b", "doc_id"])
-        .select("doc_id", "tokens", "n_shingles"),
-        "sets",
+        .select("doc_id", "tokens", "n_shingles", F.col("doc_id").alias("component")),
+        "sets_0",
     )
     keys = steps.write(every.drop("tokens"), "keys")
     steps.drop("every")
@@ -527,11 +544,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     for turn, count in enumerate(ROUNDS):
         start = sum(ROUNDS[:turn])
         nodes, large = _small_nodes(
-            sets, threshold, roots[start : start + count], reached, steps, f"_{turn}"
+            sets, threshold, roots[start : start + count], steps, f"_{turn}"
         )
         found = _links(nodes, sets, texts, width, percent, steps, f"_{turn}")
         links = found if links is None else links.unionByName(found)
         reached = components(links)
+        sets = steps.write(_with_component(sets.drop("component"), reached), f"sets_{turn + 1}")
+        del nodes
+        steps.drop(f"sets_{turn}")
         if large is not None:
             large = large.select("node", "doc_id")
             stayed = large if stayed is None else stayed.unionByName(large)
@@ -545,7 +565,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             steps.drop("apart_texts", "rare")
             reached = components(links.unionByName(more))
         steps.drop("apart")
-    steps.drop("sets", *[name for name in steps.paths if name.startswith("nodes")])
+    steps.drop(*[name for name in steps.paths if name.startswith(("sets", "nodes"))])
 
     named = (
         first.join(reached, first.first_id == reached.id, "left")
