@@ -421,17 +421,29 @@ def _unlike(nodes: DataFrame) -> DataFrame:
 
 
 def _links(
-    nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, steps: Steps, name: str
+    nodes: DataFrame,
+    sets: DataFrame,
+    texts: DataFrame,
+    width: int,
+    percent: int,
+    steps: Steps,
+    name: str,
+    done: list[DataFrame],
 ) -> DataFrame:
     """Links (a, b) that join the similar members of each node.
 
-    ``sets`` has the component of each document so far; links within one are left out.
+    ``sets`` has the component of each document so far; links within one are left out, and
+    groups with the members of one in ``done`` are not compared again. Adds its own there.
     """
     unlike = steps.write(_unlike(nodes), f"unlike{name}")
     pairs = unlike.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
     floor = percent / 100 - SLACK
     likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long, component long")
-    likely = steps.write(likely.distinct(), f"likely{name}")
+    likely = likely.distinct()
+    for before in done:
+        likely = likely.join(before.select("node").distinct(), "node", "left_anti")
+    likely = steps.write(likely, f"likely{name}")
+    done.append(likely)
     del pairs
     steps.drop(f"unlike{name}")
     wanted = likely.select("doc_id").distinct()
@@ -441,8 +453,6 @@ def _links(
     links = steps.write(
         groups.mapInArrow(_confirmed(width, percent), "a long, b long"), f"links{name}"
     )
-    del bodies, groups
-    steps.drop(f"likely{name}")
     return links
 
 
@@ -539,16 +549,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     keys = steps.write(every.drop("tokens"), "keys")
     steps.drop("every")
 
-    links, reached, stayed = None, None, None
+    links, reached, stayed, done = None, None, None, []
     roots = numbered(99, sum(ROUNDS))
     for turn, count in enumerate(ROUNDS):
         start = sum(ROUNDS[:turn])
         nodes, large = _small_nodes(
             sets, threshold, roots[start : start + count], steps, f"_{turn}"
         )
-        found = _links(nodes, sets, texts, width, percent, steps, f"_{turn}")
-        links = found if links is None else links.unionByName(found)
-        reached = components(links)
+        found = _links(nodes, sets, texts, width, percent, steps, f"_{turn}", done)
+        # Links found later part no component, so without any the components stay.
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            reached = components(links)
         sets = steps.write(_with_component(sets.drop("component"), reached), f"sets_{turn + 1}")
         del nodes
         steps.drop(f"sets_{turn}")
@@ -561,11 +573,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             # A join by merge: how many members are apart grows with the table.
             bodies = steps.write(texts.join(apart.hint("merge"), "doc_id"), "apart_texts")
             meetings = _meetings(bodies, width, percent, steps)
-            more = _links(meetings, sets, texts, width, percent, steps, "_apart")
+            more = _links(meetings, sets, texts, width, percent, steps, "_apart", done)
             steps.drop("apart_texts", "rare")
-            reached = components(links.unionByName(more))
+            if not more.isEmpty():
+                reached = components(links.unionByName(more))
         steps.drop("apart")
-    steps.drop(*[name for name in steps.paths if name.startswith(("sets", "nodes"))])
+    steps.drop(*[name for name in steps.paths if name.startswith(("sets", "nodes", "likely"))])
 
     named = (
         first.join(reached, first.first_id == reached.id, "left")

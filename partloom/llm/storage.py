@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Whether Spark deletes the shuffle files of a query as soon as the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
@@ -66,8 +68,17 @@ class Steps:
         self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of ``df`` read back; the shuffle files of the write go when it has ended."""
         self.paths[name] = shared_path(self.spark, name)
-        return written_to(self.paths[name], df, codec="zstd")
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            return written_to(self.paths[name], df, codec="zstd")
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
 
     def drop(self, *names: str) -> None:
         """Only for steps that no plan still to run goes back to, lost executors or not."""
