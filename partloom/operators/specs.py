@@ -103,8 +103,10 @@ def gathered(raw: DataFrame) -> DataFrame:
 
     Of a label given twice the later value stays. Values are reduced per field before
     an item's are put together, so an item holds one text per field of its layout however
-    many rows name it.
+    many rows name it. Rows are dealt by all they hold first: the reduction sorts the rows of
+    a task, and those that a file's part is unpacked to have no bound.
     """
+    raw = raw.repartition(*raw.columns)
     rows = _mapped(raw.where(F.col("category").isin(*SPEC_CATEGORIES)), "left")
     spoken = F.col("label").isNotNull() | F.col("value").isNotNull()
     unknown = F.when(spoken & F.col("field").isNull(), F.coalesce("label", F.lit("null")))
