@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+# Keys and counts take some ten times their shuffled bytes in an aggregate and a sort.
+SMALL_TASK_BYTES = 16 * 1024 * 1024
+
 # Settings the jobs were planned with; all are Spark's own.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +52,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, most: int = SMALL_TASK_BYTES) -> Iterator[None]:
+    """Tasks of what runs inside take at most about ``most`` shuffled bytes, or the session's fewer.
+
+    The setting is the session's, so only one thread may be inside.
+    """
+    before = spark.conf.get(TASK_BYTES)
+    set_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(TASK_BYTES, str(min(set_bytes, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(TASK_BYTES, before)

@@ -14,7 +14,7 @@ from partloom.operators.joins import lookup
 from partloom.operators.keys import assign_ids
 from partloom.operators.reshape import distinct_names, standard_codes, standard_links
 from partloom.schemas import STANDARDS_MAP
-from partloom.session import stored
+from partloom.session import small_tasks, stored
 
 SKU = "'P-' || CAST(p_partkey AS STRING)"
 SIZE = "CAST(p_size AS STRING)"
@@ -228,7 +228,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key not in _stored:
         rows = DERIVED[name](spark, sf_dir)
-        _stored[key] = stored(rows.sortWithinPartitions(rows.columns[0]), name)
+        with small_tasks(spark):
+            _stored[key] = stored(rows.sortWithinPartitions(rows.columns[0]), name)
     return _stored[key]
 
 
