@@ -14,12 +14,12 @@ def _large_star(links: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))
     )
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
+    # Links may repeat here; the next step makes them distinct.
     return (
         both.where("other > node")
         .join(least, "node")
         .select(F.col("least").alias("a"), F.col("other").alias("b"))
         .where("a <> b")
-        .distinct()
     )
 
 
@@ -38,11 +38,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (id, component) for every linked node; component is its smallest node.
+def stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest node of each component to each of its others.
 
     ``links`` has node ids in a and b. Each round is written to the shared folder,
-    so no plan grows with the rounds. The rounds end when no link changes; their
+    so no plan grows with the rounds. The rounds end when only stars are left; their
     number grows with the logarithm of the longest chain.
     """
     steps, turn = Steps(links.sparkSession), 0
@@ -52,25 +52,28 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "links0",
     )
-    state = _digest(current)
-    while True:
+    while not _are_stars(current):
         current = steps.write(_small_star(_large_star(current)), f"links{turn + 1}")
-        after = _digest(current)
         steps.drop(f"links{turn}")
         turn += 1
-        if after == state:
-            break
-        state = after
-    return current.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).unionByName(
-        current.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-    )
+    return current
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows (id, component) for every linked node; component is its smallest node."""
+    return members(stars(links))
+
+
+def members(found: DataFrame) -> DataFrame:
+    """Rows (id, component) for every node of :func:`stars`."""
+    centres = found.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+    return found.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(centres)
 
 
-def _digest(links: DataFrame) -> tuple:
-    """Count and order-free sums of the links: two equal digests mean no change."""
-    part = F.xxhash64("a", "b")
-    return tuple(
-        links.agg(
-            F.count("*"), F.sum(F.shiftright(part, 20)), F.sum(part.bitwiseAND(F.lit(0xFFFFF)))
-        ).first()
+def _are_stars(links: DataFrame) -> bool:
+    """Whether distinct links (a, b), a < b, have no node below two others or below and above."""
+    ends = links.select(F.col("a").alias("id"), F.lit(0).alias("below")).unionByName(
+        links.select(F.col("b").alias("id"), F.lit(1).alias("below"))
     )
+    told = ends.groupBy("id").agg(F.sum("below").alias("n"), F.min("below").alias("low"))
+    return told.where("n > 1 OR (n = 1 AND low = 0)").isEmpty()

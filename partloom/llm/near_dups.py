@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.components import components
+from partloom.llm.components import members, stars
 from partloom.llm.storage import Steps
 from partloom.llm.words import (
     FOLDED,
@@ -50,16 +50,18 @@ ROUNDS = (4, 12)
 LEVELS = 4
 # A node is compared exhaustively up to so many documents and shingles; a node that stays
 # larger, in blocks of about so many documents and shingles, with so many shared members.
-LEAF = 256
+LEAF = 1024
 BLOCK = 2048
 SHINGLES = 4_000_000
 PIVOTS = 8
 # Shingles are ordered by the counts of so many buckets; any order gives the same pairs.
 BUCKETS = 1 << 18
+# Bits that tell, before texts are shuffled, which may be wanted; set bits of others only cost time.
+MARKS = 1 << 24
 # Estimates from 64 tokens stray by 0.05 at most similarities; four times that is allowed.
 SLACK = 0.2
 
-SET_SCHEMA = "doc_id long, n_shingles long, key_a long, key_b long, tokens binary"
+SET_SCHEMA = "doc_id long, n_shingles long, key_a long, key_b long, tokens binary, sketch binary"
 
 
 def _sets(width: int):
@@ -83,10 +85,13 @@ def _sets(width: int):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
                 packed: list[bytes | None] = [None] * len(sets)
+                sketch: list[bytes | None] = [None] * len(sets)
                 keys = np.zeros((2, len(sets)), dtype=np.uint64)
                 if len(full):
                     for row, line in zip(full, tokens([sets[i] for i in full])):
                         packed[row] = line.tobytes()
+                        # A byte of each token: others agree in one of 256, which links nothing.
+                        sketch[row] = line.astype(np.uint8).tobytes()
                         # Order-free sums over the set name it in 128 bits.
                         keys[0, row] = sets[row].sum(dtype=np.uint64)
                         keys[1, row] = mix(sets[row] + np.uint64(1)).sum(dtype=np.uint64)
@@ -97,16 +102,17 @@ def _sets(width: int):
                         pa.array(keys[0].view(np.int64)),
                         pa.array(keys[1].view(np.int64)),
                         pa.array(packed, pa.binary()),
+                        pa.array(sketch, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "tokens"],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "tokens", "sketch"],
                 )
 
     return run
 
 
-def _token_matrix(column: pa.Array) -> np.ndarray:
+def _token_matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, dtype=np.uint32).reshape(len(column), TOKENS)
+    return np.frombuffer(joined, dtype=kind).reshape(len(column), TOKENS)
 
 
 def _branch(level: int, threshold: float, roots: np.ndarray):
@@ -194,7 +200,7 @@ def _likely_groups(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "node"):
             docs = table.column("doc_id").to_numpy()
-            matrix = _token_matrix(table.column("tokens").combine_chunks())
+            matrix = _token_matrix(table.column("sketch").combine_chunks(), np.uint8)
             component = table.column("component").to_numpy()
             group = groups_of(table.column("node").to_numpy(), component, matrix)
             order = np.lexsort((docs, group))
@@ -408,7 +414,9 @@ def _several(named: DataFrame) -> DataFrame:
 
 def _unlike(nodes: DataFrame) -> DataFrame:
     """``nodes`` without those that have the same members as another, or one member only."""
-    members = ["n", "low", "high", "own_a", "own_b"]
+    like = ["n", "low", "high", "own_a", "own_b"]
+    # One shuffle for the reduction and the join; a node is small or a block, so no task is large.
+    nodes = nodes.repartition("node")
     told = nodes.groupBy("node").agg(
         F.count("*").alias("n"),
         F.min("doc_id").alias("low"),
@@ -416,10 +424,36 @@ def _unlike(nodes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("doc_id")).alias("own_a"),
         F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("own_b"),
     )
-    one = told.where("n > 1").groupBy(*members).agg(F.min("node").alias("node"))
+    one = told.where("n > 1").groupBy(*like).agg(F.min("node").alias("node"))
     return nodes.join(one.select("node"), "node", "left_semi")
 
 
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most of those that are not ``wanted``, told before any shuffle.
+
+    What is broadcast is a set of bits of fixed size. The more documents are wanted, the
+    more others pass, and a join with ``wanted`` has to follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.lit(1).cast("long")
+    marks = wanted.groupBy(word.alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", one, bit)).alias("_bits")
+    )
+    near = texts.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(marks), "_word")
+    kept = near.where(F.getbit("_bits", F.col("_bit")) == 1)
+    return kept.select(*texts.columns)
+
+
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` with the columns of ``wanted``, whose doc_id is distinct; marked before the shuffle.
+
+    Never a broadcast: how many documents are wanted grows with the table. Nor a semi join,
+    which Spark moves below the marks.
+    """
+    return _marked(texts, wanted).join(wanted.hint("merge"), "doc_id")
+
+
 def _links(
     nodes: DataFrame,
     sets: DataFrame,
@@ -436,7 +470,8 @@ def _links(
     groups with the members of one in ``done`` are not compared again. Adds its own there.
     """
     unlike = steps.write(_unlike(nodes), f"unlike{name}")
-    pairs = unlike.join(sets.drop("n_shingles"), "doc_id").repartition("node").sortWithinPartitions("node")
+    told = sets.select("doc_id", "component", "sketch")
+    pairs = unlike.join(told, "doc_id").repartition("node").sortWithinPartitions("node")
     floor = percent / 100 - SLACK
     likely = pairs.mapInArrow(_likely_groups(floor), "node long, doc_id long, component long")
     likely = likely.distinct()
@@ -447,8 +482,7 @@ def _links(
     del pairs
     steps.drop(f"unlike{name}")
     wanted = likely.select("doc_id").distinct()
-    # Never a broadcast: how many documents are wanted grows with the table.
-    bodies = texts.join(wanted.hint("merge"), "doc_id", "left_semi")
+    bodies = _only(texts, wanted)
     groups = likely.join(bodies, "doc_id").repartition("node").sortWithinPartitions("node")
     links = steps.write(
         groups.mapInArrow(_confirmed(width, percent), "a long, b long"), f"links{name}"
@@ -464,7 +498,7 @@ def _small_nodes(
     Nodes whose members are all in one component are left out.
     """
     small = None
-    above = sets
+    above = sets.drop("sketch")
     for level in range(LEVELS):
         rows = steps.write(
             above.mapInArrow(
@@ -493,8 +527,8 @@ def _small_nodes(
         large = sized.where(~is_small)
         if large.isEmpty():
             return small, None
-        above = large.select("node", "doc_id").join(sets, "doc_id")
-    return small.unionByName(_blocks(large)), large
+        above = large.select("node", "doc_id").join(sets.drop("sketch"), "doc_id")
+    return small.unionByName(steps.write(_blocks(large), f"nodes_blocks{name}")), large
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -502,14 +536,9 @@ def _blocks(large: DataFrame) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / SHINGLES))
     block = F.xxhash64("node", F.pmod(F.xxhash64("node", "doc_id"), parts))
     dealt = large.select(block.alias("block"), "node", "doc_id")
-    shared = [
-        large.groupBy("node").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))).alias("doc_id"))
-        for i in range(PIVOTS)
-    ]
-    pivots = shared[0]
-    for more in shared[1:]:
-        pivots = pivots.unionByName(more)
-    pivots = pivots.distinct()
+    shared = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(PIVOTS)]
+    pivots = large.groupBy("node").agg(F.array_distinct(F.array(*shared)).alias("shared"))
+    pivots = pivots.select("node", F.explode("shared").alias("doc_id"))
     blocks = dealt.select("block", "node").distinct().join(pivots, "node")
     return (
         dealt.select("block", "doc_id")
@@ -543,40 +572,42 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sets = steps.write(
         full.join(first.withColumnRenamed("first_id", "doc_id"), ["key_a", "key_b", "doc_id"])
         .dropDuplicates(["key_a", "key_b", "doc_id"])
-        .select("doc_id", "tokens", "n_shingles", F.col("doc_id").alias("component")),
+        .select("doc_id", "tokens", "sketch", "n_shingles", F.col("doc_id").alias("component")),
         "sets_0",
     )
-    keys = steps.write(every.drop("tokens"), "keys")
+    keys = steps.write(every.drop("tokens", "sketch"), "keys")
     steps.drop("every")
 
-    links, reached, stayed, done = None, None, None, []
+    joined, reached, stayed, done = None, None, None, []
     roots = numbered(99, sum(ROUNDS))
     for turn, count in enumerate(ROUNDS):
         start = sum(ROUNDS[:turn])
+        if turn:
+            sets = steps.write(_with_component(sets.drop("component"), reached), f"sets_{turn}")
+            steps.drop(f"sets_{turn - 1}")
         nodes, large = _small_nodes(
             sets, threshold, roots[start : start + count], steps, f"_{turn}"
         )
         found = _links(nodes, sets, texts, width, percent, steps, f"_{turn}", done)
         # Links found later part no component, so without any the components stay.
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            reached = components(links)
-        sets = steps.write(_with_component(sets.drop("component"), reached), f"sets_{turn + 1}")
+        if joined is None or not found.isEmpty():
+            joined = stars(found if joined is None else joined.unionByName(found))
+            reached = members(joined)
         del nodes
-        steps.drop(f"sets_{turn}")
         if large is not None:
             large = large.select("node", "doc_id")
             stayed = large if stayed is None else stayed.unionByName(large)
     if stayed is not None:
         apart = steps.write(_apart(stayed, reached), "apart")
         if not apart.isEmpty():
-            # A join by merge: how many members are apart grows with the table.
-            bodies = steps.write(texts.join(apart.hint("merge"), "doc_id"), "apart_texts")
+            bodies = steps.write(_only(texts, apart), "apart_texts")
             meetings = _meetings(bodies, width, percent, steps)
-            more = _links(meetings, sets, texts, width, percent, steps, "_apart", done)
+            named = _with_component(sets.drop("component"), reached)
+            own = bodies.select("doc_id", "text")
+            more = _links(meetings, named, own, width, percent, steps, "_apart", done)
             steps.drop("apart_texts", "rare")
             if not more.isEmpty():
-                reached = components(links.unionByName(more))
+                reached = members(stars(joined.unionByName(more)))
         steps.drop("apart")
     steps.drop(*[name for name in steps.paths if name.startswith(("sets", "nodes", "likely"))])
 

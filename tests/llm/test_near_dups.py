@@ -124,3 +124,49 @@ def test_texts_are_never_broadcast(documents):
     plan = near_dups.near_duplicates(documents)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert documents.select(F.max("doc_id")).first()[0] is not None
+
+
+def test_texts_that_none_compares_are_not_shuffled(spark, monkeypatch):
+    """Marked texts hold all that are wanted, and few others unless the bits are few."""
+    texts = spark.createDataFrame(
+        [(i, f"text {i}") for i in range(-500, 500)] + [(7, "again"), (None, "none")],
+        "doc_id long, text string",
+    )
+    wanted = spark.range(0, 500, 7).select(F.col("id").alias("doc_id"))
+    marked = near_dups._marked(texts, wanted)
+    assert "ObjectHashAggregate" not in marked._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.text) for r in marked.collect())
+    assert got == sorted([(i, f"text {i}") for i in range(0, 500, 7)] + [(7, "again")])
+    joined = near_dups._only(texts, wanted.distinct())
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    assert sorted((r.doc_id, r.text) for r in joined.collect()) == got
+    monkeypatch.setattr(near_dups, "MARKS", 128)
+    more = {r.doc_id for r in near_dups._marked(texts, wanted).collect()}
+    assert set(range(0, 500, 7)) <= more
+
+
+def test_blocks_find_shared_members_in_one_reduction(spark):
+    large = spark.range(900).selectExpr(
+        "id % 2 AS node", "id AS doc_id", "450L AS size", "5000000L AS weight"
+    )
+    blocks = near_dups._blocks(large)
+    plan = blocks._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("min_by") and plan.count("HashAggregate") + plan.count("SortAggregate") <= 6
+    rows = {}
+    for r in blocks.collect():
+        rows.setdefault(r.node, []).append(r.doc_id)
+    assert all(len(ids) == len(set(ids)) for ids in rows.values())
+    for side in (0, 1):
+        own = [set(ids) for ids in rows.values() if ids[0] % 2 == side]
+        assert set.union(*own) == set(range(side, 900, 2))
+        assert len(set.intersection(*own)) >= near_dups.PIVOTS // 2
+
+
+def test_stars_need_no_further_round(spark, monkeypatch):
+    def fail(links):
+        raise AssertionError("stars were contracted again")
+
+    frame = spark.createDataFrame([(9, 1), (1, 4), (1, 9), (3, 3), (2, 8)], "a long, b long")
+    monkeypatch.setattr("partloom.llm.components._large_star", fail)
+    assert {r.id: r.component for r in components(frame).collect()} == {1: 1, 4: 1, 9: 1, 2: 2, 8: 2}
