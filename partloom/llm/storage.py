@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Whether Spark deletes the shuffle files of a query as soon as the query has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Texts that Spark hands to a Python worker at a time; it holds them and so does the worker.
+SMALL_BATCH_BYTES = 8 * 1024 * 1024
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
@@ -60,6 +66,21 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = SMALL_BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of what runs inside hold about ``most`` bytes, or the session's fewer.
+
+    The setting is the session's, so only one thread may be inside.
+    """
+    before = spark.conf.get(BATCH_BYTES)
+    set_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(BATCH_BYTES, str(min(set_bytes, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 class Steps:
     """The written steps of one operator, each deleted once nothing will read it again."""
 

@@ -34,16 +34,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.near_dups import whole_runs
-from partloom.llm.storage import release, remove, shared_path, written, written_to
+from partloom.llm.storage import (
+    release,
+    remove,
+    shared_path,
+    small_batches,
+    written,
+    written_to,
+)
 from partloom.llm.words import EXACT, mix, pieces, powers, text_buffers
 
 LENGTH = 100
 GRAM = 48
 # Windows of one region at most.
 REGION = 64
-SEGMENT_BYTES = 1 << 20
-# Regions that a task reduces at a time.
+SEGMENT_BYTES = 1 << 18
+# Regions or windows that a task reduces at a time, and those of them at full width.
 HELD_REGIONS = 2_000_000
+PORTION = 1 << 16
+# What a task holds of each: narrow, with the number of its text among those held.
+HELD = {"name": "i8", "body": "i8", "row": "i4", "start": "i4", "size": "u1", "what": "u1"}
 BATCHES = 4
 # Regions of one name that are compared in one task at most.
 HOT_REGIONS = 5_000
@@ -228,44 +238,102 @@ def _reduced(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield _table(marks, INDEXED)
 
 
-def _locally(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The regions of one task: equal contents once, then as for any index rows."""
+def _firsts(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The first row of each content under a name, and the numbers of rows that come later."""
     order = np.lexsort((rows["start"], rows["h"], rows["id"], rows["body"], rows["name"]))
     rows = {k: v[order] for k, v in rows.items()}
     new = np.ones(len(order), dtype=bool)
     new[1:] = (rows["name"][1:] != rows["name"][:-1]) | (rows["body"][1:] != rows["body"][:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     covered = _later(rows["id"], rows["h"], rows["start"], first)
-    if covered.any():
-        yield _merged({k: v[covered] for k, v in rows.items()})
-    yield from _reduced({k: v[new] for k, v in rows.items()})
+    return {k: v[new] for k, v in rows.items()}, order[covered]
+
+
+def _portions(keys: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Row numbers by ascending key, about ``most`` at a time; no key is split."""
+    order = np.argsort(keys, kind="stable")
+    low = 0
+    while low < len(order):
+        last = keys[order[min(low + most, len(order)) - 1]]
+        high = int(np.searchsorted(keys, last, "right", sorter=order))
+        yield order[low:high]
+        low = high
+
+
+class _Held:
+    """Regions or windows of a task in the order they were added, that of its texts."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.count = self.before = self.texts = 0
+        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in HELD}
+        self.places: dict[str, list[np.ndarray]] = {"id": [], "h": []}
+
+    def add_texts(self, ids: np.ndarray, hs: np.ndarray) -> None:
+        """Texts; ``row`` of what is added next is counted from the first of them."""
+        self.before, self.texts = self.texts, self.texts + len(ids)
+        self.places["id"].append(ids)
+        self.places["h"].append(hs)
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        columns = columns | {"row": columns["row"] + self.before}
+        for k, kind in HELD.items():
+            self.parts[k].append(columns[k].astype(kind))
+        self.count += len(columns["name"])
+
+    def reduced(self, key: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        """First ones of equal content, whole values of ``key`` together, then the covered.
+
+        Nothing is held afterwards. What is covered comes in the order it was added, so
+        that runs of it can still be merged.
+        """
+        places = {k: np.concatenate(v) for k, v in self.places.items()}
+        rows = {k: np.concatenate(self.parts.pop(k)) for k in HELD}
+        self._clear()
+
+        def wide(at: np.ndarray) -> dict[str, np.ndarray]:
+            text = rows["row"][at]
+            out = {k: rows[k][at].astype(np.int64) for k in HELD if k != "row"}
+            return out | {k: v[text] for k, v in places.items()}
+
+        covered = np.zeros(len(rows["name"]), dtype=bool)
+        for portion in _portions(rows[key], PORTION):
+            firsts, later = _firsts(wide(portion))
+            covered[portion[later]] = True
+            yield INDEXED, firsts
+        at = np.flatnonzero(covered)
+        for low in range(0, len(at), PORTION):
+            yield COVERED, wide(at[low : low + PORTION])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h, text) to the index, covered and asked rows of this task."""
     sampler = _Sampler()
-    held: list[tuple[np.ndarray, ...]] = []
-    count = 0
+    held = _Held()
 
-    def joined() -> dict[str, np.ndarray]:
-        fields = zip(("name", "body", "id", "h", "start", "size", "what"), zip(*held))
-        return {k: np.concatenate(v) for k, v in fields}
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for what, rows in held.reduced("name"):
+            if what == COVERED:
+                yield _merged(rows)
+            else:
+                yield from _reduced(rows)
 
     for whole in batches:
         for batch in pieces(whole, "text"):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             hs = batch.column("h").to_numpy(zero_copy_only=False)
+            held.add_texts(ids, hs)
             data, offsets = text_buffers(batch.column("text"))
             for name, body, row, start, size, loops in sampler.regions(data, offsets):
                 what = np.where(loops, LOOPS, INDEXED)
-                keys = name.view(np.int64), body.view(np.int64)
-                held.append((*keys, ids[row], hs[row], start, size, what))
-                count += len(name)
-            if count > HELD_REGIONS:
-                yield from _locally(joined())
-                held, count = [], 0
-    if held:
-        yield from _locally(joined())
+                keys = {"name": name.view(np.int64), "body": body.view(np.int64)}
+                held.add(keys | {"row": row, "start": start, "size": size, "what": what})
+            if held.count > HELD_REGIONS:
+                yield from flushed()
+    if held.count:
+        yield from flushed()
 
 
 def _columns(table: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -315,7 +383,8 @@ class SuffixFamily:
         if last:
             dealt = dealt.where(F.col("what") != INDEXED)
         path = shared_path(spark, "level")
-        found = written_to(path, dealt, by="what", codec="zstd")
+        with small_batches(spark):
+            found = written_to(path, dealt, by="what", codec="zstd")
         for folder in merged:
             remove(spark, f"{folder}/what={INDEXED}")
         release(spark)
@@ -343,7 +412,7 @@ def _windows(rows: dict[str, np.ndarray], place: np.ndarray, data: np.ndarray):
         hashes = mix((sums[:, LENGTH:] - sums[:, :REGION]) * inverse)
         nth, step = np.nonzero(np.arange(REGION) < rows["size"][part, None])
         found.append(
-            {k: rows[k][part][nth] for k in ("name", "id", "h")}
+            {k: rows[k][part][nth] for k in rows.keys() - {"body", "start", "size"}}
             | {"body": hashes[nth, step].view(np.int64), "start": rows["start"][part][nth] + step}
         )
     out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
@@ -352,18 +421,18 @@ def _windows(rows: dict[str, np.ndarray], place: np.ndarray, data: np.ndarray):
 
 def _asked_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h, text, asked) to the regions with their bytes; of hot names, to windows."""
-    held: list[dict[str, np.ndarray]] = []
-    count = 0
+    held = _Held()
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        rows = {k: np.concatenate([w[k] for w in held]) for k in held[0]}
-        for batch in _first_windows(rows):
+        for what, rows in held.reduced("body"):
+            batch = _merged(rows) if what == COVERED else _table(rows, INDEXED)
             yield batch.append_column("bytes", pa.nulls(batch.num_rows, pa.binary()))
 
     for whole in batches:
         for batch in pieces(whole, "text"):
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             hs = batch.column("h").to_numpy(zero_copy_only=False)
+            held.add_texts(ids, hs)
             data, offsets = text_buffers(batch.column("text"))
             asked = batch.column("asked")
             flat = asked.flatten()
@@ -378,13 +447,14 @@ def _asked_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ends = place[~hot] + rows["size"][~hot] - 1 + LENGTH
             strings = [data[a:b].tobytes() for a, b in zip(place[~hot], ends)]
             yield cold.append_column("bytes", pa.array(strings, pa.binary()))
-            if hot.any():
-                held.append(_windows({k: v[hot] for k, v in rows.items()}, place[hot], data))
-                count += len(held[-1]["name"])
-            if count > HELD_REGIONS:
+            rows |= {"row": row, "what": np.full(len(row), INDEXED)}
+            at = np.flatnonzero(hot)
+            for low in range(0, len(at), PORTION // REGION):
+                part = at[low : low + PORTION // REGION]
+                held.add(_windows({k: v[part] for k, v in rows.items()}, place[part], data))
+            if held.count > HELD_REGIONS:
                 yield from flushed()
-                held, count = [], 0
-    if held:
+    if held.count:
         yield from flushed()
 
 
@@ -395,26 +465,17 @@ def _compared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)
         place = offsets[strings.offset : strings.offset + len(strings)]
         data = np.frombuffer(strings.buffers()[2], dtype=np.uint8)
-        yield from _only_covered(_windows(_columns(table), place, data))
+        rows = _columns(table)
+        for portion in _portions(rows["name"], PORTION // REGION):
+            part = {k: v[portion] for k, v in rows.items()}
+            yield from _only_covered(_windows(part, place[portion], data))
 
 
 def _only_covered(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in _first_windows(rows):
-        if batch.num_rows and batch.column("what")[0].as_py() == COVERED:
-            yield batch
-
-
-def _first_windows(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The first of equal windows as index row, the later ones as covered."""
-    order = np.lexsort((rows["start"], rows["h"], rows["id"], rows["name"], rows["body"]))
-    rows = {k: v[order] for k, v in rows.items()}
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (rows["name"][1:] != rows["name"][:-1]) | (rows["body"][1:] != rows["body"][:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    covered = _later(rows["id"], rows["h"], rows["start"], first)
-    if covered.any():
-        yield _merged({k: v[covered] for k, v in rows.items()})
-    yield _table({k: v[new] for k, v in rows.items()}, INDEXED)
+    """All but the first of equal windows."""
+    later = _firsts(rows)[1]
+    if len(later):
+        yield _merged({k: v[later] for k, v in rows.items()})
 
 
 def _compared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,9 +568,10 @@ def repeated_spans(documents: DataFrame, batches: int = BATCHES) -> tuple[DataFr
         ).alias("asked")
     )
     wanted = keyed.select("id", "h", "text").join(per_row.hint("merge"), ["id", "h"])
-    regions = written(
-        wanted.mapInArrow(_asked_regions, f"{ROW}, bytes binary"), "regions", by="what"
-    )
+    with small_batches(documents.sparkSession):
+        regions = written(
+            wanted.mapInArrow(_asked_regions, f"{ROW}, bytes binary"), "regions", by="what"
+        )
     release(documents.sparkSession)
     cold = regions.where(F.col("what") == ASKED).repartition("name").sortWithinPartitions("name")
     firsts = regions.where(F.col("what") == INDEXED).repartition("body")

@@ -102,3 +102,75 @@ def test_levels_merge_like_a_counter(spark):
         family.add(spark.createDataFrame(rows, "id long, h long, text string"))
         sizes.append([level[0] for level in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2]]
+
+
+def sampled(texts):
+    """Rows by kind that one task makes of ``texts``."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "id": pa.array(range(len(texts)), pa.int64()),
+            "h": pa.array([0] * len(texts), pa.int64()),
+            "text": pa.array(texts, pa.string()),
+        }
+    )
+    rows = {}
+    for found in s._sampled(iter([batch])):
+        for row in found.to_pylist():
+            rows.setdefault(row.pop("what"), []).append(tuple(row.values()))
+    return rows
+
+
+def test_portions_change_no_row(passages, monkeypatch):
+    texts = [t or "" for _, t in passages]
+    whole = sampled(texts)
+    monkeypatch.setattr(s, "PORTION", 16)
+    parted = sampled(texts)
+    for kind in (s.INDEXED, s.ASKED):
+        assert sorted(parted[kind]) == sorted(whole[kind])
+    covered = lambda rows: {
+        (r[2], p) for r in rows for p in range(r[4], r[4] + r[5] - 1 + s.LENGTH)
+    }
+    assert covered(parted[s.COVERED]) == covered(whole[s.COVERED])
+    # Runs that touch are merged whatever their names: a portion adds a row at most.
+    assert len(whole[s.COVERED]) <= len(parted[s.COVERED]) < 1.5 * len(whole[s.COVERED])
+
+
+def test_memory_of_a_task_that_samples():
+    """Beside its regions, a task holds little: portions at full width, and one segment."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    data = np.random.default_rng(7).integers(97, 123, 16 << 20, dtype=np.uint8).tobytes().decode()
+    texts = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+    count = len(texts)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(count)), "h": [0] * count, "text": texts})
+    tracemalloc.start()
+    rows = sum(found.num_rows for found in s._sampled(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500_000
+    assert peak < 120 * rows
+
+
+def test_small_batches(spark):
+    """A task is handed a few megabytes of text at a time, and the setting comes back."""
+    from pyspark.sql import functions as F
+
+    from partloom.llm.storage import BATCH_BYTES, SMALL_BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    before = spark.conf.get(BATCH_BYTES)
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    with small_batches(spark):
+        found = [r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 24_000_000 and max(found) < 1.1 * SMALL_BATCH_BYTES
+    assert spark.conf.get(BATCH_BYTES) == before
